@@ -14,7 +14,6 @@ Layout under a root folder, all Parquet:
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,51 +22,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, partition_id, slices, text_of
+from .hashing import Powers, splitmix
 from .tokens import END_ID, default_path, encoder
 
 WINDOW, LEAST, MEAN_BITS, MOST = 32, 256, 10, 8192
 _U64 = np.uint64
-_BASE = _U64(0x9E3779B97F4A7C15)
-_INVERSE = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def splitmix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mixer (public domain constants)."""
-    x = x.astype(_U64, copy=True)
-    x += _U64(0x9E3779B97F4A7C15)
-    x ^= x >> _U64(30)
-    x *= _U64(0xBF58476D1CE4E5B9)
-    x ^= x >> _U64(27)
-    x *= _U64(0x94D049BB133111EB)
-    x ^= x >> _U64(31)
-    return x
-
-
-class _Powers:
-    """Running powers of a base modulo 2**64, grown when a longer array comes."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.table = base, np.ones(1, _U64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.table) < n:
-            steps = np.full(max(n, 1 << 16), self.base, _U64)
-            steps[0] = 1
-            self.table = np.multiply.accumulate(steps)
-        return self.table[:n]
-
-
-_UP, _DOWN = _Powers(_BASE), _Powers(_INVERSE)
+_POWERS = Powers(0x9E3779B97F4A7C15)
 
 
 def rolling(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Polynomial hash of the `window` ids that end at each place (fewer at the beginning)."""
     n = len(ids)
-    sums = np.cumsum(splitmix(ids) * _UP.upto(n), dtype=_U64)
+    sums = np.cumsum(splitmix(ids) * _POWERS.up(n), dtype=_U64)
     out = sums.copy()
     out[window:] -= sums[:-window] if n > window else sums[:0]
     shift = np.maximum(np.arange(n) - (window - 1), 0)
-    return out * _DOWN.upto(n)[shift]
+    return out * _POWERS.down(n)[shift]
 
 
 def cuts(ids: np.ndarray, least: int = LEAST, most: int = MOST, mean_bits: int = MEAN_BITS, window: int = WINDOW) -> list[int]:
@@ -103,17 +75,15 @@ def encode_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document with its chunks. Null text is empty: the end id alone."""
     path = tokenizer_path or default_path()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    tail = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         encode, compress = encoder(path).encode, zstandard.ZstdCompressor(level=3, write_content_size=True).compress
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             out: list[list] = [[] for _ in range(6)]
-            for raw in encode(batch.column("text").to_pylist()):
-                raw += tail
-                ids, lo = np.frombuffer(raw, "<u4"), 0
+            for ids in encode(batch.column("text").to_pylist(), end_id):
+                raw, lo = ids.astype("<u4").tobytes(), 0
                 hashes, sizes, widths, payloads = [], [], [], []
                 for hi in cuts(ids):
                     part = ids[lo:hi]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_of
-from .content_store import splitmix
+from .hashing import splitmix
 from .shingles import shingles
 
 PERMUTATIONS, SHINGLE_WORDS, SEED = 128, 5, 1

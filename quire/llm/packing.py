@@ -8,7 +8,6 @@ cuts it there. Token ids never move between executors.
 
 from __future__ import annotations
 
-import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
@@ -33,12 +32,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = tokenizer_path or default_path()
     queue = null_safe(docs[source_col]) if source_col else F.lit("0")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), queue.alias("queue"), text_of(docs, text_col).alias("text"))
-    tail = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(path).encode, partition_id(), defaultdict(int)
-        for batch in slices(batches, "text"):
-            ids = [x + tail for x in encode(batch.column("text").to_pylist())]
+        for batch in slices(batches, "text", 2 << 20):
+            ids = [x.astype("<u4").tobytes() for x in encode(batch.column("text").to_pylist(), end_id)]
             n = [len(x) // 4 for x in ids]
             starts = []
             for q, k in zip(batch.column("queue").to_pylist(), n, strict=True):

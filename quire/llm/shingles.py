@@ -10,11 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .content_store import _Powers, splitmix
+from .hashing import Powers, splitmix
 
 _U64 = np.uint64
-_BASE = _U64(0xD6E8FEB86659FD93)
-_UP, _DOWN = _Powers(_BASE), _Powers(_U64(pow(int(_BASE), -1, 1 << 64)))
+_POWERS = Powers(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _INSIDE = np.ones(256, dtype=bool)
@@ -44,9 +43,9 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     end = inside.copy()
     end[:-1] &= ~inside[1:] | first[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end)
-    sums = np.cumsum((data.astype(_U64) + _U64(1)) * _UP.upto(n), dtype=_U64)
+    sums = np.cumsum((data.astype(_U64) + _U64(1)) * _POWERS.up(n), dtype=_U64)
     before = np.where(starts > 0, sums[starts - 1], _U64(0))
-    hashes = splitmix((sums[ends] - before) * _DOWN.upto(n)[starts] + (ends - starts).astype(_U64) * _U64(0xA24BAED4963EE407))
+    hashes = splitmix((sums[ends] - before) * _POWERS.down(n)[starts] + (ends - starts).astype(_U64) * _U64(0xA24BAED4963EE407))
     return hashes, np.searchsorted(starts, offsets)
 
 
