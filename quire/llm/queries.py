@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_store, exact_dedup, jaccard_join, line_dedup, minhash, packing, sharding
+from . import content_store, exact_dedup, jaccard_join, line_dedup, minhash, mixing, packing, sharding
 from .common import new_path, text_of
 
 SHARDS, SHARD_SEED = 8, 17
@@ -52,4 +52,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_classes(table(spark, sf_dir, "documents"), k=4, threshold=0.85)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
