@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_store, exact_dedup, jaccard_join, line_dedup, minhash, mixing, packing, sharding
+from . import content_store, exact_dedup, jaccard_join, line_dedup, minhash, mixing, packing, sharding, toxicity
 from .common import new_path, text_of
 
 SHARDS, SHARD_SEED = 8, 17
@@ -39,6 +39,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out(doc_id):
+    """The fifth of rows that labels are not learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.mark_exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -57,4 +69,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
+QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
