@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_store, exact_dedup, jaccard_join, line_dedup, minhash, mixing, packing, sharding, toxicity
+from . import content_store, exact_dedup, jaccard_join, language_model, line_dedup, minhash, mixing, packing, sharding, toxicity
 from .common import new_path, text_of
 
 SHARDS, SHARD_SEED = 8, 17
@@ -39,6 +39,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    classifier = language_model.fit(docs, language_model.trusted_ids(spark, sf_dir))
+    return language_model.classify(docs, classifier).drop("text")
+
+
 def held_out(doc_id):
     """The fifth of rows that labels are not learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -69,4 +75,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
+QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op5_quality_classifier": op5_quality_classifier, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
