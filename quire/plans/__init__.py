@@ -1,9 +1,12 @@
-"""Registered queries and their oracles."""
+"""Registered queries over the driver's tables, and their oracles."""
+
+from . import scalars, sequences  # noqa: F401
+from .registry import ORACLES, QUERIES
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracles():
-    return {}
+    return dict(ORACLES)
