@@ -46,9 +46,10 @@ def score_of(candidates: Column, kind: str) -> Column:
     return F.coalesce(F.try_element_at(F.filter(candidates, lambda c: c["type"] == kind), F.lit(-1))["score"], F.lit(0.0))
 
 
-def block_type(s: Column, candidates: Column, around: Column, table_lines: Column = F.lit(False), texture: Column = F.lit(False)) -> Column:
+def block_type(s: Column, candidates: Column, around: Column, table_lines: Column | None = None, texture: Column | None = None) -> Column:
     """struct<type,confidence,needs_review>: the first rule that applies."""
     t = T.strip(s)
+    table_lines, texture = (F.lit(False) if c is None else c for c in (table_lines, texture))
     chem, best = T.any_in(t, T.REACTION) & T.has_upper(t), best_candidate(candidates)
 
     def decided(kind, confidence, review) -> Column:
