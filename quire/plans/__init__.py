@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and their oracles."""
 
-from . import decide, scalars, sequences  # noqa: F401
+from . import decide, output, scalars, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
