@@ -289,7 +289,8 @@ def _key(lang: Column) -> Column:
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = KEEP_QUANTILE) -> Classifier:
     """A classifier from the rows of docs whose id is in `trusted` (one column of ids). All of them are used."""
     ids = trusted.toDF("id").where("id is not null").distinct()
-    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), text_of(docs, text_col).alias("text")).join(ids, "id")
+    # A merge join at every size: labels grow with the corpus, and texts move once either way.
+    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), text_of(docs, text_col).alias("text")).join(ids.hint("merge"), "id")
     rows = rows.select("lang", "text", calibration_row(F.col("id")).alias("calibrates"))
     gathered = materialise(rows.mapInArrow(_count, "gram long, c long, lang string, text string"), "lm-counts")
     counts = gathered.where("gram is not null").select("gram", "c")
