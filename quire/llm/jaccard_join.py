@@ -11,6 +11,10 @@ Equal sets are one node. In a bucket every node meets the bucket's pivot (the no
 tokens); only nodes that this leaves outside the pivot's component then meet the others of
 the bucket. Pairs inside one component are never needed for the classes, so a large group of near
 copies costs its size, not its square, and no link between components is missed.
+
+Whoever is indexed by pairs of frequent tokens has all its rare tokens indexed too. So two such sets
+that share no rare token need to meet only if their counts allow a link: they differ in all rare
+tokens of both, and in as many frequent ones as one has more than the other.
 """
 
 from __future__ import annotations
@@ -24,16 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, slices, text_of
-from .content_store import splitmix
+from .hashing import splitmix
 from .shingles import shingle_sets
 
 _U64 = np.uint64
 #: A token is frequent from this many documents, or from more where over MAX_FREQUENT tokens would be.
-LEAST_FREQUENT = 16
+LEAST_FREQUENT = 64
+#: Bits of the sketch that joins test pairs by: parities of tokens, in 64-bit words.
+SKETCH_WORDS = 4
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_WORDS))
 #: Bound of the broadcast table of frequent tokens (9 bytes each).
 MAX_FREQUENT = 1_000_000
-#: Bytes of text counted in one range of tokens: some forty million tokens at 256 MB.
-RANGE_BYTES = 256 << 20
+#: Bytes of text counted in one range of tokens, some ten million tokens; and the least number of ranges, as a power of two.
+RANGE_BYTES, LEAST_RANGE_BITS = 64 << 20, 7
 
 
 def needed(n: int, percent: int) -> int:
@@ -47,6 +54,13 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the set's tokens in SKETCH_WORDS words."""
+    bits = 64 * SKETCH_WORDS
+    parity = (np.bincount((s >> _U64(40) & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64)
+
+
 def may_reach(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
     """False only if 100 * intersection >= percent * union is impossible.
 
@@ -69,7 +83,7 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # --- pass A: sets, nodes, token counts -------------------------------------------------------------
 
-_PROFILE = "doc_id long, n int, node long, digest binary, bitmap binary, token_range int, tokens binary, counts binary"
+_PROFILE = "doc_id long, n int, node long, digest binary, bitmap binary, sketch array<long>, token_range int, tokens binary, counts binary"
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +104,13 @@ def _profile(k: int, seed: int, bits: int, range_bits: int, with_counts: bool) -
         parts: list = []
         held, seen = 0, set()
         names = [f.split()[0] for f in _PROFILE.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        for batch in slices(batches, "text"):
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+        for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text"), k)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16, salt=str(seed).encode()[:16]).digest() for s in sets]
             nodes = [int.from_bytes(d[:8], "little", signed=True) if len(s) else None for s, d in zip(sets, digests, strict=True)]
             none = [None] * len(sets)
-            columns = [batch.column("doc_id"), [len(s) for s in sets], nodes, digests, [bitmap(s) if len(s) else b"" for s in sets], none, none, none]
+            columns = [batch.column("doc_id"), [len(s) for s in sets], nodes, digests, [bitmap(s) if len(s) else b"" for s in sets], [sketch(s) for s in sets], none, none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
             if with_counts:
                 new = []
@@ -121,7 +135,7 @@ def _profile(k: int, seed: int, bits: int, range_bits: int, with_counts: bool) -
                     steps = np.diff(tokens[lo:hi], prepend=_U64(0)).astype("<u8")
                     # Byte planes compress well: the upper ones of small steps are zero.
                     planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
-                    row = [None, None, None, None, None, r, compress(planes), compress(counts[lo:hi].astype("<u4").tobytes())]
+                    row = [None, None, None, None, None, None, r, compress(planes), compress(counts[lo:hi].astype("<u4").tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
 
     return run
@@ -174,7 +188,8 @@ class PREFIX_COMBINATIONS:  # noqa: N801  a scheme of candidate keys
     def __init__(self, percent: int):
         self.percent = percent
 
-    def keys(self, s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, bits: int) -> tuple[int, np.ndarray]:
+    def keys(self, s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, bits: int) -> tuple[int, int, np.ndarray]:
+        """(rare tokens of the set, how many keys are single tokens, keys)."""
         n = len(s)
         length = min(n, n - needed(n, self.percent) + 2)
         if len(frequent):
@@ -188,11 +203,11 @@ class PREFIX_COMBINATIONS:  # noqa: N801  a scheme of candidate keys
         rare = rare[:length]
         left = length - len(rare)
         if left < 2:
-            return n_rare, rare
+            return n_rare, len(rare), rare
         tokens, kinds = s[often], classes[at[often]]
         tokens = tokens[np.lexsort((tokens, kinds))][:left]
         i, j = np.triu_indices(len(tokens), 1)
-        return n_rare, np.concatenate([rare, splitmix(tokens[i] * _U64(0x9E3779B97F4A7C15) + tokens[j] * _U64(0xC2B2AE3D27D4EB4F))])
+        return n_rare, len(rare), np.concatenate([rare, splitmix(tokens[i] * _U64(0x9E3779B97F4A7C15) + tokens[j] * _U64(0xC2B2AE3D27D4EB4F))])
 
 
 class SIMILAR_BANDS:  # noqa: N801
@@ -203,7 +218,7 @@ class SIMILAR_BANDS:  # noqa: N801
     def __init__(self, count: int, band_rows: int):
         self.count, self.band_rows = count, band_rows
 
-    def keys(self, s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, bits: int) -> tuple[int, np.ndarray]:
+    def keys(self, s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, bits: int) -> tuple[int, int, np.ndarray]:
         from .minhash import permutations
 
         a, b = permutations(self.count)
@@ -212,27 +227,27 @@ class SIMILAR_BANDS:  # noqa: N801
             least = np.minimum(least, (np.multiply.outer(a, s[x : x + 2048]) + b[:, None]).min(axis=1))
         bands = self.count // self.band_rows
         rows = splitmix(least[: bands * self.band_rows].reshape(bands, self.band_rows) + np.arange(bands, dtype=_U64)[:, None])
-        return 0, splitmix((rows * (splitmix(np.arange(self.band_rows, dtype=_U64)) | _U64(1))).sum(axis=1, dtype=_U64))
+        return 0, bands, splitmix((rows * (splitmix(np.arange(self.band_rows, dtype=_U64)) | _U64(1))).sum(axis=1, dtype=_U64))
 
 
 def _index(scheme, k: int, seed: int, bits: int, frequent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, classes = frequent.value
         seen: set[int] = set()
-        for batch in slices(batches, "text"):
-            out: list[list] = [[], [], [], []]
+        for batch in slices(batches, "text", 2 << 20):
+            out: list[list] = [[], [], [], [], []]
             for s in shingle_sets(batch.column("text"), k):
-                if len(s) < 1:
+                if not len(s):
                     continue
                 node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16, salt=str(seed).encode()[:16]).digest()[:8], "little", signed=True)
                 if node in seen:
                     continue
                 seen.add(node)
-                rare, keys = scheme.keys(s, tokens, classes, bits)
-                for column, value in zip(out, (node, len(s), rare, keys.view(np.int64)), strict=True):
+                rare, singles, keys = scheme.keys(s, tokens, classes, bits)
+                for column, value in zip(out, (node, len(s), rare, singles, keys.view(np.int64)), strict=True):
                     column.append(value)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out[3]])]).astype(np.int32)), pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), lists], names=["node", "n", "rare", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int32)), pa.array(np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.int32()) for c in out[1:4]), lists], names=["node", "n", "rare", "singles", "keys"])
 
     return run
 
@@ -252,7 +267,7 @@ def _filter_pairs(test: Callable) -> Callable:
 
 def _node_sets(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), k)], pa.binary())], names=["node", "set"])
 
     return run
@@ -317,19 +332,19 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scheme = scheme or PREFIX_COMBINATIONS(percent)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    range_bits = max(5, int(size // RANGE_BYTES).bit_length())
+    range_bits = max(LEAST_RANGE_BITS, int(size // RANGE_BYTES).bit_length())
     # Truncated tokens: at most one in some thousands meets another by chance, which only changes its class.
     bits = min(63, max(40, int(size // 4).bit_length() + 13))
     seed = 0
     while True:
         profile = materialise(rows.mapInArrow(_profile(k, seed, bits, range_bits, scheme.counts), _PROFILE), "profile")
         owned = profile.where("token_range is null and n > 0")
-        nodes = materialise(owned.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("first_doc"), F.min("digest").alias("d0"), F.max("digest").alias("d1")), "nodes")
+        nodes = materialise(owned.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), *[F.first(F.col("sketch")[i]).alias(c) for i, c in enumerate(SKETCH)], F.min("doc_id").alias("first_doc"), F.min("digest").alias("d0"), F.max("digest").alias("d1")), "nodes")
         if nodes.where("d0 <> d1").isEmpty():
             break
         seed += 1  # two sets met in 64 bits of their digests
     frequent = spark.sparkContext.broadcast(frequent_tokens(profile) if scheme.counts else (np.zeros(0, _U64), np.zeros(0, np.uint8)))
-    index = materialise(rows.mapInArrow(_index(scheme, k, seed, bits, frequent), "node long, n int, rare int, keys array<long>").dropDuplicates(["node"]), "index")
+    index = materialise(rows.mapInArrow(_index(scheme, k, seed, bits, frequent), "node long, n int, rare int, singles int, keys array<long>").dropDuplicates(["node"]), "index")
     links = _links(spark, index, nodes, rows, k, percent)
     labels = components(links)
     firsts = labels.join(nodes.select("node", "first_doc"), "node").groupBy("label").agg(F.min("first_doc").alias("component_id"))
@@ -339,22 +354,29 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _links(spark: SparkSession, index: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    entries = index.select("node", "n", "rare", F.explode("keys").alias("key"))
+    entries = index.select("node", "n", "rare", "singles", F.posexplode("keys").alias("pos", "key")).select("node", "n", "rare", (F.col("pos") < F.col("singles")).alias("single"), "key")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    hits = materialise(entries.join(shared, "key"), "hits")
-    pivots = materialise(hits.groupBy("key").agg(F.min(F.struct("rare", "node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sizes alone allow it
-    star = hits.join(pivots.withColumnRenamed("pivot_n", "m"), "key").where(F.col("node") != F.col("pivot")).where(near)
-    star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    hits = materialise(entries.join(shared, "key").join(nodes.select("node", *SKETCH), "node"), "hits")
+    discard(index)
+    best = F.min(F.struct("rare", "node", "n", *SKETCH)).alias("p")
+    theirs = {"node": "other", "n": "m", "rare": "other_rare"} | {c: f"other_{c}" for c in SKETCH}
+    pivots = materialise(hits.groupBy("key").agg(best).select("key", *[F.col(f"p.{c}").alias(o) for c, o in theirs.items()]), "pivots")
+    sizes_allow = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    most_apart = (F.col("n") + F.col("m")) * (100 - percent)  # a link's symmetric difference, times 100 + percent
+    by_counts = F.col("rare") + F.col("other_rare") + F.abs((F.col("n") - F.col("rare")) - (F.col("m") - F.col("other_rare")))
+    by_sketch = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in SKETCH), F.lit(0))
+    allowed = sizes_allow & (F.col("single") | (by_counts * (100 + percent) <= most_apart)) & (by_sketch * (100 + percent) <= most_apart)
+    pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    star = hits.join(pivots, "key").where(F.col("node") != F.col("other")).where(allowed).select(*pair).distinct()
     links = _similar(star, nodes, rows, k, percent)
     # What the pivots left outside their component meets the rest of its buckets.
     labels = materialise(components(links), "labels")
-    mine, theirs = labels.toDF("node", "label"), labels.toDF("pivot", "pivot_label")
-    marked = hits.join(pivots.drop("pivot_n"), "key").join(mine, "node", "left").join(theirs, "pivot", "left")
-    marked = materialise(marked.select("key", "node", "n", "pivot", F.coalesce("label", "node").alias("label"), F.coalesce("pivot_label", "pivot").alias("pivot_label")), "marked")
-    outside = marked.where("label <> pivot_label and node <> pivot").select("key", "node", "n", "label")
-    rest = marked.where("node <> pivot").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-    cross = outside.join(rest, "key").where("label <> other_label").where(near)
-    cross = cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    marked = hits.join(pivots.select("key", F.col("other").alias("pivot")), "key").where("node <> pivot").join(labels.toDF("node", "label"), "node", "left").join(labels.toDF("pivot", "pivot_label"), "pivot", "left")
+    marked = materialise(marked.select("key", "single", *theirs, F.coalesce("label", "node").alias("label"), F.coalesce("pivot_label", "pivot").alias("pivot_label")), "marked")
+    outside = marked.where("label <> pivot_label").drop("pivot_label")
+    rest = marked.select("key", F.col("label").alias("other_label"), *[F.col(c).alias(o) for c, o in theirs.items()])
+    cross = outside.join(rest, "key").where("label <> other_label").where(allowed).select(*pair).distinct()
     more = _similar(cross, nodes, rows, k, percent)
+    for done in (hits, pivots, labels, marked):
+        discard(done)
     return links.unionByName(more)
