@@ -68,10 +68,10 @@ _READING = ("page_no", "bbox.y0", "bbox.x0", "question_no", "text")
 
 
 def dedup_anchors(anchors: DataFrame) -> DataFrame:
-    """Anchors with occurrence (1 for the first of its number in reading order) and position (place among all)."""
+    """Anchors with occurrence (1 for the first of its number in reading order) and position (place among all; anchors alike in everything share one)."""
     first = Window.partitionBy("doc_id", "question_no").orderBy(*_READING)
     every = Window.partitionBy("doc_id").orderBy(*_READING)
-    return anchors.withColumns({"occurrence": F.row_number().over(first), "position": F.row_number().over(every)})
+    return anchors.withColumns({"occurrence": F.row_number().over(first), "position": F.rank().over(every)})
 
 
 def anchor_summary(deduped: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from .scalars import LINE_TEXTS
 
 ANCHORS = {
     "v_num": r"SELECT *, try_cast(regexp_extract(trim(text), '^([0-9]+)\.', 1) AS BIGINT) AS question_no FROM v_anchor",
-    "v_first": "SELECT *, row_number() OVER (PARTITION BY doc_id, question_no ORDER BY page_no, y0, x0, question_no, text) AS occurrence, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, y0, x0, question_no, text) AS position FROM v_num WHERE question_no > 0",
+    "v_first": "SELECT *, row_number() OVER (PARTITION BY doc_id, question_no ORDER BY page_no, y0, x0, question_no, text) AS occurrence, rank() OVER (PARTITION BY doc_id ORDER BY page_no, y0, x0, question_no, text) AS position FROM v_num WHERE question_no > 0",
     "v_kept": "SELECT * FROM v_first WHERE occurrence = 1",
     "v_cols": """SELECT *, n < 2 OR spread < 496 AS single, CASE WHEN center > 1240 THEN 1 ELSE 0 END AS col FROM (SELECT *, count(*) OVER p AS n, max(center) OVER p - min(center) OVER p AS spread FROM
       (SELECT *, (x0 + x1) / 2.0::DOUBLE AS center FROM v_kept) WINDOW p AS (PARTITION BY doc_id, page_no))""",
