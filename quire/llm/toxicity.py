@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic
-from .common import materialise, slices, text_of
+from .common import frugal, materialise, slices, text_of
 
 #: Bound of the sample of labelled rows that the lexicon, the trees and the calibration are fitted on.
 MAX_TRAIN_ROWS = 20_000
@@ -33,7 +33,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 # Stand-ins for letters (fixed values).
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W\d_]+")
-_OBFUSCATED = re.compile(r"[^\W_]*[^\W\d_][0-9@$!*._\-]+[^\W\d_][^\s]*|[0-9@$]+[^\W\d_][^\s]*")
+_JOINT = re.compile(r"[0-9@$!*._\-]+(?=[^\W\d_])")
 _JOINERS = re.compile(r"[^\w]|_")
 _CAPS = re.compile(r"\b[A-ZÀ-Þ]{2,}\b")
 _MARKS = re.compile(r"[^\w\s]")
@@ -42,10 +42,23 @@ NEAR = 5
 FEATURES = 18
 
 
-def words_of(text: str) -> tuple[list[str], list[str]]:
-    """(lower-cased words, words read from obfuscated spellings)."""
-    low = text.lower()
-    hidden = [w for m in _OBFUSCATED.findall(low) for w in (_JOINERS.sub("", m.translate(_LEET)),) if w.isalpha()]
+def _obfuscated(low: str) -> list[str]:
+    """White-space separated strings with digits or signs inside a word, or with digits or @ and $ that lead one."""
+    out, done = [], 0
+    for m in _JOINT.finditer(low):
+        at = m.start()
+        if at < done or not (low[at - 1 : at].isalpha() or (m[0][0] in "0123456789@$" and not low[at - 1 : at].strip())):
+            continue
+        left = max(low.rfind(" ", 0, at), low.rfind("\n", 0, at), low.rfind("\t", 0, at)) + 1
+        right = next((i for i in range(m.end(), len(low)) if low[i].isspace()), len(low))
+        out.append(low[left:right])
+        done = right
+    return out
+
+
+def words_of(low: str) -> tuple[list[str], list[str]]:
+    """(words of a lower-cased text, words read from obfuscated spellings)."""
+    hidden = [w for m in _obfuscated(low) for w in (_JOINERS.sub("", m.translate(_LEET)),) if w.isalpha()]
     return _WORD.findall(low), hidden
 
 
@@ -53,12 +66,19 @@ def _beginnings(word: str) -> list[str]:
     return ["^" + word[:k] for k in PREFIXES if len(word) > k]
 
 
+def _capitals(text: str, low: str) -> int:
+    if len(text) != len(low):
+        return sum(map(str.isupper, text))
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in (text, low))
+    return int(np.count_nonzero(a != b))
+
+
 def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, in toxic texts, in others): how many texts of the partition hold a word or word beginning."""
     counts = (Counter(), Counter())
     for batch in slices(batches, "text"):
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            words, hidden = words_of(text)
+            words, hidden = words_of(text.lower())
             tokens = {*words, *hidden}
             tokens |= {b for w in tokens for b in _beginnings(w)}
             counts[1 if label else 0].update(tokens)
@@ -68,17 +88,20 @@ def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(texts: list[str], lexicon: dict[str, float]) -> np.ndarray:
     out = np.zeros((len(texts), FEATURES))
+    start = {t[1:]: w for t, w in lexicon.items() if t[0] == "^"}.get
+    p, q, r = PREFIXES
     for i, text in enumerate(texts):
-        words, hidden = words_of(text)
+        low = text.lower()
+        words, hidden = words_of(low)
         n, chars = max(1, len(words)), max(1, len(text))
         at = [j for j, w in enumerate(words) if w in lexicon]
         weights = [lexicon[words[j]] for j in at]
-        begun = [max((lexicon.get(b, 0.0) for b in _beginnings(w)), default=0.0) for w in set(words) if len(w) > PREFIXES[0]]
+        begun = [max(start(w[:p], 0.0), start(w[:q], 0.0) if len(w) > q else 0.0, start(w[:r], 0.0) if len(w) > r else 0.0) for w in set(words) if len(w) > p]
         begun = [w for w in begun if w > 0]
         masked = [lexicon[w] for w in hidden if w in lexicon]
         people = [j for j, w in enumerate(words) if w in SECOND_PERSON]
         near = sum(any(abs(j - p) <= NEAR for p in people) for j in at) if people and at else 0
-        capitals = sum(map(str.isupper, text))
+        capitals = _capitals(text, low)
         marks = len(_MARKS.findall(text))
         out[i] = (
             len(at) / n, np.log1p(len(at)), max(weights, default=0.0), sum(weights), len(set(words[j] for j in at)),
@@ -106,7 +129,7 @@ class Model:
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """Tokens that toxic texts hold more often than others, with log odds, from (text, label)."""
-    counts = train.mapInArrow(token_counts, "token string, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    counts = train.mapInArrow(frugal(token_counts), "token string, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     sums = train.groupBy("label").count().collect()
     toxic, other = (sum(r["count"] for r in sums if bool(r["label"]) is side) for side in (True, False))
     if not toxic or not other:
@@ -138,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), flat], names=["id", "label", "x"])
 
-    rows = train.mapInArrow(featured, "id long, label int, x array<double>").toPandas().sort_values("id", kind="stable")
+    rows = train.mapInArrow(frugal(featured), "id long, label int, x array<double>").toPandas().sort_values("id", kind="stable")
     y = rows["label"].to_numpy(np.float64)
     if len(y) < 10 or y.min() == y.max():
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
@@ -162,4 +185,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, score double")
