@@ -152,3 +152,38 @@ def test_override_wins_field_by_field(spark):
     rules = spark.createDataFrame([(1, "text", 0.9), (2, "text", 0.8)], "id int, kind string, confidence double")
     given = spark.createDataFrame([(1, "image", None)], "id int, kind string, confidence double")
     assert [tuple(r) for r in decisions.apply_overrides(rules, given, ["id"], ["kind", "confidence"]).orderBy("id").collect()] == [(1, "image", 0.9), (2, "text", 0.8)]
+
+
+def test_preview_pdf_is_well_formed():
+    from quire.operators import preview
+
+    questions = [[("text", "다음 자료를 보고 " * 40), ("image", "")] for _ in range(12)]
+    data = preview.pdf(questions)
+    assert data.startswith(b"%PDF") and data.rstrip().endswith(b"%%EOF") and data.count(b"/Type /Page ") > 2
+    start = int(data.rsplit(b"startxref\n", 1)[1].split()[0])
+    table = data[start:].split(b"trailer")[0].split(b"\n")[3:-1]
+    for i, line in enumerate(table, start=1):
+        assert data[int(line[:10]) :].startswith(f"{i} 0 obj".encode())
+    assert preview.picture_size(5000, 100) == (511, 10) and preview.wrap("ab\ncd", 60) == ["ab", "cd"]
+    assert preview.thumbnail(np.zeros((3505, 2480), np.uint8)).shape == (438, 310)
+
+
+def test_layout_json(spark):
+    from quire.sources import services
+
+    text = '{"kids": [{"type": "header", "kids": [{"type": "p", "page number": 1, "bounding box": [0, 0, 1, 1], "content": "head"}]}, {"type": "p", "page number": 1, "bounding box": [0, 0, 1, 1], "content": " 1. a "}, 5]}'
+    nodes = services.layout_nodes(spark.createDataFrame([(1, text)], "doc_id long, json string"))
+    assert [r["content"] for r in layout.walk_tree(nodes).collect()] == ["1. a"]
+
+
+def test_model_replies(spark):
+    from quire.sources import services
+
+    def send(prompt):
+        if prompt == "bad":
+            raise ValueError
+        return '```json\n{"a": 1}\n```' if prompt == "fenced" else '{"a": 2}'
+
+    rows = spark.createDataFrame([(1, "fenced"), (2, "plain"), (3, "bad")], "doc_id long, prompt string")
+    got = {r["doc_id"]: r["answer"] and r["answer"]["a"] for r in services.complete_json(rows, send, "a int").collect()}
+    assert got == {1: 1, 2: 2, 3: None}
