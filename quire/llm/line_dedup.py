@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, ascii_lower, null_safe, text_of
+from .common import BLANK, ascii_lower, materialise, null_safe, text_of
 
 
 def line_key(line: Column) -> Column:
@@ -21,14 +21,29 @@ def line_hash(line: Column) -> Column:
     return F.unhex(F.md5(line_key(line).cast("binary")))
 
 
-def repeated_line_hashes(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(hash, n_docs) of the lines that at least min_docs rows of docs hold.
+#: A dropped line is hot from this share of all dropped places; so at most 1 / HOT_SHARE lines are
+#: broadcast, and no other line has more rows in one task.
+HOT_SHARE = 0.0001
+
+
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """_key of each row and the distinct hashes of its lines with at least min_chars code points in their keys."""
+    text = text_of(docs, text_col)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(line_key(x)) >= min_chars)
+    return docs.select(row_key(docs[id_col], text).alias("_key"), F.array_distinct(F.transform(lines, line_hash)).alias("hashes"))
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    return F.struct(null_safe(id_).alias("id"), F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(text, F.lit(2)).alias("b"))
+
+
+def repeated_line_hashes(hashed: DataFrame, min_docs: int = 10) -> DataFrame:
+    """(hash, n_docs) of the lines that at least min_docs rows hold.
 
     A line counts once in a row however often it stands there. Partial counts leave each input
     partition, so a line that every document holds moves as one row a partition.
     """
-    lines = F.filter(F.split(text_of(docs, text_col), "\n", -1), lambda x: F.length(line_key(x)) >= min_chars)
-    once = docs.select(F.explode(F.array_distinct(F.transform(lines, line_hash))).alias("hash"))
+    once = hashed.select(F.explode("hashes").alias("hash"))
     return once.groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
@@ -41,13 +56,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null and repeated ids do no harm.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    text = text_of(docs, text_col)
-    key = F.struct(null_safe(docs[id_col]).alias("id"), F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(text, F.lit(2)).alias("b"))
-    hashes = F.array_distinct(F.transform(F.split(text, "\n", -1), line_hash))
-    rows = docs.select(key.alias("_key"), F.explode(hashes).alias("hash"))
-    repeated = repeated_line_hashes(docs, text_col, min_docs, min_chars).select("hash")
-    found = rows.join(repeated, "hash").groupBy("_key").agg(F.collect_set("hash").alias("_drop"))
-    out = docs.withColumn("_key", key).join(found, "_key", "left")
+    hashed = materialise(hashed_lines(docs, id_col, text_col, min_chars), "line-hashes")
+    repeated = materialise(repeated_line_hashes(hashed, min_docs), "repeated-lines")
+    places = repeated.agg(F.sum("n_docs")).first()[0] or 0
+    is_hot = F.col("n_docs") >= F.lit(HOT_SHARE * places)
+    hot = F.broadcast(repeated.where(is_hot).select("hash"))  # at most 1 / HOT_SHARE rows
+    rows = hashed.select("_key", F.explode("hashes").alias("hash"))
+    common = rows.join(hot, "hash")
+    rest = rows.join(hot, "hash", "left_anti").join(repeated.where(~is_hot).select("hash"), "hash")
+    found = common.unionByName(rest).groupBy("_key").agg(F.collect_set("hash").alias("_drop"))
+    out = docs.withColumn("_key", row_key(docs[id_col], text_of(docs, text_col))).join(found, "_key", "left")
     lines = F.split(text_of(out, text_col), "\n", -1)
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), line_hash(x))))
     out = out.withColumn("_lines", F.size(lines).cast("long")).withColumn("_kept", kept)
