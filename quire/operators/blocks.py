@@ -58,9 +58,8 @@ def number_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("block_id", F.concat(F.lit("q"), "question_no", F.lit("_b"), k))
 
 
-def should_refine(kind: Column, top_type: Column, confidence: Column, is_table: Column, image_score: Column) -> Column:
+def should_refine(top_type: Column, confidence: Column, is_table: Column, image_score: Column) -> Column:
     """Blocks worth a second reading."""
-    del kind
     doubtful = (confidence < 0.9) | (top_type.isin("equation", "chem_equation") & (confidence < 0.98))
     return ~is_table & ~(image_score >= 0.9) & doubtful
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decisions import last_question_lines
-
 ANCHOR = r"^\\s*\\(?([0-9]+)\\)?[.)]?\\s*(.*)$"
 
 
@@ -56,6 +54,3 @@ def build_notes(blocks: DataFrame, expected: DataFrame) -> DataFrame:
     texts = rows.withColumn("_t", said).where("_t <> ''").groupBy("doc_id", "question_no").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("_t").alias("t")))).alias("_items"))
     out = expected.withColumn("question_no", F.col("question_no").cast("long")).join(texts, ["doc_id", "question_no"], "left").join(spans.select("doc_id", "question_no", "start_ord"), ["doc_id", "question_no"], "left")
     return out.select("doc_id", "question_no", F.col("_items").isNotNull().alias("exists"), F.coalesce(F.array_join(F.transform("_items", lambda i: i["t"]), "\n"), F.lit("")).alias("raw_text"), F.col("start_ord").isNull().alias("missing_note"))
-
-
-__all__ = ["build_notes", "last_question_lines", "note_anchors", "note_spans", "note_summary", "span_blocks"]

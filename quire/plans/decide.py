@@ -208,7 +208,7 @@ def join_block_id_lookup(spark, d):
 
 @plan("win_note_current", r"SELECT doc_id, ord, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord) AS current_no FROM (SELECT *, try_cast(nullif(regexp_extract(text, '^\s*([0-9]+)[.)]', 1), '') AS BIGINT) AS own FROM v_answers)")
 def win_note_current(spark, d):
-    return A.last_question_lines(V.answer_blocks(spark, d)).select("doc_id", "ord", "current_no")
+    return D.last_question_lines(V.answer_blocks(spark, d)).select("doc_id", "ord", "current_no")
 
 
 def _notes(spark, d):
@@ -340,7 +340,7 @@ def _confident(spark, d):
 @plan("flt_should_refine_block", f"SELECT doc_id, question_no, ord, {_REFINE} AS refine FROM v_conf", _CONF)
 def flt_should_refine_block(spark, d):
     image = F.when(F.col("type") == "image", 0.95).otherwise(0.0)
-    return _confident(spark, d).select("doc_id", "question_no", "ord", B.should_refine(F.col("type"), F.col("type"), F.col("confidence"), F.col("type") == "table", image).alias("refine"))
+    return _confident(spark, d).select("doc_id", "question_no", "ord", B.should_refine(F.col("type"), F.col("confidence"), F.col("type") == "table", image).alias("refine"))
 
 
 @plan("flt_uncertain_text", "SELECT doc_id, question_no, ord, confidence < 0.78 OR ord % 5 = 0 AS uncertain FROM v_conf", _CONF)
@@ -354,7 +354,7 @@ def flt_uncertain_text(spark, d):
 def exe_refine_ocr(spark, d):
     image = F.when(F.col("type") == "image", 0.95).otherwise(0.0)
     blocks = _confident(spark, d).withColumn("block_id", F.concat_ws("_", "question_no", "ord")).withColumnRenamed("content", "text")
-    second = blocks.where(B.should_refine(F.col("type"), F.col("type"), F.col("confidence"), F.col("type") == "table", image)).select("doc_id", "block_id", F.upper("text").alias("text"), F.lit(0.99).alias("confidence"))
+    second = blocks.where(B.should_refine(F.col("type"), F.col("confidence"), F.col("type") == "table", image)).select("doc_id", "block_id", F.upper("text").alias("text"), F.lit(0.99).alias("confidence"))
     return B.refine(blocks, second).select("doc_id", "question_no", "ord", "text", "confidence", "coarse_text", "ocr_engine")
 
 
