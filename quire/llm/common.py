@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import forget_powers
+
 #: `[\x20\x09-\x0D]`: what counts as blank wherever a contract says so (fixed value).
 BLANK = " \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -37,23 +42,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a staged table is written: shuffle files go when it is done, and Arrow batches stay small.
+_WHILE_STAGING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and return it as read from there.
 
     Lineage ends here: a lost executor costs a re-read, and no value that depended on
-    task order can change afterwards. Shuffle files of the write are dropped when it ends.
+    task order can change afterwards.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_STAGING}
+    for k, v in _WHILE_STAGING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path  # type: ignore[attr-defined]
     return out
@@ -81,7 +93,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that `column` holds about most_bytes at once (one long row may hold more)."""
     for batch in batches:
         n = batch.num_rows
@@ -94,6 +106,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             yield batch.slice(at, step)
 
 
+def frugal(f: Callable) -> Callable:
+    """A batch function that hands memory back when its partition ends: workers stay for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            forget_powers()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def partition_id() -> int:
     from pyspark import TaskContext
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, partition_id, slices, text_of
+from .common import discard, frugal, materialise, partition_id, slices, text_of
 from .hashing import Powers, splitmix
 from .tokens import END_ID, default_path, encoder
 
@@ -80,7 +80,7 @@ def encode_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import zstandard
 
         encode, compress = encoder(path).encode, zstandard.ZstdCompressor(level=3, write_content_size=True).compress
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in range(6)]
             for ids in encode(batch.column("text").to_pylist(), end_id):
                 raw, lo = ids.astype("<u4").tobytes(), 0
@@ -97,7 +97,7 @@ def encode_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_tokens", "root", "hashes", "sizes", "widths", "payloads"])
 
-    return rows.mapInArrow(run, _ENCODED)
+    return rows.mapInArrow(frugal(run), _ENCODED)
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def write_store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
     refs = F.arrays_zip(F.col("hashes").alias("hash"), F.col("sizes").alias("n_ids"))
     recipes = staged.select("doc_id", "n_tokens", "root", refs.alias("chunks")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recipes.schema.fields)
-    numbered = materialise(recipes.mapInArrow(_number, f"{kinds}, part int, at long, local_start long"), "recipes")
+    numbered = materialise(recipes.mapInArrow(frugal(_number), f"{kinds}, part int, at long, local_start long"), "recipes")
     discard(staged)
     parts = numbered.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each partition of the recipes.
@@ -141,9 +141,9 @@ def write_store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
     recipes = spark.read.parquet(f"{root}/recipes")
     leaves = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("rid", "root"))).alias("leaves"))
     kinds = "part int, n_docs long, n_tokens long, root binary"
-    files = materialise(leaves.mapInArrow(_file_roots, kinds), "manifest", f"{root}/manifest/files")
+    files = materialise(leaves.mapInArrow(frugal(_file_roots), kinds), "manifest", f"{root}/manifest/files")
     top = files.agg(F.lit(-1).alias("part"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.array_sort(F.collect_list(F.struct(F.col("part").cast("long").alias("rid"), "root"))).alias("leaves"))
-    materialise(top.mapInArrow(_file_roots, kinds), "manifest", f"{root}/manifest/corpus")
+    materialise(top.mapInArrow(frugal(_file_roots), kinds), "manifest", f"{root}/manifest/corpus")
 
 
 def _file_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     refs = recipes.select("rid", "doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("pos", "c")).select("rid", "doc_id", "start", "n_tokens", "root", "pos", F.col("c.hash").alias("hash"))
     found = refs.join(chunks, "hash", "left")
     docs = found.groupBy("rid", "doc_id", "start", "n_tokens", "root").agg(F.collect_list(F.struct("pos", "hash", "width", "payload")).alias("parts"))
-    return docs.drop("rid").mapInArrow(_rebuild, "doc_id long, start long, n_tokens long, ids binary")
+    return docs.drop("rid").mapInArrow(frugal(_rebuild), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 
 _U64 = np.uint64
+_ALL: weakref.WeakSet[Powers] = weakref.WeakSet()
+
+
+def forget_powers() -> None:
+    """Drop all tables of powers; they are made again when needed."""
+    for powers in _ALL:
+        powers.forget()
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -24,6 +33,10 @@ class Powers:
 
     def __init__(self, base: int):
         self.base = (_U64(base), _U64(pow(base, -1, 1 << 64)))
+        self.forget()
+        _ALL.add(self)
+
+    def forget(self) -> None:
         self.tables = [np.ones(1, _U64), np.ones(1, _U64)]
 
     def _upto(self, i: int, n: int) -> np.ndarray:

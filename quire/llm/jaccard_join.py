@@ -24,10 +24,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices, text_of
+from .common import discard, frugal, materialise, slices, text_of
 from .hashing import splitmix
 from .shingles import shingle_sets
 
@@ -61,6 +61,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
+def node_of(s: np.ndarray, seed: int) -> tuple[int, bytes]:
+    """(64-bit name of a set, 128-bit digest)"""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=str(seed).encode()[:16]).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), digest
+
+
 def may_reach(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
     """False only if 100 * intersection >= percent * union is impossible.
 
@@ -105,10 +111,11 @@ def _profile(k: int, seed: int, bits: int, range_bits: int, with_counts: bool) -
         held, seen = 0, set()
         names = [f.split()[0] for f in _PROFILE.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16, salt=str(seed).encode()[:16]).digest() for s in sets]
-            nodes = [int.from_bytes(d[:8], "little", signed=True) if len(s) else None for s, d in zip(sets, digests, strict=True)]
+            named = [node_of(s, seed) for s in sets]
+            digests = [d for _, d in named]
+            nodes = [n if len(s) else None for s, (n, _) in zip(sets, named, strict=True)]
             none = [None] * len(sets)
             columns = [batch.column("doc_id"), [len(s) for s in sets], nodes, digests, [bitmap(s) if len(s) else b"" for s in sets], [sketch(s) for s in sets], none, none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -162,7 +169,7 @@ def _count_range(least: int) -> Callable:
 def frequent_tokens(profile: DataFrame, least: int = LEAST_FREQUENT, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(truncated tokens, classes) of at most `most` tokens: those in at least `least` documents, or in more."""
     blobs = profile.where("token_range is not null").groupBy("token_range").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
-    table = materialise(blobs.mapInArrow(_count_range(least), "token long, df long"), "token-counts")
+    table = materialise(blobs.mapInArrow(frugal(_count_range(least)), "token long, df long"), "token-counts")
     sizes = table.groupBy(F.floor(F.log2("df") * 2).alias("class")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("class")).collect()  # under 130 rows
     total, lowest = 0, None
     for row in sizes:
@@ -234,12 +241,12 @@ def _index(scheme, k: int, seed: int, bits: int, frequent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, classes = frequent.value
         seen: set[int] = set()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             out: list[list] = [[], [], [], [], []]
             for s in shingle_sets(batch.column("text"), k):
                 if not len(s):
                     continue
-                node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16, salt=str(seed).encode()[:16]).digest()[:8], "little", signed=True)
+                node = node_of(s, seed)[0]
                 if node in seen:
                     continue
                 seen.add(node)
@@ -265,25 +272,29 @@ def _filter_pairs(test: Callable) -> Callable:
     return run
 
 
-def _node_sets(k: int) -> Callable:
+def _node_sets(k: int, seed: int) -> Callable:
+    """Sets of nodes; a row that only shares the id of a node's first row, not its set, is passed over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), k)], pa.binary())], names=["node", "set"])
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column("text"), k)
+            own = [i for i, (s, n) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if node_of(s, seed)[0] == n]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(own, pa.int64())), pa.array([sets[i].astype("<u8").tobytes() for i in own], pa.binary())], names=["node", "set"])
 
     return run
 
 
-def _similar(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _similar(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), a < b: those that reach the threshold."""
     maps = nodes.select("node", "n", "bitmap")
     with_maps = rows.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b")
-    hopeful = materialise(with_maps.select("a", "b", "n", "x", "m", "y").mapInArrow(_filter_pairs(lambda n, x, m, y: may_reach(n, x, m, y, percent)), "a long, b long"), "hopeful-pairs")
+    hopeful = materialise(with_maps.select("a", "b", "n", "x", "m", "y").mapInArrow(frugal(_filter_pairs(lambda n, x, m, y: may_reach(n, x, m, y, percent))), "a long, b long"), "hopeful-pairs")
     used = materialise(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct().join(nodes.select("node", "first_doc"), "node"), "hopeful-nodes")
     texts = docs.join(used.withColumnRenamed("first_doc", "doc_id"), "doc_id")
-    sets = materialise(texts.select("node", "text").mapInArrow(_node_sets(k), "node long, set binary"), "hopeful-sets")
+    sets = materialise(texts.select("node", "text").mapInArrow(frugal(_node_sets(k, seed)), "node long, set binary"), "hopeful-sets")
     both = hopeful.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.lit(0).alias("n"), "x", F.lit(0).alias("m"), "y")
     test = lambda n, x, m, y: reaches(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent)
-    links = materialise(both.mapInArrow(_filter_pairs(test), "a long, b long").distinct(), "links")
+    links = materialise(both.mapInArrow(frugal(_filter_pairs(test)), "a long, b long").distinct(), "links")
     for done in (sets, used, hopeful):
         discard(done)
     return links
@@ -323,9 +334,9 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_shingles, component_id for each row.
 
     Null text is empty; a text without words links with nothing and is its own class, and so is any row
-    without a partner. component_id is the least id in the class. Rows alike are one node. Ids are
-    keys: rows that share an id must share the text, or one of them may stand for the other. An
-    empty table gives no rows.
+    without a partner. component_id is the least id in the class. Rows alike are one node. Rows that
+    share an id and differ in text are nodes of their own. A text that stands under null ids alone
+    joins rows with its own set only, with a null component_id. An empty table gives no rows.
     """
     spark = docs.sparkSession
     percent = round(threshold * 100)
@@ -337,15 +348,15 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = min(63, max(40, int(size // 4).bit_length() + 13))
     seed = 0
     while True:
-        profile = materialise(rows.mapInArrow(_profile(k, seed, bits, range_bits, scheme.counts), _PROFILE), "profile")
+        profile = materialise(rows.mapInArrow(frugal(_profile(k, seed, bits, range_bits, scheme.counts)), _PROFILE), "profile")
         owned = profile.where("token_range is null and n > 0")
         nodes = materialise(owned.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), *[F.first(F.col("sketch")[i]).alias(c) for i, c in enumerate(SKETCH)], F.min("doc_id").alias("first_doc"), F.min("digest").alias("d0"), F.max("digest").alias("d1")), "nodes")
         if nodes.where("d0 <> d1").isEmpty():
             break
         seed += 1  # two sets met in 64 bits of their digests
     frequent = spark.sparkContext.broadcast(frequent_tokens(profile) if scheme.counts else (np.zeros(0, _U64), np.zeros(0, np.uint8)))
-    index = materialise(rows.mapInArrow(_index(scheme, k, seed, bits, frequent), "node long, n int, rare int, singles int, keys array<long>").dropDuplicates(["node"]), "index")
-    links = _links(spark, index, nodes, rows, k, percent)
+    index = materialise(rows.mapInArrow(frugal(_index(scheme, k, seed, bits, frequent)), "node long, n int, rare int, singles int, keys array<long>").dropDuplicates(["node"]), "index")
+    links = _links(index, nodes, rows, k, seed, percent)
     labels = components(links)
     firsts = labels.join(nodes.select("node", "first_doc"), "node").groupBy("label").agg(F.min("first_doc").alias("component_id"))
     named = materialise(nodes.select("node", "first_doc").join(labels, "node", "left").join(firsts, "label", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
@@ -353,7 +364,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return documents.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(spark: SparkSession, index: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(index: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, seed: int, percent: int) -> DataFrame:
     entries = index.select("node", "n", "rare", "singles", F.posexplode("keys").alias("pos", "key")).select("node", "n", "rare", (F.col("pos") < F.col("singles")).alias("single"), "key")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     hits = materialise(entries.join(shared, "key").join(nodes.select("node", *SKETCH), "node"), "hits")
@@ -368,7 +379,7 @@ def _links(spark: SparkSession, index: DataFrame, nodes: DataFrame, rows: DataFr
     allowed = sizes_allow & (F.col("single") | (by_counts * (100 + percent) <= most_apart)) & (by_sketch * (100 + percent) <= most_apart)
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     star = hits.join(pivots, "key").where(F.col("node") != F.col("other")).where(allowed).select(*pair).distinct()
-    links = _similar(star, nodes, rows, k, percent)
+    links = _similar(star, nodes, rows, k, seed, percent)
     # What the pivots left outside their component meets the rest of its buckets.
     labels = materialise(components(links), "labels")
     marked = hits.join(pivots.select("key", F.col("other").alias("pivot")), "key").where("node <> pivot").join(labels.toDF("node", "label"), "node", "left").join(labels.toDF("pivot", "pivot_label"), "pivot", "left")
@@ -376,7 +387,7 @@ def _links(spark: SparkSession, index: DataFrame, nodes: DataFrame, rows: DataFr
     outside = marked.where("label <> pivot_label").drop("pivot_label")
     rest = marked.select("key", F.col("label").alias("other_label"), *[F.col(c).alias(o) for c, o in theirs.items()])
     cross = outside.join(rest, "key").where("label <> other_label").where(allowed).select(*pair).distinct()
-    more = _similar(cross, nodes, rows, k, percent)
+    more = _similar(cross, nodes, rows, k, seed, percent)
     for done in (hits, pivots, labels, marked):
         discard(done)
     return links.unionByName(more)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices, text_of
+from .common import discard, frugal, materialise, slices, text_of
 
 ORDER, SYMBOLS = 4, 256
 #: Entries of a shard; one more pair of middle symbols may come on top (at most SYMBOLS**2 + 2 * SYMBOLS entries).
@@ -263,7 +263,7 @@ def add_log_probability(docs: DataFrame, model: Model, text_col: str = "text") -
                 place = batch.schema.get_field_index("_lm")
                 yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(sums), *batch.columns[place + 1 :]], names=batch.schema.names)
 
-        out = out.mapInArrow(run, kinds)
+        out = out.mapInArrow(frugal(run), kinds)
         if i + 1 < model.n_shards:  # one shard in memory at a time
             out = materialise(out, "lm-partial")
     return out
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     # A merge join at every size: labels grow with the corpus, and texts move once either way.
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), text_of(docs, text_col).alias("text")).join(ids.hint("merge"), "id")
     rows = rows.select("lang", "text", calibration_row(F.col("id")).alias("calibrates"))
-    gathered = materialise(rows.mapInArrow(_count, "gram long, c long, lang string, text string"), "lm-counts")
+    gathered = materialise(rows.mapInArrow(frugal(_count), "gram long, c long, lang string, text string"), "lm-counts")
     counts = gathered.where("gram is not null").select("gram", "c")
     if counts.isEmpty():
         return Classifier(None, None, 0.0, float("inf"))

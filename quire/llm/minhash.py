@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import frugal, slices, text_of
 from .hashing import splitmix
 from .shingles import shingles
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             flat = pa.array(s.astype(np.int32).ravel())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, count, dtype=np.int32)), flat)], names=["doc_id", "signature"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, signature array<int>")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, signature array<int>")
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int = 4000) -> DataFrame:
@@ -133,7 +133,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     rows = with_next_text(docs, id_col, text_col).select("doc_id", "text", "_ghost")
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = SHINGLE_WORDS, count: int = PERMUTATIONS, band_rows: int = 5) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, null_safe, partition_id, slices, text_of
+from .common import frugal, materialise, null_safe, partition_id, slices, text_of
 from .mixture import LEAST_TOKENS, Schedule, sequence_of
 from .tokens import END_ID, default_path, encoder
 
@@ -35,7 +35,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(path).encode, partition_id(), defaultdict(int)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             ids = [x.astype("<u4").tobytes() for x in encode(batch.column("text").to_pylist(), end_id)]
             n = [len(x) // 4 for x in ids]
             starts = []
@@ -47,7 +47,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 names=["doc_id", "queue", "part", "local_start", "n_tokens", "ids"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, queue string, part int, local_start long, n_tokens long, ids binary")
+    return rows.mapInArrow(frugal(run), "doc_id long, queue string, part int, local_start long, n_tokens long, ids binary")
 
 
 def queue_starts(encoded: DataFrame, lanes: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source_lane")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(names))
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source_lane int")
+    return placed.mapInArrow(frugal(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source_lane int")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ composition depends on their neighbours, very long pieces) goes through the toke
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -19,7 +19,7 @@ from .hashing import Powers, ragged, splitmix
 
 _U64 = np.uint64
 #: Pieces kept for a worker, about 50 bytes each; beyond them the cache starts anew.
-MAX_PIECES = 2_000_000
+MAX_PIECES = 600_000
 MAX_PIECE_CHARS = 500
 END_ID = 2
 
@@ -62,15 +62,16 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # The same model alone: pieces come lowered, composed and split by blanks, as byte symbols.
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        vocab = whole["model"]["vocab"]
+        self.ends = np.zeros(max([*vocab.values(), *(t["id"] for t in whole["added_tokens"])]) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.special = sorted(t["content"] for t in whole["added_tokens"])
+        # The model alone: pieces come lowered, composed and split by blanks, as byte symbols.
+        bare = whole | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(bare))
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
-        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.lower, self.kind = _tables()
         self.symbols = _byte_symbols()
         self.powers = [Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)]
@@ -81,6 +82,13 @@ class PieceEncoder:
         self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
+    @cached_property
+    def tokenizer(self):
+        """The whole tokenizer, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
