@@ -14,7 +14,7 @@ def test_stages_follow_each_other(spark):
     from quire.llm import tokens
     from quire.llm.common import materialise
 
-    from .test_near import brute_classes
+    from test_near import brute_classes
 
     names = spark.read.parquet(f"{SF}/documents.parquet").columns
     results, docs = [], spark.read.parquet(f"{SF}/documents.parquet")
