@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import WORD_REGEX, materialise, null_safe, text_of
 
 BLOCK_WORDS, MAX_BLOCKS, MAX_REPEATS = 4096, 4096, 3
-#: Blocks, from the one that a source's target cuts on, whose documents compete for the last words.
+#: Blocks, from the one that a source's target cuts on, whose documents are all gathered; of later ones, what still fits.
 EDGE_BLOCKS = 5
 
 
@@ -75,7 +75,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """docs with size, source_size, target and draws added: draws lists (epoch, shard) for each time the row is taken.
 
     Columns of these names are replaced. Size is the number of words, of null text 0. Rows of size 0 are
-    taken like others and count nothing. Null is a source, the last one. Rows alike fall into one
+    taken with their block, the one that the target cuts included, and count nothing. Null is a source, the last one. Rows alike fall into one
     block and tie; which of them an edge takes is open, but they are alike. One summary row per source reaches the
     driver. An empty table gives no rows.
     """
@@ -84,7 +84,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     text = text_of(docs, text_col)
     row_hash = F.xxhash64(docs[id_col], text, F.lit(seed))
     rows = docs.withColumns({"size": word_count(text), "_source": null_safe(docs[source_col]), "_hash": row_hash})
-    found = rows.groupBy("_source").agg(F.sum("size").alias("s")).collect()
+    # Words are counted once for the plan: rows alike are one row here, of their summed size.
+    sizes_of = materialise(rows.groupBy("_source", "_hash").agg(F.sum("size").alias("size")), "mix-sizes")
+    found = sizes_of.groupBy("_source").agg(F.sum("size").alias("s")).collect()
     # Sources by code point, null last.
     sizes = {r["_source"]: r["s"] for r in found}
     names = sorted(sizes, key=lambda s: (s == "0", s))
@@ -99,23 +101,31 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )
     plan = F.broadcast(plan)  # one row per source, made on the driver
     rows = rows.join(plan, "_source").withColumn("_block", F.pmod("_hash", "_blocks"))
+    sizes_of = sizes_of.join(plan, "_source").withColumn("_block", F.pmod("_hash", "_blocks"))
 
     # Whole blocks of the last pass, and the one that its end cuts: at most MAX_BLOCKS rows a source.
-    sums = materialise(rows.groupBy("_source", "_block", "_blocks", "_passes", "_rest").agg(F.sum("size").alias("_words")), "mix-blocks")
+    sums = materialise(sizes_of.groupBy("_source", "_block", "_blocks", "_passes", "_rest").agg(F.sum("size").alias("_words")), "mix-blocks")
     order = F.xxhash64("_source", "_block", "_passes", F.lit(seed))
     last = Window.partitionBy("_source").orderBy(order, "_block")
     sums = sums.withColumns({"_upto": F.sum("_words").over(last), "_rank": F.row_number().over(last)})
     cut_rank = F.min(F.when(F.col("_upto") > F.col("_rest"), F.col("_rank"))).over(Window.partitionBy("_source"))
     sums = sums.withColumn("_cut", F.when(F.col("_rest") > 0, cut_rank))
     part = F.when(F.col("_cut").isNull(), F.when(F.col("_upto") <= F.col("_rest"), "whole").otherwise("none"))
-    part = part.when(F.col("_rank") < F.col("_cut"), "whole").when(F.col("_rank") < F.col("_cut") + EDGE_BLOCKS, "edge").otherwise("none")
+    part = part.when(F.col("_rank") < F.col("_cut"), "whole").when(F.col("_rank") == F.col("_cut"), "cut").otherwise("later")
     room = F.max(F.when(F.col("_rank") == F.col("_cut"), F.col("_rest") - (F.col("_upto") - F.col("_words")))).over(Window.partitionBy("_source"))
-    sums = materialise(sums.withColumn("_part", part).withColumn("_room", room).drop("_cut"), "mix-parts")
+    sums = materialise(sums.withColumn("_part", part).withColumn("_room", room), "mix-parts")
 
     # The end of a target: whole documents, in block and hash order, while they fit. Only sizes are gathered.
-    edges = F.broadcast(sums.where("_part = 'edge'").select("_source", "_block", "_rank", "_room"))  # at most EDGE_BLOCKS a source
-    rivals = rows.select("_source", "_block", "_hash", "size").join(edges, ["_source", "_block"]).groupBy("_source", "_block", "_hash", "_rank", "_room").agg(F.sum("size").alias("size"))
-    taken = materialise(rivals.groupBy("_source").applyInPandas(_fill_room, "_source string, _block long, _hash long"), "mix-edge").withColumn("_in", F.lit(True))
+    tail = sums.where("_part in ('cut', 'later')").select("_source", "_block", "_rank", "_cut", "_room")
+    sized = sizes_of.where("size > 0").select("_source", "_block", "_hash", "size")
+    edges = F.broadcast(tail.where(F.col("_rank") < F.col("_cut") + EDGE_BLOCKS).drop("_cut"))  # at most EDGE_BLOCKS a source
+    kinds = "_source string, _block long, _hash long, size long"
+    taken = materialise(sized.join(edges, ["_source", "_block"]).groupBy("_source").applyInPandas(_fill_room, kinds), "mix-edge")
+    taken = materialise(taken.unionByName(_rest_of_room(sized, tail, taken).groupBy("_source").applyInPandas(_fill_last, kinds)), "mix-taken")
+    met = taken.select("_source", "_block").distinct().withColumn("_met", F.lit(True))
+    sums = sums.join(met, ["_source", "_block"], "left")
+    sums = sums.withColumn("_part", F.when(F.col("_part") != "later", F.col("_part")).when(F.col("_met"), "edge").otherwise("none")).drop("_met", "_cut", "_room")
+    taken = taken.drop("size").withColumn("_in", F.lit(True))
 
     # Draws: each pass has its own permutation of the blocks; draw numbers run through the passes.
     drawn = sums.withColumn("_epoch", F.explode(F.sequence(F.lit(0), "_passes"))).where((F.col("_epoch") < F.col("_passes")) | (F.col("_part") != "none"))
@@ -133,23 +143,47 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     dealt = materialise(dealt, "mix-dealt")
     rows = rows.join(dealt, ["_source", "_block"], "left").withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int>>")))
     keep = [*docs.columns, "size", "source_size", "target", "draws"]
-    plain = rows.where("_part is null or _part <> 'edge'")
-    cut = rows.where("_part = 'edge'").join(taken, ["_source", "_block", "_hash"], "left")
-    cut = cut.withColumn("draws", F.when(F.col("_in"), F.col("draws")).otherwise(F.filter("draws", lambda d: d["epoch"] < F.col("_passes"))))
+    plain = rows.where("_part is null or _part not in ('cut', 'edge')")
+    cut = rows.where("_part in ('cut', 'edge')").join(taken, ["_source", "_block", "_hash"], "left")
+    cut = cut.withColumn("draws", F.when(F.col("_in") | ((F.col("_part") == "cut") & (F.col("size") == 0)), F.col("draws")).otherwise(F.filter("draws", lambda d: d["epoch"] < F.col("_passes"))))
     return plain.select(*keep).unionByName(cut.select(*keep))
 
 
-def _fill_room(rivals: pd.DataFrame) -> pd.DataFrame:
-    """The rivals that a source's last words go to: in order while they fit, then the one that comes nearest."""
+def _rest_of_room(sized: DataFrame, tail: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rivals for the room that the first blocks leave, from all blocks of the tail: what may still be taken, no more.
+
+    If a document does not fit, no later one of its size does; so of each size those in the first blocks
+    that hold room / size + 1 of them are enough. The one more may come nearest to the end.
+    """
+    used = taken.groupBy("_source").agg(F.sum("size").alias("_used"))
+    left = tail.where("_rank = _cut").select("_source", "_room").join(used, "_source", "left").select("_source", (F.col("_room") - F.coalesce("_used", F.lit(0))).alias("_room"))
+    may = sized.join(F.broadcast(left), "_source").where(F.col("size") < 2 * F.col("_room"))  # one row a source
+    may = may.join(tail.select("_source", "_block", "_rank"), ["_source", "_block"]).join(taken.select("_source", "_block", "_hash"), ["_source", "_block", "_hash"], "left_anti")
+    held = may.groupBy("_source", "size", "_block", "_rank", "_room").agg(F.count(F.lit(1)).alias("_n"))  # at most MAX_BLOCKS rows a size
+    before = F.sum("_n").over(Window.partitionBy("_source", "size").orderBy("_rank")) - F.col("_n")
+    first = held.withColumn("_before", before).where(F.col("_before") <= F.floor(F.col("_room") / F.col("size"))).select("_source", "size", "_block")
+    return may.join(first, ["_source", "size", "_block"])
+
+
+def _fill(rivals: pd.DataFrame, nearest: bool) -> pd.DataFrame:
+    """The rivals that a source's last words go to: in order while they fit, then, if asked, the one that comes nearest."""
     rivals = rivals.sort_values(["_rank", "_hash"])
     sizes, room, take = rivals["size"].to_numpy(), float(rivals["_room"].iloc[0]), np.zeros(len(rivals), bool)
     for i, size in enumerate(sizes.tolist()):
         if size <= room:
             take[i], room = True, room - size
     left = np.where(take, np.inf, np.abs(sizes - room))
-    if len(left) and left.min() < room:
+    if nearest and len(left) and left.min() < room:
         take[int(left.argmin())] = True
-    return rivals.loc[take, ["_source", "_block", "_hash"]]
+    return rivals.loc[take, ["_source", "_block", "_hash", "size"]]
+
+
+def _fill_room(rivals: pd.DataFrame) -> pd.DataFrame:
+    return _fill(rivals, nearest=False)
+
+
+def _fill_last(rivals: pd.DataFrame) -> pd.DataFrame:
+    return _fill(rivals, nearest=True)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=cycle_weights, shards: int = 8, seed: int = 11, repeats: int = MAX_REPEATS) -> DataFrame:

@@ -51,6 +51,16 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in mixed) == Counter({r["doc_id"]: len(r["draws"]) for r in planned if r["draws"]})
 
 
+def test_mix_fills_the_room_of_a_long_document(spark, monkeypatch):
+    """The target's end falls on a document longer than EDGE_BLOCKS blocks, and those after it do not fill the room."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    for long_id in (1000, 1001, 1002, 1003):
+        rows = [(long_id, "w " * 2000, "a"), *[(i, "w " * 5, "a") for i in range(800)], *[(i, "w " * 5, "b") for i in range(2000, 2800)]]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        mixed = mixing.plan_mix(docs).where("source = 'a'").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"), F.first("target").alias("target")).first()
+        assert abs(mixed["taken"] - mixed["target"]) <= 5
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     assert mixing.plan_mix(odd_docs).count() == odd_docs.count()
     assert mixing.mix(odd_docs).where("source = 'c'").count() >= 1
