@@ -1,18 +1,20 @@
 """A quality classifier: interpolated modified Kneser-Ney n-grams of characters, trained on trusted text.
 
-Trusted rows are split by id: most give counts, a fifth calibrates. Counts of all their 4-grams are
-gathered by key; continuation counts, context totals, discounts and interpolated probabilities follow by
-sharded joins of count tables. Probabilities of orders 1 and 2 are dense (256 symbols). Those of
-orders 3 and 4 are cut by their two middle symbols, which every table that a position needs has in
-common, into shards of bounded size; documents are scored against one shard after the other, and the
-log probabilities add up. A document whose perplexity is above its language's quantile of trusted text
-is rejected.
+Trusted rows are split by id: most give counts, a fifth calibrates. Counts of all their n-grams of the
+highest order are gathered by key; continuation counts, context totals, discounts and interpolated
+probabilities follow by sharded joins of count tables. Probabilities of orders 1 and 2 are dense (256
+symbols). Those of higher orders are cut by the two symbols before the last, which every table that a position needs
+has in common, into shards of bounded size; documents are scored in one pass, a bounded run of
+texts against one shard after the other, and the log probabilities add up. A document whose perplexity is
+above its language's quantile of trusted text is rejected.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,45 +24,52 @@ from pyspark.sql import functions as F
 
 from .common import discard, frugal, materialise, slices, text_of
 
-ORDER, SYMBOLS = 4, 256
+#: ORDER is the classifier's; single functions take any from 3 to 7.
+ORDER, SYMBOLS = 6, 256
 #: Entries of a shard; one more pair of middle symbols may come on top (at most SYMBOLS**2 + 2 * SYMBOLS entries).
-SHARD_ROWS = 2_000_000
-#: Share of trusted text that stays below the threshold.
-KEEP_QUANTILE = 0.998
+SHARD_ROWS = 500_000
+#: Text that a task holds while it reads one shard after the other.
+CHUNK_BYTES = 16 << 20
+#: Share of trusted text that stays below the threshold: on held-out labels the least sum of both error rates (README).
+KEEP_QUANTILE = 0.98
 #: Characters of its language's mean perplexity that each document is given, so that short ones vary less.
 PRIOR_CHARS = 200
 #: Fewer calibration documents than this share the threshold of all languages.
 LEAST_CALIBRATION = 50
-_PAIR, _TRIPLE = (1 << 16) - 1, (1 << 24) - 1
+_PAIR = (1 << 16) - 1
 
 
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols with ORDER - 1 zeros before each text, where each text's zeros begin).
+def symbols(texts: list[str], order: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with order - 1 zeros before each text, where each text's zeros begin).
 
     ASCII stands for itself; other code points share the upper 128 symbols by remainder.
     """
-    pad = "\0" * (ORDER - 1)
+    pad = "\0" * (order - 1)
     codes = np.frombuffer((pad + pad.join(texts) if texts else "").encode("utf-32-le", "surrogatepass"), "<u4")
-    at = np.concatenate([[0], np.cumsum([len(t) + ORDER - 1 for t in texts])]).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum([len(t) + order - 1 for t in texts])]).astype(np.int64)
     return np.where(codes < 128, codes, 128 + codes % 128).astype(np.int64), at
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each place from ORDER - 1 on."""
-    return codes[:-3] << 24 | codes[1:-2] << 16 | codes[2:-1] << 8 | codes[3:]
+def grams(codes: np.ndarray, order: int = 4, at: np.ndarray | None = None) -> np.ndarray:
+    """The n-gram that ends at each place from order - 1 on, or only those numbered by at."""
+    n = len(codes) - order + 1
+    out = np.zeros(n if at is None else len(at), np.int64)
+    for k in range(order):
+        out = out << 8 | (codes[k : k + n] if at is None else codes[at + k])
+    return out
 
 
-def inside(at: np.ndarray, n: int) -> np.ndarray:
+def inside(at: np.ndarray, n: int, order: int = 4) -> np.ndarray:
     """Which of n grams end inside a text and not in the zeros between texts."""
     ok = np.ones(n, bool)
-    for k in range(ORDER - 1):
-        later = at[1:-1] + k - (ORDER - 1)
+    for k in range(order - 1):
+        later = at[1:-1] + k - (order - 1)
         ok[later[(later >= 0) & (later < n)]] = False
     return ok
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Calibration rows as they are; of the others 4-gram counts, once a partition."""
+def _count(batches: Iterator[pa.RecordBatch], order: int = 4) -> Iterator[pa.RecordBatch]:
+    """Calibration rows as they are; of the others n-gram counts, once a partition."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     names = ["gram", "c", "lang", "text"]
     for batch in slices(batches, "text"):
@@ -70,10 +79,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.nulls(kept.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, kept.column("lang"), kept.column("text")], names=names)
         texts = [t for t, x in zip(batch.column("text").to_pylist(), calibrates.to_pylist(), strict=True) if not x]
-        codes, at = symbols(texts)
-        if len(codes) >= ORDER:
-            g = grams(codes)
-            new, n = np.unique(g[inside(at, len(g))], return_counts=True)
+        codes, at = symbols(texts, order)
+        if len(codes) >= order:
+            g = grams(codes, order)
+            new, n = np.unique(g[inside(at, len(g), order)], return_counts=True)
             both, sums = np.concatenate([keys, new]), np.concatenate([counts, n])
             keys, where = np.unique(both, return_inverse=True)
             counts = np.bincount(where, sums, len(keys)).astype(np.int64)
@@ -143,49 +152,49 @@ class HashTable:
 
 @dataclass
 class Shard:
-    pairs: np.ndarray | None  # which middle pairs it has (65,536 booleans); None: all
-    p4: HashTable  # log probability of seen 4-grams
-    p3: HashTable  # of seen 3-grams, by continuation
-    back3: HashTable  # log weight that a seen context of three leaves to order 3
+    order: int
+    pairs: np.ndarray  # which middle pairs it has (65,536 booleans)
+    p: dict[int, HashTable]  # order -> log probability of seen grams, below the highest order by continuation
+    back: dict[int, HashTable]  # length -> log weight that a seen context leaves to the order of its length
     back2: np.ndarray  # dense: of contexts of two to order 2
     p2: np.ndarray  # dense: order 2, interpolated with 1
 
     def sums(self, texts: list[str]) -> np.ndarray:
         """Log probability of each text over the places this shard has."""
-        codes, at = symbols(texts)
-        if len(codes) < ORDER:
+        order = self.order
+        codes, at = symbols(texts, order)
+        n = len(codes) - order + 1
+        if n <= 0:
             return np.zeros(len(texts))
-        g = grams(codes)
-        ok = inside(at, len(g))
-        if self.pairs is not None:
-            ok &= self.pairs[(g >> 8) & _PAIR]
-        out = np.zeros(len(g), np.float64)
+        ok = inside(at, n, order) & self.pairs[codes[order - 3 : order - 3 + n] << 8 | codes[order - 2 : order - 2 + n]]
+        out = np.zeros(n, np.float64)
         places = np.flatnonzero(ok)
-        keys = g[places]
-        value = self.p4.find(keys, np.nan)
-        miss = np.isnan(value)
-        if miss.any():
-            k = keys[miss]
-            lower = self.p3.find(k & _TRIPLE, np.nan)
-            deep = np.isnan(lower)
-            lower[deep] = self.back2[(k[deep] >> 8) & _PAIR] + self.p2[k[deep] & _PAIR]
-            value[miss] = self.back3.find(k >> 8, 0.0) + lower
-        out[places] = value
+        keys = grams(codes, order, places)
+        for o in range(order, 2, -1):
+            found = self.p[o].find(keys & ((1 << 8 * o) - 1), np.nan)
+            miss = np.isnan(found)
+            out[places[~miss]] += found[~miss]
+            places, keys = places[miss], keys[miss]
+            context = (keys >> 8) & ((1 << 8 * (o - 1)) - 1)
+            out[places] += self.back[o - 1].find(context, 0.0) if o > 3 else self.back2[context]
+        out[places] += self.p2[keys & _PAIR]
         total = np.concatenate([[0.0], np.cumsum(out)])
-        ends = np.minimum(at[1:] - (ORDER - 1), len(g))
-        return total[ends] - total[np.minimum(at[:-1], len(g))]
+        ends = np.minimum(at[1:] - (order - 1), n)
+        return total[ends] - total[np.minimum(at[:-1], n)]
 
 
 class Model:
     """Tables of interpolated probabilities, cut into shards that are read one at a time."""
 
-    def __init__(self, p4: DataFrame, p3: DataFrame, back3: DataFrame, back2: np.ndarray, p2: np.ndarray):
-        self.tables = {"p4": (p4, F.shiftright("gram", 8).bitwiseAND(_PAIR)), "p3": (p3, F.shiftright("gram", 8)), "back3": (back3, F.col("gram").bitwiseAND(_PAIR))}
+    def __init__(self, order: int, p: dict[int, DataFrame], back: dict[int, DataFrame], back2: np.ndarray, p2: np.ndarray):
+        self.order = order
+        self.tables = {("p", o): (df, F.shiftright("gram", 8).bitwiseAND(_PAIR)) for o, df in p.items()}
+        self.tables |= {("back", n): (df, F.col("gram").bitwiseAND(_PAIR)) for n, df in back.items()}
         self.back2, self.p2 = back2, p2
         sizes = np.zeros(_PAIR + 1, np.int64)
-        for df, pair in self.tables.values():
-            for r in df.groupBy(pair.cast("int").alias("pair")).count().collect():  # at most 65,536 rows
-                sizes[r["pair"]] += r["count"]
+        pairs = reduce(DataFrame.unionByName, [df.select(pair.cast("int").alias("pair")) for df, pair in self.tables.values()])
+        found = pairs.groupBy("pair").count().toPandas()  # at most 65,536 rows
+        sizes[found["pair"].to_numpy(np.int64)] = found["count"]
         self.bins = np.zeros(_PAIR + 1, np.int64)
         held = current = 0
         for pair in np.flatnonzero(sizes):
@@ -193,26 +202,41 @@ class Model:
                 current, held = current + 1, 0
             self.bins[pair], held = current, held + sizes[pair]
         self.n_shards = current + 1
-
-    def shard(self, i: int) -> Shard:
-        mine = self.bins == i
-        found = {}
-        for name, (df, pair) in self.tables.items():
-            if self.n_shards > 1:
-                spark = df.sparkSession
-                wanted = spark.createDataFrame(pd.DataFrame({"pair": np.flatnonzero(mine)}))
-                df = df.withColumn("pair", pair.cast("long")).join(F.broadcast(wanted), "pair", "left_semi")
-            rows = df.select("gram", F.col("value").cast("float").alias("value")).toPandas()
-            found[name] = HashTable.make(rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(np.float32))
-        return Shard(mine if self.n_shards > 1 else None, found["p4"], found["p3"], found["back3"], self.back2, self.p2)
-
-
-def train(counts: DataFrame) -> Model:
-    """The model of a table of 4-gram counts (gram, c)."""
-    g4 = counts.groupBy("gram").agg(F.sum("c").alias("c"))
-    g4 = materialise(g4, "grams-4")
-    g3 = materialise(g4.groupBy(F.col("gram").bitwiseAND(_TRIPLE).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams-3")
-    two = g3.groupBy(F.col("gram").bitwiseAND(_PAIR).alias("gram")).agg(F.count(F.lit(1)).alias("c")).toPandas()  # at most 65,536 rows
+        self._shared: list = []
+
+    def shared(self) -> list:
+        """The shards as broadcasts, made once; the driver reads one at a time."""
+        if not self._shared:
+            built = materialise(self.shards(), "lm-shards")
+            sc = built.sparkSession.sparkContext
+            self._shared = [sc.broadcast(bytes(built.where(F.col("bin") == i).first()["content"])) for i in range(self.n_shards)]
+            discard(built)
+        return self._shared
+
+    def shards(self) -> DataFrame:
+        """bin, content (a shard's pickled tables): built where the tables lie, each from one group of bounded size."""
+        spark, bins, made = next(iter(self.tables.values()))[0].sparkSession, self.bins, (self.order, self.back2, self.p2)
+        binned = F.broadcast(spark.createDataFrame(pd.DataFrame({"pair": np.arange(_PAIR + 1), "bin": bins})))  # 65,536 rows
+        rows = [df.select(F.lit(name).alias("name"), F.lit(n).alias("n"), "gram", F.col("value").cast("float").alias("value"), pair.cast("long").alias("pair")) for (name, n), (df, pair) in self.tables.items()]
+        kinds = list(self.tables)
+
+        def build(group: pd.DataFrame) -> pd.DataFrame:
+            found = {}
+            for name, n in kinds:
+                some = group[(group["name"] == name) & (group["n"] == n)]
+                found[name, n] = some["gram"].to_numpy(np.int64), some["value"].to_numpy(np.float32)
+            i = int(group["bin"].iloc[0])
+            return pd.DataFrame({"bin": [i], "content": [pickle.dumps((made, np.packbits(bins == i), found), 5)]})
+
+        return reduce(DataFrame.unionByName, rows).join(binned, "pair").groupBy("bin").applyInPandas(build, "bin long, content binary")
+
+
+def train(counts: DataFrame, order: int = 4) -> Model:
+    """The model of a table of n-gram counts (gram, c) of the given order."""
+    g = {order: materialise(counts.groupBy("gram").agg(F.sum("c").alias("c")), f"grams-{order}")}
+    for o in range(order - 1, 2, -1):
+        g[o] = materialise(g[o + 1].groupBy(F.col("gram").bitwiseAND((1 << 8 * o) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"grams-{o}")
+    two = g[3].groupBy(F.col("gram").bitwiseAND(_PAIR).alias("gram")).agg(F.count(F.lit(1)).alias("c")).toPandas()  # at most 65,536 rows
 
     # Orders 1 and 2, dense.
     c2 = np.zeros(SYMBOLS * SYMBOLS)
@@ -229,44 +253,66 @@ def train(counts: DataFrame) -> Model:
     p1 = interpolated(c1, np.full(SYMBOLS, 1 / SYMBOLS))
     p2 = interpolated(c2, np.broadcast_to(p1, (SYMBOLS, SYMBOLS)))
 
-    d3, d4 = _counts_of_counts(g3), _counts_of_counts(g4)
     context = F.shiftright("gram", 8)
 
     def contexts(level: DataFrame, d: tuple[float, float, float]) -> DataFrame:
         return level.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(_discount(d)).alias("freed"))
 
     spark = counts.sparkSession
-    dense = spark.createDataFrame(pd.DataFrame({"low": np.arange(SYMBOLS * SYMBOLS), "low_p": p2.ravel()}))
-    by3 = g3.withColumns({"context": context, "low": F.col("gram").bitwiseAND(_PAIR)}).join(contexts(g3, d3), "context").join(F.broadcast(dense), "low")
-    p3 = materialise(by3.select("gram", ((F.col("c") - _discount(d3) + F.col("freed") * F.col("low_p")) / F.col("total")).alias("p")), "p3")
-    by4 = g4.withColumns({"context": context, "low": F.col("gram").bitwiseAND(_TRIPLE)}).join(contexts(g4, d4), "context").join(p3.toDF("low", "low_p"), "low")
-    p4 = materialise(by4.select("gram", F.log((F.col("c") - _discount(d4) + F.col("freed") * F.col("low_p")) / F.col("total")).alias("value")), "p4")
-    back3 = materialise(contexts(g4, d4).select(F.col("context").alias("gram"), F.log(F.col("freed") / F.col("total")).alias("value")), "back3")
-    two_back = contexts(g3, d3).toPandas()  # at most 65,536 rows
+    lower = F.broadcast(spark.createDataFrame(pd.DataFrame({"low": np.arange(SYMBOLS * SYMBOLS), "low_p": p2.ravel()})))
+    p, back = {}, {}
+    for o in range(3, order + 1):
+        d = _counts_of_counts(g[o])
+        left = contexts(g[o], d)
+        by = g[o].withColumns({"context": context, "low": F.col("gram").bitwiseAND((1 << 8 * (o - 1)) - 1)}).join(left, "context").join(lower, "low")
+        p[o] = materialise(by.select("gram", ((F.col("c") - _discount(d) + F.col("freed") * F.col("low_p")) / F.col("total")).alias("p")), f"p{o}")
+        lower = p[o].toDF("low", "low_p")
+        if o == 3:
+            two_back = left.toPandas()  # at most 65,536 rows
+        else:
+            back[o - 1] = materialise(left.select(F.col("context").alias("gram"), F.log(F.col("freed") / F.col("total")).alias("value")), f"back{o - 1}")
     back2 = np.zeros(SYMBOLS * SYMBOLS, np.float32)
     back2[two_back["context"].to_numpy(np.int64)] = np.log(two_back["freed"] / two_back["total"])
-    return Model(p4, p3.select("gram", F.log("p").alias("value")), back3, back2, np.log(p2).astype(np.float32).ravel())
+    return Model(order, {o: df.select("gram", F.log("p").alias("value")) for o, df in p.items()}, back, back2, np.log(p2).astype(np.float32).ravel())
+
+
+def _read(shared) -> Shard:
+    """A broadcast shard, read without being kept: one is in memory at a time."""
+    (order, back2, p2), pairs, found = pickle.loads(shared.load_from_path(shared._path) if getattr(shared, "_path", None) else shared.value)
+    tables: dict[str, dict[int, HashTable]] = {"p": {}, "back": {}}
+    for (name, n), rows in found.items():
+        tables[name][n] = HashTable.make(*rows)
+    return Shard(order, np.unpackbits(pairs).astype(bool), tables["p"], tables["back"], back2, p2)
 
 
 def add_log_probability(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with _lm (summed log probability of the text) added; null counts as empty, 0."""
-    spark = docs.sparkSession
     out = docs.withColumn("_lm", F.lit(0.0))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    for i in range(model.n_shards):
-        shard = spark.sparkContext.broadcast(model.shard(i))
-
-        def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_col):
-                texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                sums = np.asarray(batch.column("_lm").to_numpy(zero_copy_only=False)) + shard.value.sums(texts)
-                place = batch.schema.get_field_index("_lm")
-                yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(sums), *batch.columns[place + 1 :]], names=batch.schema.names)
-
-        out = out.mapInArrow(frugal(run), kinds)
-        if i + 1 < model.n_shards:  # one shard in memory at a time
-            out = materialise(out, "lm-partial")
-    return out
+    shards = model.shared()
+
+    def scored(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(b.num_rows) for b in held]
+        for shared in shards:
+            shard = _read(shared)
+            for b, total in zip(held, sums, strict=True):
+                total += shard.sums([t or "" for t in b.column(text_col).to_pylist()])
+        for b, total in zip(held, sums, strict=True):
+            place = b.schema.get_field_index("_lm")
+            yield pa.RecordBatch.from_arrays([*b.columns[:place], pa.array(total), *b.columns[place + 1 :]], names=b.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches, text_col):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield from scored(held)
+                held, size = [], 0
+        if held:
+            yield from scored(held)
+
+    return out.mapInArrow(frugal(run), kinds)
 
 
 def calibration_row(id_col: Column) -> Column:
@@ -286,17 +332,17 @@ def _key(lang: Column) -> Column:
     return F.when(lang.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), lang))
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = KEEP_QUANTILE) -> Classifier:
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = KEEP_QUANTILE, order: int = ORDER) -> Classifier:
     """A classifier from the rows of docs whose id is in `trusted` (one column of ids). All of them are used."""
     ids = trusted.toDF("id").where("id is not null").distinct()
     # A merge join at every size: labels grow with the corpus, and texts move once either way.
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), text_of(docs, text_col).alias("text")).join(ids.hint("merge"), "id")
     rows = rows.select("lang", "text", calibration_row(F.col("id")).alias("calibrates"))
-    gathered = materialise(rows.mapInArrow(frugal(_count), "gram long, c long, lang string, text string"), "lm-counts")
+    gathered = materialise(rows.mapInArrow(frugal(partial(_count, order=order)), "gram long, c long, lang string, text string"), "lm-counts")
     counts = gathered.where("gram is not null").select("gram", "c")
     if counts.isEmpty():
         return Classifier(None, None, 0.0, float("inf"))
-    model = train(counts)
+    model = train(counts, order)
     held = add_log_probability(gathered.where("gram is null").select("lang", "text"), model)
     held = materialise(held.select(_key(F.col("lang")).alias("lang_key"), (-F.col("_lm")).alias("cost"), F.length("text").alias("n")), "lm-calibration")
     discard(gathered)

@@ -108,6 +108,41 @@ def test_model_against_brute_force(spark, monkeypatch, rows_a_shard):
         assert r["_lm"] == pytest.approx(brute_probability(texts, t or ""), abs=1e-3)
 
 
+@pytest.mark.parametrize("rows_a_shard", [2_000_000, 60])
+def test_model_of_six_against_brute_force(spark, monkeypatch, rows_a_shard):
+    monkeypatch.setattr(M, "SHARD_ROWS", rows_a_shard)
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "é ü 日本", "x"]
+    code = lambda t: [0] * 5 + [ord(c) if ord(c) < 128 else 128 + ord(c) % 128 for c in t]
+    counts = {6: Counter(tuple(c[i : i + 6]) for c in map(code, texts) for i in range(len(c) - 5))}
+    for o in range(5, 0, -1):
+        counts[o] = Counter(g[1:] for g in counts[o + 1])
+    d = {o: (0.0, *M.discounts(*[sum(v == k for v in counts[o].values()) for k in (1, 2, 3, 4)])) for o in counts}
+
+    def p(g):
+        same = [n for h, n in counts[len(g)].items() if h[:-1] == g[:-1]]
+        lower, off = p(g[1:]) if len(g) > 1 else 1 / 256, d[len(g)]
+        n = counts[len(g)][g]
+        return (n - off[min(n, 3)] + sum(off[min(m, 3)] for m in same) * lower) / sum(same) if same else lower
+
+    docs = spark.createDataFrame([(False, "en", t) for t in texts], "calibrates boolean, lang string, text string").repartition(2)
+    model = M.train(docs.mapInArrow(lambda b: M._count(b, 6), "gram long, c long, lang string, text string").select("gram", "c"), 6)
+    assert (model.n_shards > 1) is (rows_a_shard == 60)
+    asked = [*texts, "the mat sat", "zzz", "", None, "日"]
+    got = M.add_log_probability(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, text string").coalesce(1), model).orderBy("i").collect()
+    for r, c in zip(got, [code(t or "") for t in asked], strict=True):
+        assert r["_lm"] == pytest.approx(sum(math.log(p(tuple(c[i : i + 6]))) for i in range(len(c) - 5)), abs=1e-3)
+
+
+def test_classifier_rejects_a_repeated_word(spark):
+    """Each run of four characters in it is common in good text, runs of six are not."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["theory", "thesis", "thermal", "bathe", "lathe", "soothe", "a"]
+    good = [(i, " ".join(rng.choice(vocabulary, 60)), "en") for i in range(400)]
+    docs = spark.createDataFrame([*good, (1000, "the " * 300, "en")], "doc_id long, text string, lang string")
+    scored = M.classify(docs, M.fit(docs, spark.range(400).toDF("id")))
+    assert not scored.where("doc_id = 1000").first()["kept"] and scored.where("doc_id < 1000 and kept").count() >= 380
+
+
 def test_classifier_rejects_what_is_strange(spark, odd_docs, no_docs):
     rng = np.random.default_rng(2)
     vocabulary = ["the", "cat", "dog", "sat", "on", "a", "mat", "ran", "far", "away"]
