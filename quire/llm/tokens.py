@@ -37,11 +37,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     import unicodedata
 
     lower, kind = np.arange(0x2101, dtype=np.uint32), np.full(0x2101, _BEYOND, np.uint8)
-    for c in range(0x2100):
-        if not (c < 0x250 or 0x2010 <= c <= 0x2027 or 0x2030 <= c <= 0x205E or 0x20A0 <= c <= 0x20BF):
-            continue
+    plain = [c for c in range(0x2100) if c < 0x250 or 0x2010 <= c <= 0x2027 or 0x2030 <= c <= 0x205E or 0x20A0 <= c <= 0x20BF]
+    plain = {c for c in plain if not (0x1C <= c <= 0x1F or c == 0x85) and unicodedata.normalize("NFC", chr(c)) == chr(c)}
+    for c in plain:
         x = chr(c)
-        if 0x1C <= c <= 0x1F or c == 0x85 or len(x.lower()) > 1 or unicodedata.normalize("NFC", x) != x:
+        if len(x.lower()) > 1 or ord(x.lower()) not in plain:  # a lower case outside the table, as that of U+023A
             continue
         lower[c] = ord(x.lower())
         major = unicodedata.category(x)[0]

@@ -27,11 +27,17 @@ def test_encoder_equals_the_tokenizer(texts):
 
 
 def test_encoder_on_fixed_texts():
-    texts = ["don't we'll it's 'tis I'M 'RE", "<|endoftext|> a<|startoftext|>b", "''s ,'s 's's", "x" * 700 + " y", "", " ", "İI ıi ǅ ª º × ÷"]
+    texts = ["don't we'll it's 'tis I'M 'RE", "<|endoftext|> a<|startoftext|>b", "''s ,'s 's's", "x" * 700 + " y", "", " ", "İI ıi ǅ ª º × ÷", "Ⱥ", "aȾb Ɓx yƂ1ɃɄ Ɏ"]
     got = tokens.encoder(tokens.default_path()).encode(texts)
     assert [g.tolist() for g in got] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_on_each_code_point_of_its_table():
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x2200)]
+    got = tokens.encoder(tokens.default_path())
+    assert [c for c, t in enumerate(texts) if got.encode([t])[0].tolist() != TOKENIZER.encode(t, add_special_tokens=False).ids] == []
+
+
 def test_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_PIECES", 5)
     e = tokens.PieceEncoder(tokens.default_path())
