@@ -36,8 +36,15 @@ def note_summary(blocks: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def span_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Blocks inside spans: an interval join on ordinals within a document."""
-    return blocks.join(spans, "doc_id").where(F.col("ord").between(F.col("start_ord"), F.col("end_ord")))
+    """Blocks inside spans that do not overlap and begin at a block: each block looks back to the last beginning.
+
+    A span meets its first block by an equi-join and is carried on by a window, so a document costs its blocks, not blocks times spans.
+    """
+    span = F.struct("question_no", "start_ord", "end_ord")
+    heads = blocks.join(spans.select("doc_id", F.col("start_ord").alias("ord"), span.alias("_span")), ["doc_id", "ord"], "left")
+    back = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    inside = heads.withColumn("_span", F.last("_span", ignorenulls=True).over(back)).where(F.col("ord") <= F.col("_span.end_ord"))
+    return inside.select(*[F.col(c) for c in blocks.columns], "_span.question_no", "_span.start_ord", "_span.end_ord")
 
 
 def build_notes(blocks: DataFrame, expected: DataFrame) -> DataFrame:

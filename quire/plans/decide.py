@@ -170,12 +170,13 @@ for _key, _column in (("dec_meta_year", "year"), ("dec_meta_school", "school"),
 # --- answers ---------------------------------------------------------------------------------------
 
 NOTES = {
-    "v_heads": r"SELECT doc_id, try_cast(nullif(regexp_extract(text, '^\s*\(?([0-9]+)\)?[.)]?\s*(.*)$', 1), '') AS BIGINT) AS question_no, ord, max(ord) OVER (PARTITION BY doc_id) AS last FROM v_answers",
+    "v_heads": r"SELECT doc_id, try_cast(nullif(regexp_extract(text, '^\s*\(?([0-9]+)\)?[.)]?\s*(.*)$', 1), '') AS BIGINT) AS question_no, ord, text, max(ord) OVER (PARTITION BY doc_id) AS last FROM v_answers",
     "v_spans_all": "SELECT doc_id, question_no, ord AS start_ord, coalesce(lead(ord) OVER (PARTITION BY doc_id ORDER BY ord) - 1, last) AS end_ord FROM v_heads WHERE question_no IS NOT NULL",
     "v_spans": "SELECT doc_id, question_no, start_ord, end_ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, question_no ORDER BY start_ord) AS k FROM v_spans_all SEMI JOIN v_expected USING (doc_id, question_no)) WHERE k = 1",
     "v_note_sum": """SELECT doc_id, coalesce(missing, []) AS missing, coalesce(extra, []) AS extra FROM (SELECT DISTINCT doc_id FROM v_expected) LEFT JOIN (SELECT doc_id, list_sort(list(DISTINCT question_no)) AS missing FROM v_expected ANTI JOIN v_spans USING (doc_id, question_no) GROUP BY 1) USING (doc_id)
       LEFT JOIN (SELECT doc_id, list_sort(list(DISTINCT question_no)) AS extra FROM v_spans_all ANTI JOIN v_expected USING (doc_id, question_no) GROUP BY 1) USING (doc_id)""",
-    "v_inside": "SELECT a.doc_id, a.ord, a.text, s.question_no, s.start_ord FROM v_answers a JOIN v_spans s ON a.doc_id = s.doc_id AND a.ord BETWEEN s.start_ord AND s.end_ord",
+    "v_inside": """SELECT a.doc_id, a.ord, a.text, s.question_no, s.start_ord FROM (SELECT *, max(CASE WHEN question_no IS NOT NULL THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS at FROM v_heads) a
+      JOIN v_spans s ON a.doc_id = s.doc_id AND a.at = s.start_ord""",
     "v_note_lines": r"""SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, question_no ORDER BY ord) AS now FROM (SELECT *, try_cast(nullif(regexp_extract(text, '^\s*([0-9]+)[.)]', 1), '') AS BIGINT) AS own FROM v_inside)""",
     "v_note_text": r"""SELECT doc_id, question_no, string_agg(said, chr(10) ORDER BY ord) AS raw_text FROM (SELECT *, CASE WHEN own IS NULL THEN text ELSE trim(regexp_extract(text, '^\s*[0-9]+[.)]\s*(.*)', 1)) END AS said FROM v_note_lines WHERE now = question_no) WHERE said <> '' GROUP BY 1, 2""",
     "v_notes": "SELECT e.doc_id, e.question_no::BIGINT AS question_no, t.raw_text IS NOT NULL AS exists, coalesce(t.raw_text, '') AS raw_text, s.start_ord IS NULL AS missing_note FROM v_expected e LEFT JOIN v_note_text t USING (doc_id, question_no) LEFT JOIN v_spans s USING (doc_id, question_no)",

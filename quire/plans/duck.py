@@ -16,7 +16,7 @@ VIEWS = {
     "v_words": """SELECT doc_id, page_no, line_no, word_no, text, (20 * before + 80 * (word_no // 7))::INTEGER AS x0, (40 * line_no)::INTEGER AS y0, (20 * before + 80 * (word_no // 7) + 20 * length(text))::INTEGER AS x1,
       (40 * line_no + 24)::INTEGER AS y1, 1 - (length(text) % 10) / 20.0::DOUBLE AS confidence, height FROM
       (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY word_no) - length(text) - 1 AS before FROM
-       (SELECT doc_id, page_no, ord AS line_no, height, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS word_no FROM v_lines WHERE length(text) <= 400)) WHERE text <> ''""",
+       (SELECT doc_id, page_no, ord AS line_no, height, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS word_no FROM v_lines)) WHERE text <> ''""",
     "v_cells": """SELECT *, 't' || doc_id AS table_id, max(row + 1) OVER (PARTITION BY doc_id) AS n_rows, 3 AS n_cols FROM (SELECT l_orderkey AS doc_id, l_linenumber - 1 AS row, l_suppkey % 3 AS col,
       max_by(CASE WHEN l_returnflag = 'R' THEN '' ELSE p_name END, (l_partkey, l_suppkey, l_shipdate)) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)""",
     "v_formulas": """SELECT 'b' || p_partkey AS block_id, p_partkey, p_size, CASE WHEN p_size % 6 = 0 THEN 'chem_equation' ELSE 'equation' END AS block_type, CASE p_size % 6
@@ -32,7 +32,8 @@ VIEWS = {
       SELECT l_orderkey AS doc_id, (1 + l_linenumber % 4 + CASE WHEN l_linenumber % 4 = 3 THEN 1 ELSE 0 END)::INTEGER AS question_no, ['text', 'equation', 'chem_equation', 'image', 'table', 'drawing'][p_size % 6 + 1] AS type, p_name AS content,
       CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '2 H2 -> H4' WHEN 2 THEN 'a = b' ELSE p_brand END AS target, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey)""",
 }
-NEEDS = {"v_lines": ["v_docpages"], "v_words": ["v_lines"]}
+#: Views that several others read: worked out once.
+ONCE = {"v_answers", "v_expected", "v_heads", "v_spans_all", "v_spans", "v_notes"}
 
 
 def with_views(sql: str, more: dict[str, str] | None = None) -> str:
@@ -48,7 +49,7 @@ def with_views(sql: str, more: dict[str, str] | None = None) -> str:
                     wanted.append(name)
 
     add(sql)
-    heads = ", ".join(f"{n} AS ({known[n]})" for n in wanted)
+    heads = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({known[n]})" for n in wanted)
     if not heads:
         return sql
     body = sql.strip()

@@ -148,10 +148,11 @@ def norm_words(spark, d):
     return ocr.number_items(_text_arrays(spark, d), "items", "w")
 
 
-@plan("norm_lines_from_words", """SELECT doc_id, page_no, ord, 'p' || page_no || '_l' || ord AS line_id, text, x0, x1, round(confidence, 6) AS confidence FROM (SELECT doc_id, page_no, line_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS ord, string_agg(trim(text), ' ' ORDER BY word_no) AS text, min(x0) AS x0, max(x1) AS x1, avg(confidence) AS confidence FROM v_words GROUP BY 1, 2, 3)""")
+# Means are compared to ten digits: at fewer, long lines of round values fall on halves.
+@plan("norm_lines_from_words", """SELECT doc_id, page_no, ord, 'p' || page_no || '_l' || ord AS line_id, text, x0, x1, round(confidence, 10) AS confidence FROM (SELECT doc_id, page_no, line_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS ord, string_agg(trim(text), ' ' ORDER BY word_no) AS text, min(x0) AS x0, max(x1) AS x1, avg(confidence) AS confidence FROM v_words GROUP BY 1, 2, 3)""")
 def norm_lines_from_words(spark, d):
     out = ocr.lines_from_words(V.words(spark, d).withColumn("block_no", F.lit(None).cast("int")))
-    return out.select("doc_id", "page_no", "ord", "line_id", "text", "bbox.x0", "bbox.x1", F.round("confidence", 6).alias("confidence"))
+    return out.select("doc_id", "page_no", "ord", "line_id", "text", "bbox.x0", "bbox.x1", F.round("confidence", 10).alias("confidence"))
 
 
 @plan("norm_pdf_words", "SELECT doc_id, page_no, line_no, word_no, trim(text) AS text, x0, confidence, 'pdf_text_stub' AS backend FROM v_words")
@@ -159,15 +160,15 @@ def norm_pdf_words(spark, d):
     return V.words(spark, d).select("doc_id", "page_no", "line_no", "word_no", F.trim("text").alias("text"), "bbox.x0", "confidence", F.lit("pdf_text_stub").alias("backend"))
 
 
-@plan("norm_fields_to_lines", """WITH f AS (SELECT doc_id, page_no, line_no * 1000 + word_no AS ord, text, x0, y0, x1, y1, confidence, word_no % 5 = 4 AS brk FROM v_words WHERE word_no % 11 <> 10),
+@plan("norm_fields_to_lines", """WITH f AS (SELECT doc_id, page_no, line_no::BIGINT * 1000000 + word_no AS ord, text, x0, y0, x1, y1, confidence, word_no % 5 = 4 AS brk FROM v_words WHERE word_no % 11 <> 10),
   g AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page_no ORDER BY ord) AS line FROM (SELECT *, coalesce(lag(brk::INT) OVER (PARTITION BY doc_id, page_no ORDER BY ord), 0) AS b FROM f))
-  SELECT doc_id, page_no, line::INTEGER AS line_no, string_agg(text, ' ' ORDER BY ord) AS text, min(x0) AS x0, max(y1) AS y1, round(avg(confidence), 6) AS confidence FROM g GROUP BY 1, 2, 3""")
+  SELECT doc_id, page_no, line::INTEGER AS line_no, string_agg(text, ' ' ORDER BY ord) AS text, min(x0) AS x0, max(y1) AS y1, round(avg(confidence), 10) AS confidence FROM g GROUP BY 1, 2, 3""")
 def norm_fields_to_lines(spark, d):
     b, w = F.col("bbox"), F.col("word_no")
     point = lambda x, y: F.struct(b[x].cast("double").alias("x"), b[y].cast("double").alias("y"))
     corners = F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"))
-    fields = V.words(spark, d).select("doc_id", "page_no", (F.col("line_no") * 1000 + w).alias("ord"), "text", (w % 5 == 4).alias("lineBreak"), "confidence", F.when(w % 11 == 10, F.slice(corners, 1, 3)).otherwise(corners).alias("vertices"))
-    return ocr.fields_to_lines(fields).select("doc_id", "page_no", "line_no", "text", "bbox.x0", "bbox.y1", F.round("confidence", 6).alias("confidence"))
+    fields = V.words(spark, d).select("doc_id", "page_no", (F.col("line_no").cast("long") * 1_000_000 + w).alias("ord"), "text", (w % 5 == 4).alias("lineBreak"), "confidence", F.when(w % 11 == 10, F.slice(corners, 1, 3)).otherwise(corners).alias("vertices"))
+    return ocr.fields_to_lines(fields).select("doc_id", "page_no", "line_no", "text", "bbox.x0", "bbox.y1", F.round("confidence", 10).alias("confidence"))
 
 
 _RAW = "SELECT doc_id, 'clova_table_' || doc_id AS table_id, max(row + 1) AS n_rows, max(col + 1) AS n_cols, string_agg(text, '|' ORDER BY row, col) AS texts FROM v_cells GROUP BY 1"

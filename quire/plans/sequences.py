@@ -81,10 +81,10 @@ def win_segment_split(spark, d):
     return segments(spark, d).select("doc_id", "page_no", "line_no", "word_no", "row_no", "segment_no")
 
 
-@plan("win_synthetic_lines", "SELECT doc_id, page_no, line_id, text, x0, y0, x1, y1, round(confidence, 6) AS confidence FROM v_synthetic", _ROWS)
+@plan("win_synthetic_lines", "SELECT doc_id, page_no, line_id, text, x0, y0, x1, y1, round(confidence, 10) AS confidence FROM v_synthetic", _ROWS)
 def win_synthetic_lines(spark, d):
     b = F.col("bbox")
-    return W.synthetic_lines(segments(spark, d)).select("doc_id", "page_no", "line_id", "text", *[b[s].alias(s) for s in G.SIDES], F.round("confidence", 6).alias("confidence"))
+    return W.synthetic_lines(segments(spark, d)).select("doc_id", "page_no", "line_id", "text", *[b[s].alias(s) for s in G.SIDES], F.round("confidence", 10).alias("confidence"))
 
 
 @plan("win_anchor_snippet", """WITH n AS (SELECT h.doc_id, h.page_no, h.line_no, h.word_no, w.text, w.x0, w.x1, w.line_no AS wl, w.word_no AS ww FROM v_words h JOIN v_words w USING (doc_id, page_no)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box
 
 PAGE_WIDTH, PAGE_HEIGHT = 2480, 3505
-LONGEST_WORD_LINE = 400
+#: Ranges that a source's documents are numbered in.
+PAGE_RANGES = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,28 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source's documents are the pages of one document, in id order."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
+    """A source's documents are the pages of one document, in id order.
+
+    Texts are numbered inside ranges of ids, to which the counts of the ranges before are added, so no
+    task gets all of a source.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marks = docs.select(F.percentile_approx("doc_id", [i / PAGE_RANGES for i in range(1, PAGE_RANGES)], 20_000)).first()[0] or []
+    ranged = docs.withColumn("_range", _range_of(F.col("doc_id"), sorted(set(marks)), 0))
+    counts = ranged.groupBy("source", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("source").orderBy("_range")) - F.col("_n")
+    before = counts.select(F.col("source").alias("_source"), F.col("_range").alias("_at"), ahead.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("source", "_range").orderBy("doc_id"))
+    numbered = ranged.withColumn("_k", inside).join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_at")))
+    return numbered.select(F.col("source").alias("doc_id"), (F.col("_k") + F.col("_before")).cast("int").alias("page_no"), "text")
+
+
+def _range_of(x, marks: list[int], base: int):
+    """How many marks are below x, as a search tree; null below all."""
+    if not marks:
+        return F.lit(base)
+    mid = len(marks) // 2
+    return F.when(x > marks[mid], _range_of(x, marks[mid + 1 :], base + mid + 1)).otherwise(_range_of(x, marks[:mid], base))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +70,8 @@ def anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of lines up to LONGEST_WORD_LINE characters; every seventh word starts a wider gap."""
-    short = lines(spark, sf_dir).where(F.length("text") <= LONGEST_WORD_LINE)
-    rows = short.select("doc_id", "page_no", F.col("ord").alias("line_no"), "height", F.posexplode(F.split("text", " ", -1)).alias("word_no", "text"))
+    """Words of lines; every seventh word starts a wider gap."""
+    rows = lines(spark, sf_dir).select("doc_id", "page_no", F.col("ord").alias("line_no"), "height", F.posexplode(F.split("text", " ", -1)).alias("word_no", "text"))
     before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id", "page_no", "line_no").orderBy("word_no")) - F.length("text") - 1
     x0 = 20 * before + 80 * F.floor(F.col("word_no") / 7)
     placed = rows.withColumn("x0", x0.cast("int"))
