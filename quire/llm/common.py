@@ -47,14 +47,15 @@ _WHILE_STAGING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and return it as read from there.
 
     Lineage ends here: a lost executor costs a re-read, and no value that depended on
-    task order can change afterwards.
+    task order can change afterwards. `by` names a column of few values, each of which has its own files.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
@@ -62,7 +63,8 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     for k, v in _WHILE_STAGING.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -83,6 +85,33 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def fresh(names: list[str], base: str) -> str:
+    """A column name like `base` that is not among `names`, whatever their case."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+#: Bits of the filter that seen_ids() broadcasts, at most 8 MB.
+FILTER_BITS = 26
+
+
+def seen_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be in `ids` (one column): all of those and, the more ids there are, some others.
+
+    A bitmap of hashed ids of fixed size is broadcast, so what a join will drop need not be shuffled.
+    """
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << FILTER_BITS))
+    page, place = F.shiftright(spot, 15), spot.bitwiseAND((1 << 15) - 1)
+    table = ids.toDF(id_col).select(page.alias("_page"), place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    names = rows.columns
+    out = rows.withColumns({"_page": page, "_place": place}).join(F.broadcast(table), "_page")  # at most 2**(FILTER_BITS - 15) pages of 4 kB
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_place", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.col("_place").bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return out.where(hit).select(*names)
+
+
 def null_safe(c: Column) -> Column:
     """A string key that tells null from every string."""
     return F.when(c.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), c.cast("string")))

@@ -58,3 +58,18 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers, small: their steps by byte planes (the upper ones are zero), compressed."""
+    import zstandard
+
+    steps = np.diff(values.astype(_U64), prepend=_U64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(content: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=_U64)

@@ -69,10 +69,10 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
 
 def brute_probability(texts, text):
     """Interpolated modified Kneser-Ney over 4-grams, by dictionaries."""
-    code = lambda t: [ord(c) if ord(c) < 128 else 128 + ord(c) % 128 for c in t]
+    code = lambda t: list(t.encode())
     counts = {4: Counter()}
     for t in texts:
-        c = [0, 0, 0, *code(t)]
+        c = [255, 255, 255, *code(t)]
         counts[4].update(tuple(c[i : i + 4]) for i in range(len(c) - 3))
     for o in (3, 2, 1):
         counts[o] = Counter(g[1:] for g in counts[o + 1])
@@ -91,7 +91,7 @@ def brute_probability(texts, text):
         n = counts[o][g]
         return (n - d[o][min(n, 3)] + freed[o, g[:-1]] * lower) / totals[o, g[:-1]]
 
-    c = [0, 0, 0, *code(text)]
+    c = [255, 255, 255, *code(text)]
     return sum(math.log(p(tuple(c[i : i + 4]))) for i in range(len(c) - 3))
 
 
@@ -105,14 +105,14 @@ def test_model_against_brute_force(spark, monkeypatch, rows_a_shard):
     asked = [*texts, "the mat sat", "zzz", "", None, "日"]
     got = M.add_log_probability(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, text string"), model).orderBy("i").collect()
     for r, t in zip(got, asked, strict=True):
-        assert r["_lm"] == pytest.approx(brute_probability(texts, t or ""), abs=1e-3)
+        assert r["_lm"] == pytest.approx(brute_probability(texts, t or ""), abs=len((t or "").encode()) / M.STEPS)
 
 
 @pytest.mark.parametrize("rows_a_shard", [2_000_000, 60])
 def test_model_of_six_against_brute_force(spark, monkeypatch, rows_a_shard):
     monkeypatch.setattr(M, "SHARD_ROWS", rows_a_shard)
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "é ü 日本", "x"]
-    code = lambda t: [0] * 5 + [ord(c) if ord(c) < 128 else 128 + ord(c) % 128 for c in t]
+    code = lambda t: [255] * 5 + list(t.encode())
     counts = {6: Counter(tuple(c[i : i + 6]) for c in map(code, texts) for i in range(len(c) - 5))}
     for o in range(5, 0, -1):
         counts[o] = Counter(g[1:] for g in counts[o + 1])
@@ -130,7 +130,7 @@ def test_model_of_six_against_brute_force(spark, monkeypatch, rows_a_shard):
     asked = [*texts, "the mat sat", "zzz", "", None, "日"]
     got = M.add_log_probability(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, text string").coalesce(1), model).orderBy("i").collect()
     for r, c in zip(got, [code(t or "") for t in asked], strict=True):
-        assert r["_lm"] == pytest.approx(sum(math.log(p(tuple(c[i : i + 6]))) for i in range(len(c) - 5)), abs=1e-3)
+        assert r["_lm"] == pytest.approx(sum(math.log(p(tuple(c[i : i + 6]))) for i in range(len(c) - 5)), abs=len(c) / M.STEPS)
 
 
 def test_classifier_rejects_a_repeated_word(spark):
@@ -153,6 +153,8 @@ def test_classifier_rejects_what_is_strange(spark, odd_docs, no_docs):
     kept = {r["doc_id"]: r["kept"] for r in M.classify(docs, c).collect()}
     assert not any(kept[i] for i, _, _ in bad) and sum(kept[i] for i, _, _ in good) >= 295
     assert M.classify(odd_docs, c).count() == odd_docs.count() and M.classify(no_docs, c).count() == 0
+    clash = odd_docs.withColumns({n: F.lit("mine") for n in ("_lm", "_mean", "_lang_key", "_threshold", "lang_key", "mean", "chunk")})
+    assert {r[0] for r in M.classify(clash, c).select(F.array("_lm", "_mean", "_lang_key", "_threshold", "lang_key", "mean", "chunk").cast("string")).collect()} == {"[" + ", ".join(["mine"] * 7) + "]"}
     none = M.fit(docs, spark.range(0).toDF("id"))
     assert M.classify(docs, none).where("kept").count() == docs.count()
 
