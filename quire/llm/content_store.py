@@ -3,12 +3,13 @@
 A rolling hash over the ids cuts each document into chunks at places that depend on content alone,
 so copies and shared passages give equal chunks. A chunk is named by the SHA-256 of its ids
 (little-endian, 32 bits) and stored once. A recipe lists a document's chunks and carries the root of
-a Merkle tree over them; manifests carry a root for each file of recipes and one for the corpus.
+a Merkle tree over them; manifests carry a root for each file of recipes and one for the corpus, over
+all that their recipes say.
 
 Layout under a root folder, all Parquet:
   chunks/    hash, n_ids, width (bytes an id), payload (zstd)
-  recipes/   rid, part, doc_id, start, n_tokens, root, chunks [hash, n_ids]; in ascending doc_id order
-  manifest/  part, n_docs, n_tokens, root; part -1: the corpus
+  recipes/   part, at, doc_id, local_start, n_tokens, root, hashes; a file for each part, in ascending doc_id order
+  manifest/  files: part, start (ids of all parts before it), n_docs, n_tokens, root; corpus: the same of all, as part -1
 """
 
 from __future__ import annotations
@@ -60,42 +61,80 @@ def cuts(ids: np.ndarray, least: int = LEAST, most: int = MOST, mean_bits: int =
     return out
 
 
+class Merkle:
+    """The root of a Merkle tree over leaves that come one by one; holds one node for each level.
+
+    Pairs are hashed upwards; an odd one goes up as it is. Leaf and inner nodes are told apart by a prefix.
+    """
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.nodes and self.nodes[-1][0] == level:
+            level, node = level + 1, hashlib.sha256(b"\1" + self.nodes.pop()[1] + node).digest()
+        self.nodes.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return hashlib.sha256(b"").digest()
+        *rest, (_, node) = self.nodes
+        for _, left in reversed(rest):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """Pairs are hashed upwards; an odd one goes up as it is. Leaf and inner nodes are told apart by a prefix."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
 
 
-_ENCODED = "doc_id long, n_tokens long, root binary, hashes array<binary>, sizes array<int>, widths array<int>, payloads array<binary>"
+_RECIPE, _CHUNK = 0, 1
+_ENCODED = "kind int, doc_id long, n_tokens long, root binary, hashes array<binary>, hash binary, n_ids int, width int, payload binary"
+#: Chunks that a worker remembers as already handed on; beyond them it starts anew.
+MOST_REMEMBERED = 200_000
 
 
 def encode_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """One row per document with its chunks. Null text is empty: the end id alone."""
+    """Rows of two kinds: a recipe for each document, and chunks, most once a partition. Null text is empty: the end id alone."""
     path = tokenizer_path or default_path()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    names = [f.split()[0] for f in _ENCODED.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+
+    def rows_of(kind: int, columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        columns = {"kind": np.full(n, kind, np.int32)} | columns
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         encode, compress = encoder(path).encode, zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        seen: set[bytes] = set()
         for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(6)]
+            recipes: list[list] = [[], [], []]
+            new: list[list] = [[], [], [], []]
             for ids in encode(batch.column("text").to_pylist(), end_id):
-                raw, lo = ids.astype("<u4").tobytes(), 0
-                hashes, sizes, widths, payloads = [], [], [], []
+                raw, lo, hashes = ids.astype("<u4").tobytes(), 0, []
                 for hi in cuts(ids):
-                    part = ids[lo:hi]
-                    hashes.append(hashlib.sha256(raw[4 * lo : 4 * hi]).digest())
-                    sizes.append(hi - lo)
-                    widths.append(w := 2 if part.max() < 65536 else 4)
-                    payloads.append(compress(part.astype(f"<u{w}").tobytes()))
+                    hashes.append(name := hashlib.sha256(raw[4 * lo : 4 * hi]).digest())
+                    if name not in seen:
+                        seen.add(name)
+                        width = 2 if ids[lo:hi].max() < 65536 else 4
+                        for column, value in zip(new, (name, hi - lo, width, compress(ids[lo:hi].astype(f"<u{width}").tobytes())), strict=True):
+                            column.append(value)
                     lo = hi
-                for column, value in zip(out, (len(ids), merkle_root(hashes), hashes, sizes, widths, payloads), strict=True):
+                for column, value in zip(recipes, (len(ids), merkle_root(hashes), hashes), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_tokens", "root", "hashes", "sizes", "widths", "payloads"])
+            yield rows_of(_RECIPE, {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "root", "hashes"), recipes, strict=True)))
+            if new[0]:
+                yield rows_of(_CHUNK, dict(zip(("hash", "n_ids", "width", "payload"), new, strict=True)))
+            if len(seen) > MOST_REMEMBERED:
+                seen.clear()
 
     return rows.mapInArrow(frugal(run), _ENCODED)
 
@@ -113,76 +152,142 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, before = at + len(n), before + int(ends[-1]) if len(n) else before
 
 
+_LEAF = ["doc_id", "local_start", "n_tokens", "root"]
+
+
+def _file_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each part of recipes that come in order: a leaf is all that a recipe says, by its own root for its chunks."""
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, docs, tokens, tree.root()), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "n_docs", "n_tokens", "root"])
+
+    part, docs, tokens, tree = None, 0, 0, Merkle()
+    for batch in batches:
+        for own, *leaf in zip(*(batch.column(c).to_pylist() for c in ("part", *_LEAF)), strict=True):
+            if own != part:
+                if part is not None:
+                    yield done()
+                part, docs, tokens, tree = own, 0, 0, Merkle()
+            docs, tokens = docs + 1, tokens + leaf[2]
+            tree.add(repr(leaf).encode())
+    if part is not None:
+        yield done()
+
+
+def file_roots(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, root of each file of recipes."""
+    ordered = recipes.select("part", "at", *_LEAF).repartition("part").sortWithinPartitions("part", "at")
+    return ordered.mapInArrow(frugal(_file_roots), "part int, n_docs long, n_tokens long, root binary")
+
+
+def corpus_root(files: DataFrame) -> DataFrame:
+    """The files' roots in order as the leaves of one more tree: a row for each file of recipes, in one task."""
+    whole = files.select(F.lit(-1).alias("part"), F.col("part").cast("long").alias("doc_id"), "n_docs", "n_tokens", "root").coalesce(1).sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, tokens, tree = 0, 0, Merkle()
+        for batch in batches:
+            for part, d, t, root in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_docs", "n_tokens", "root")), strict=True):
+                docs, tokens = docs + d, tokens + t
+                tree.add(repr((part, d, t, root)).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((-1, docs, tokens, tree.root()), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "n_docs", "n_tokens", "root"])
+
+    return whole.mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+
+
 def write_store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END_ID) -> None:
     """Encode docs into a new store at `root`, a folder all executors share.
 
     Rows alike get a recipe each and share their chunks. Rows that tie in id are ordered by Merkle
     root. An empty table gives an empty store.
     """
-    spark = docs.sparkSession
-    staged = materialise(encode_chunks(docs, id_col, text_col, tokenizer_path, end_id), "chunked")
-    chunks = staged.select(F.explode(F.arrays_zip("hashes", "sizes", "widths", "payloads")).alias("c"))
-    chunks = chunks.select(F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n_ids"), F.col("c.widths").alias("width"), F.col("c.payloads").alias("payload"))
-    materialise(chunks.dropDuplicates(["hash"]), "chunks", f"{root}/chunks")
-
-    refs = F.arrays_zip(F.col("hashes").alias("hash"), F.col("sizes").alias("n_ids"))
-    recipes = staged.select("doc_id", "n_tokens", "root", refs.alias("chunks")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recipes.schema.fields)
-    numbered = materialise(recipes.mapInArrow(frugal(_number), f"{kinds}, part int, at long, local_start long"), "recipes")
+    staged = materialise(encode_chunks(docs, id_col, text_col, tokenizer_path, end_id), "chunked", by="kind")
+    # A chunk comes from a partition about once, so no hash has more rows than there are partitions.
+    chunks = staged.where(F.col("kind") == _CHUNK).select("hash", "n_ids", "width", "payload")
+    first = F.lag("width").over(Window.partitionBy("hash").orderBy("n_ids")).isNull()
+    materialise(chunks.withColumn("_first", first).where("_first").drop("_first"), "chunks", f"{root}/chunks")
+
+    recipes = staged.where(F.col("kind") == _RECIPE).select("doc_id", "n_tokens", "root", "hashes")
+    recipes = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
+    kinds = "doc_id long, n_tokens long, root binary, hashes array<binary>, part int, at long, local_start long"
+    recipes = materialise(recipes.mapInArrow(frugal(_number), kinds), "recipes", f"{root}/recipes")
     discard(staged)
-    parts = numbered.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    # One row for each partition of the recipes.
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    placed = numbered.join(F.broadcast(before), "part").select(
-        (F.shiftleft(F.col("part").cast("long"), 40) + F.col("at")).alias("rid"), "part", "doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "root", "chunks"
-    )
-    materialise(placed.repartitionByRange("rid").sortWithinPartitions("rid"), "recipes", f"{root}/recipes")
-    discard(numbered)
-    recipes = spark.read.parquet(f"{root}/recipes")
-    leaves = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("rid", "root"))).alias("leaves"))
-    kinds = "part int, n_docs long, n_tokens long, root binary"
-    files = materialise(leaves.mapInArrow(frugal(_file_roots), kinds), "manifest", f"{root}/manifest/files")
-    top = files.agg(F.lit(-1).alias("part"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.array_sort(F.collect_list(F.struct(F.col("part").cast("long").alias("rid"), "root"))).alias("leaves"))
-    materialise(top.mapInArrow(frugal(_file_roots), kinds), "manifest", f"{root}/manifest/corpus")
-
-
-def _file_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        roots = [merkle_root([x["root"] for x in leaves]) for leaves in batch.column("leaves").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("n_docs"), batch.column("n_tokens"), pa.array(roots, pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
+    # One row for each file of recipes.
+    start = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = materialise(file_roots(recipes).withColumn("start", start), "manifest", f"{root}/manifest/files")
+    materialise(corpus_root(files), "manifest", f"{root}/manifest/corpus")
+
+
+def check_manifest(spark: SparkSession, root: str) -> None:
+    """Fails if the recipes are not those that the manifests speak of: one lost, changed, moved or added."""
+    recipes, files, corpus = (spark.read.parquet(f"{root}/{x}") for x in ("recipes", "manifest/files", "manifest/corpus"))
+    found = materialise(file_roots(recipes), "found-roots")
+    start = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = ["part", "start", "n_docs", "n_tokens", "root"]
+    found_files = found.withColumn("start", start).select(same)
+    if not found_files.exceptAll(files.select(same)).isEmpty() or not files.select(same).exceptAll(found_files).isEmpty():
+        raise ValueError("a file of recipes does not match its manifest")
+    if corpus_root(found).collect() != corpus.select("part", "n_docs", "n_tokens", "root").collect():  # a row each
+        raise ValueError("the recipes do not match the corpus manifest")
+    discard(found)
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document, put together from its chunks.
 
-    Each chunk is checked against its name, each document against its Merkle root and length; a
-    mismatch or a missing chunk fails the read.
+    Recipes are checked against the manifests first, then each chunk against its name and each document
+    against its Merkle root and length; a mismatch or a missing chunk fails the read.
     """
+    check_manifest(spark, root)
     recipes, chunks = spark.read.parquet(f"{root}/recipes"), spark.read.parquet(f"{root}/chunks")
-    refs = recipes.select("rid", "doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("pos", "c")).select("rid", "doc_id", "start", "n_tokens", "root", "pos", F.col("c.hash").alias("hash"))
-    found = refs.join(chunks, "hash", "left")
-    docs = found.groupBy("rid", "doc_id", "start", "n_tokens", "root").agg(F.collect_list(F.struct("pos", "hash", "width", "payload")).alias("parts"))
-    return docs.drop("rid").mapInArrow(frugal(_rebuild), "doc_id long, start long, n_tokens long, ids binary")
+    starts = F.broadcast(spark.read.parquet(f"{root}/manifest/files").select("part", "start"))  # one row for each file of recipes
+    rid = F.shiftleft(F.col("part").cast("long"), 40) + F.col("at")
+    refs = recipes.join(starts, "part").select(rid.alias("rid"), "doc_id", (F.col("start") + F.col("local_start")).alias("start"), "n_tokens", "root", F.posexplode("hashes").alias("pos", "hash"))
+    # Chunks meet their references once; rows of one chunk each then meet by document, and no document is gathered in the JVM.
+    found = refs.join(chunks.select("hash", "width", "payload"), "hash", "left").repartition("rid").sortWithinPartitions("rid", "pos")
+    return found.mapInArrow(frugal(_rebuild), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
-    for batch in slices(batches, "parts"):
-        out = []
-        for doc, n, root, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "parts")), strict=True):
-            parts.sort(key=lambda p: p["pos"])
-            ids = []
-            for p in parts:
-                if p["payload"] is None:
-                    raise ValueError(f"document {doc}: chunk {p['hash'].hex()} is missing")
-                raw = np.frombuffer(expand(p["payload"]), f"<u{p['width']}").astype("<u4").tobytes()
-                if hashlib.sha256(raw).digest() != p["hash"]:
-                    raise ValueError(f"document {doc}: chunk {p['hash'].hex()} is damaged")
-                ids.append(raw)
-            whole = b"".join(ids)
-            if len(whole) != 4 * n or merkle_root([p["hash"] for p in parts]) != root:
-                raise ValueError(f"document {doc} does not match its recipe")
-            out.append(whole)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+    columns = ("rid", "doc_id", "start", "n_tokens", "root", "hash", "width", "payload")
+    rid, head, names, parts = None, (), [], []
+    out: list[list] = [[], [], [], []]
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        doc, start, n, root = head
+        whole = b"".join(parts)
+        if len(whole) != 4 * n or merkle_root(names) != root:
+            raise ValueError(f"document {doc} does not match its recipe")
+        for column, value in zip(out, (doc, start, n, whole), strict=True):
+            column.append(value)
+        size += len(whole)
+
+    def batch_of() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
+
+    for whole in batches:
+        for batch in slices(iter([whole]), "payload"):
+            for own, doc, start, n, root, name, width, payload in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if own != rid:
+                    if rid is not None:
+                        close()
+                    rid, head, names, parts = own, (doc, start, n, root), [], []
+                    if size > 1 << 20:
+                        yield batch_of()
+                        out, size = [[], [], [], []], 0
+                if payload is None:
+                    raise ValueError(f"document {doc}: chunk {name.hex()} is missing")
+                raw = np.frombuffer(expand(payload), f"<u{width}").astype("<u4").tobytes()
+                if hashlib.sha256(raw).digest() != name:
+                    raise ValueError(f"document {doc}: chunk {name.hex()} is damaged")
+                names.append(name)
+                parts.append(raw)
+    if rid is not None:
+        close()
+        yield batch_of()

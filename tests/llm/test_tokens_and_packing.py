@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -134,14 +135,31 @@ def test_store_finds_damage(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     docs = spark.createDataFrame([(i, f"text number {i} " * 50) for i in range(4)], "doc_id long, text string")
     content_store.write_store(docs, root)
-    chunks = spark.read.parquet(f"{root}/chunks").toPandas()
-    spark.createDataFrame(chunks.iloc[1:]).withColumns({"n_ids": F.col("n_ids").cast("int"), "width": F.col("width").cast("int")}).write.mode("overwrite").parquet(f"{tmp_path}/fewer")
-    moved = f"{tmp_path}/store2"
-    for part in ("recipes", "manifest/files"):
-        spark.read.parquet(f"{root}/{part}").write.parquet(f"{moved}/{part}")
-    spark.read.parquet(f"{tmp_path}/fewer").write.parquet(f"{moved}/chunks")
-    with pytest.raises(Exception, match="missing"):
-        content_store.read_store(spark, moved).collect()
+    tables = {part: spark.read.parquet(f"{root}/{part}") for part in ("chunks", "recipes", "manifest/files", "manifest/corpus")}
+    last = tables["recipes"].agg(F.max("doc_id")).first()[0]
+    changes = [
+        ("missing", {"chunks": tables["chunks"].where(F.col("hash") != F.lit(bytes(tables["chunks"].first()["hash"])))}),
+        ("damaged", {"chunks": tables["chunks"].withColumn("payload", F.lit(bytes(tables["chunks"].first()["payload"]))).withColumn("width", F.lit(2))}),
+        ("manifest", {"recipes": tables["recipes"].where(F.col("doc_id") != last)}),
+        ("manifest", {"recipes": tables["recipes"].withColumn("local_start", F.col("local_start") + 1)}),
+        ("manifest", {"recipes": tables["recipes"].limit(0)}),
+        ("corpus", {"manifest/corpus": tables["manifest/corpus"].withColumn("n_docs", F.col("n_docs") + 1)}),
+    ]
+    for i, (word, change) in enumerate(changes):
+        moved = f"{tmp_path}/store{i}"
+        for part, df in (tables | change).items():
+            df.write.parquet(f"{moved}/{part}")
+        with pytest.raises(Exception, match=word):
+            content_store.read_store(spark, moved).collect()
+
+
+def test_merkle_roots_by_levels():
+    """The tree of leaves that come one by one is that of whole levels."""
+    for n in range(1, 40):
+        level = [hashlib.sha256(b"\0" + bytes([i])).digest() for i in range(n)]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert content_store.merkle_root([bytes([i]) for i in range(n)]) == level[0]
 
 
 def test_equal_passages_share_chunks():
