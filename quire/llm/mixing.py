@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import WORD_REGEX, materialise, null_safe, text_of
 
 BLOCK_WORDS, MAX_BLOCKS, MAX_REPEATS = 4096, 4096, 3
-#: Blocks, from the one that a source's target cuts on, whose documents are all gathered; of later ones, what still fits.
-EDGE_BLOCKS = 5
+#: Bound of the rows that the driver holds and broadcasts, one for each source; more are an error, not a sample.
+MAX_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -77,16 +77,24 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Columns of these names are replaced. Size is the number of words, of null text 0. Rows of size 0 are
     taken with their block, the one that the target cuts included, and count nothing. Null is a source, the last one. Rows alike fall into one
     block and tie; which of them an edge takes is open, but they are alike. One summary row per source reaches the
-    driver. An empty table gives no rows.
+    driver, at most MAX_SOURCES. An empty table gives no rows.
     """
-    docs = docs.drop("size", "source_size", "target", "draws")
+    added = ["size", "source_size", "target", "draws"]
+    planned = _plan(docs, id_col, text_col, source_col, weights, shards, seed, repeats)
+    return planned.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in added], *added)
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, shards: int, seed: int, repeats: int) -> DataFrame:
+    """_row (the whole row of docs), _key (a hash of id and text), size, source_size, target, draws."""
     spark = docs.sparkSession
     text = text_of(docs, text_col)
     row_hash = F.xxhash64(docs[id_col], text, F.lit(seed))
-    rows = docs.withColumns({"size": word_count(text), "_source": null_safe(docs[source_col]), "_hash": row_hash})
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), word_count(text).alias("size"), null_safe(docs[source_col]).alias("_source"), row_hash.alias("_hash"))
     # Words are counted once for the plan: rows alike are one row here, of their summed size.
     sizes_of = materialise(rows.groupBy("_source", "_hash").agg(F.sum("size").alias("size")), "mix-sizes")
-    found = sizes_of.groupBy("_source").agg(F.sum("size").alias("s")).collect()
+    found = sizes_of.groupBy("_source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     # Sources by code point, null last.
     sizes = {r["_source"]: r["s"] for r in found}
     names = sorted(sizes, key=lambda s: (s == "0", s))
@@ -99,11 +107,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         list(zip(names, size, [float(t) for t in target], blocks_of, passes, rest, strict=True)),
         "_source string, source_size long, target double, _blocks long, _passes int, _rest double",
     )
-    plan = F.broadcast(plan)  # one row per source, made on the driver
+    plan = F.broadcast(plan)  # at most MAX_SOURCES rows, made on the driver
     rows = rows.join(plan, "_source").withColumn("_block", F.pmod("_hash", "_blocks"))
     sizes_of = sizes_of.join(plan, "_source").withColumn("_block", F.pmod("_hash", "_blocks"))
 
-    # Whole blocks of the last pass, and the one that its end cuts: at most MAX_BLOCKS rows a source.
+    # Whole blocks of the last pass, and the one that its end cuts: at most MAX_BLOCKS rows a source, however large it is.
     sums = materialise(sizes_of.groupBy("_source", "_block", "_blocks", "_passes", "_rest").agg(F.sum("size").alias("_words")), "mix-blocks")
     order = F.xxhash64("_source", "_block", "_passes", F.lit(seed))
     last = Window.partitionBy("_source").orderBy(order, "_block")
@@ -115,13 +123,16 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     room = F.max(F.when(F.col("_rank") == F.col("_cut"), F.col("_rest") - (F.col("_upto") - F.col("_words")))).over(Window.partitionBy("_source"))
     sums = materialise(sums.withColumn("_part", part).withColumn("_room", room), "mix-parts")
 
-    # The end of a target: whole documents, in block and hash order, while they fit. Only sizes are gathered.
+    # The end of a target: documents of the cut block in hash order up to the end, by a running sum that can spill;
+    # then whole documents from it and all later blocks, while they fit. Only sizes are gathered.
     tail = sums.where("_part in ('cut', 'later')").select("_source", "_block", "_rank", "_cut", "_room")
     sized = sizes_of.where("size > 0").select("_source", "_block", "_hash", "size")
-    edges = F.broadcast(tail.where(F.col("_rank") < F.col("_cut") + EDGE_BLOCKS).drop("_cut"))  # at most EDGE_BLOCKS a source
+    edge = F.broadcast(tail.where("_rank = _cut").select("_source", "_block", "_room"))  # one row a source
+    running = F.sum("size").over(Window.partitionBy("_source").orderBy("_hash"))
+    taken = sized.join(edge, ["_source", "_block"]).withColumn("_upto", running).where("_upto <= _room").select("_source", "_block", "_hash", "size")
+    taken = materialise(taken, "mix-edge")
     kinds = "_source string, _block long, _hash long, size long"
-    taken = materialise(sized.join(edges, ["_source", "_block"]).groupBy("_source").applyInPandas(_fill_room, kinds), "mix-edge")
-    taken = materialise(taken.unionByName(_rest_of_room(sized, tail, taken).groupBy("_source").applyInPandas(_fill_last, kinds)), "mix-taken")
+    taken = materialise(taken.unionByName(_rest_of_room(sized, tail, taken).groupBy("_source").applyInPandas(_fill, kinds)), "mix-taken")
     met = taken.select("_source", "_block").distinct().withColumn("_met", F.lit(True))
     sums = sums.join(met, ["_source", "_block"], "left")
     sums = sums.withColumn("_part", F.when(F.col("_part") != "later", F.col("_part")).when(F.col("_met"), "edge").otherwise("none")).drop("_met", "_cut", "_room")
@@ -142,7 +153,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )
     dealt = materialise(dealt, "mix-dealt")
     rows = rows.join(dealt, ["_source", "_block"], "left").withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int>>")))
-    keep = [*docs.columns, "size", "source_size", "target", "draws"]
+    keep = ["_row", F.col("_hash").alias("_key"), "size", "source_size", "target", "draws"]
     plain = rows.where("_part is null or _part not in ('cut', 'edge')")
     cut = rows.where("_part in ('cut', 'edge')").join(taken, ["_source", "_block", "_hash"], "left")
     cut = cut.withColumn("draws", F.when(F.col("_in") | ((F.col("_part") == "cut") & (F.col("size") == 0)), F.col("draws")).otherwise(F.filter("draws", lambda d: d["epoch"] < F.col("_passes"))))
@@ -150,46 +161,44 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def _rest_of_room(sized: DataFrame, tail: DataFrame, taken: DataFrame) -> DataFrame:
-    """Rivals for the room that the first blocks leave, from all blocks of the tail: what may still be taken, no more.
+    """Rivals for the room that the cut block's first documents leave, from all blocks of the tail: what may still be taken, no more.
 
-    If a document does not fit, no later one of its size does; so of each size those in the first blocks
-    that hold room / size + 1 of them are enough. The one more may come nearest to the end.
+    If a document does not fit, no later one of its size does; so of each size the first room / size + 1
+    are enough. The one more may come nearest to the end.
     """
     used = taken.groupBy("_source").agg(F.sum("size").alias("_used"))
     left = tail.where("_rank = _cut").select("_source", "_room").join(used, "_source", "left").select("_source", (F.col("_room") - F.coalesce("_used", F.lit(0))).alias("_room"))
     may = sized.join(F.broadcast(left), "_source").where(F.col("size") < 2 * F.col("_room"))  # one row a source
     may = may.join(tail.select("_source", "_block", "_rank"), ["_source", "_block"]).join(taken.select("_source", "_block", "_hash"), ["_source", "_block", "_hash"], "left_anti")
-    held = may.groupBy("_source", "size", "_block", "_rank", "_room").agg(F.count(F.lit(1)).alias("_n"))  # at most MAX_BLOCKS rows a size
+    # Counts by block first (at most MAX_BLOCKS rows a size), so that only documents of the blocks in question are put in order.
+    held = may.groupBy("_source", "size", "_block", "_rank", "_room").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_source", "size").orderBy("_rank")) - F.col("_n")
-    first = held.withColumn("_before", before).where(F.col("_before") <= F.floor(F.col("_room") / F.col("size"))).select("_source", "size", "_block")
-    return may.join(first, ["_source", "size", "_block"])
+    enough = F.floor(F.col("_room") / F.col("size"))
+    first = held.withColumn("_before", before).where(F.col("_before") <= enough).select("_source", "size", "_block")
+    place = F.row_number().over(Window.partitionBy("_source", "size").orderBy("_rank", "_hash"))
+    return may.join(first, ["_source", "size", "_block"]).withColumn("_place", place).where(F.col("_place") <= enough + 1).drop("_place")
 
 
-def _fill(rivals: pd.DataFrame, nearest: bool) -> pd.DataFrame:
-    """The rivals that a source's last words go to: in order while they fit, then, if asked, the one that comes nearest."""
+def _fill(rivals: pd.DataFrame) -> pd.DataFrame:
+    """The rivals that a source's last words go to: in order while they fit, then the one that comes nearest."""
     rivals = rivals.sort_values(["_rank", "_hash"])
     sizes, room, take = rivals["size"].to_numpy(), float(rivals["_room"].iloc[0]), np.zeros(len(rivals), bool)
     for i, size in enumerate(sizes.tolist()):
         if size <= room:
             take[i], room = True, room - size
     left = np.where(take, np.inf, np.abs(sizes - room))
-    if nearest and len(left) and left.min() < room:
+    if len(left) and left.min() < room:
         take[int(left.argmin())] = True
     return rivals.loc[take, ["_source", "_block", "_hash", "size"]]
 
 
-def _fill_room(rivals: pd.DataFrame) -> pd.DataFrame:
-    return _fill(rivals, nearest=False)
-
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=cycle_weights, shards: int = 8, seed: int = 11, repeats: int = MAX_REPEATS, places: bool = True) -> DataFrame:
+    """The mix itself: a row of docs for each time it is taken, shuffled inside its shard.
 
-def _fill_last(rivals: pd.DataFrame) -> pd.DataFrame:
-    return _fill(rivals, nearest=True)
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=cycle_weights, shards: int = 8, seed: int = 11, repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix itself: a row for each time a row of docs is taken, with epoch and shard added, shuffled inside its shard."""
-    names = [c for c in docs.columns if c not in ("epoch", "shard")]
-    planned = plan_mix(docs, id_col, text_col, source_col, weights, shards, seed, repeats)
-    taken = planned.withColumn("_d", F.explode("draws")).withColumn("_key", F.xxhash64(F.col(id_col), "_d.epoch", "_d.shard", F.lit(seed + 1)))
+    With `places`, epoch and shard are added; columns of these names are replaced.
+    """
+    names = [c for c in docs.columns if not places or c.lower() not in ("epoch", "shard")]
+    planned = _plan(docs, id_col, text_col, source_col, weights, shards, seed, repeats)
+    taken = planned.select("_row", "_key", F.explode("draws").alias("_d")).withColumn("_key", F.xxhash64("_key", "_d.epoch", "_d.shard", F.lit(seed + 1)))
     spread = taken.withColumn("_sub", F.pmod("_key", F.lit(64))).repartition("_d.shard", "_sub").sortWithinPartitions("_d.shard", "_sub", "_key")
-    return spread.select(*[F.col(f"`{c}`") for c in names if c in planned.columns], F.col("_d.epoch").alias("epoch"), F.col("_d.shard").alias("shard"))
+    return spread.select(*[F.col("_row")[c].alias(c) for c in names], *([F.col("_d.epoch").alias("epoch"), F.col("_d.shard").alias("shard")] if places else []))

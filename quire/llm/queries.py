@@ -72,7 +72,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), shards.alias("shards"))
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op5_quality_classifier": op5_quality_classifier, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}

@@ -52,7 +52,7 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
 
 
 def test_mix_fills_the_room_of_a_long_document(spark, monkeypatch):
-    """The target's end falls on a document longer than EDGE_BLOCKS blocks, and those after it do not fill the room."""
+    """The target's end falls on a document longer than many blocks, and those after it do not fill the room."""
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
     for long_id in (1000, 1001, 1002, 1003):
         rows = [(long_id, "w " * 2000, "a"), *[(i, "w " * 5, "a") for i in range(800)], *[(i, "w " * 5, "b") for i in range(2000, 2800)]]
@@ -65,6 +65,18 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert mixing.plan_mix(odd_docs).count() == odd_docs.count()
     assert mixing.mix(odd_docs).where("source = 'c'").count() >= 1
     assert mixing.plan_mix(no_docs).count() == mixing.mix(no_docs).count() == 0
+    own = ["_source", "_hash", "_block", "_d", "_key", "_sub", "_row", "_part", "size", "target", "epoch", "shard"]
+    clash = odd_docs.withColumns({n: F.lit("mine") for n in own})
+    mixed = mixing.mix(clash, places=False)
+    assert mixed.columns == clash.columns and {tuple(r[0]) for r in mixed.select(F.array_distinct(F.array(*own))).collect()} == {("mine",)}
+    planned = mixing.plan_mix(clash)
+    assert {tuple(r[0]) for r in planned.select(F.array_distinct(F.array(*own[:8]))).collect()} == {("mine",)} and dict(planned.dtypes)["size"] == "bigint"
+
+
+def test_more_sources_than_the_driver_holds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.plan_mix(corpus(spark))
 
 
 def brute_probability(texts, text):
