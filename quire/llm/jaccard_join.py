@@ -21,14 +21,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, frugal, materialise, slices, text_of
-from .hashing import splitmix
+from .common import discard, frugal, materialise, seen_ids, slices, text_of
+from .hashing import packed, splitmix, unpacked
 from .shingles import shingle_sets
 
 _U64 = np.uint64
@@ -41,11 +42,25 @@ SKETCH = tuple(f"s{i}" for i in range(SKETCH_WORDS))
 MAX_FREQUENT = 1_000_000
 #: Bytes of text counted in one range of tokens, some ten million tokens; and the least number of ranges, as a power of two.
 RANGE_BYTES, LEAST_RANGE_BITS = 64 << 20, 7
+#: Tokens counted in a worker before it hands them on, and sets it remembers.
+MOST_HELD = 3_000_000
 
 
-def needed(n: int, percent: int) -> int:
+#: A threshold as whole numbers: similar means share[1] * intersection >= share[0] * union.
+Share = tuple[int, int]
+
+
+def share_of(threshold: float) -> Share:
+    """The decimal fraction as it is written: 0.855 is 171/200."""
+    share = Fraction(str(threshold))
+    if not 0 < share <= 1:
+        raise ValueError("a threshold lies above 0 and is at most 1")
+    return share.numerator, share.denominator
+
+
+def needed(n: int, share: Share) -> int:
     """Least overlap of a set of n with any set that is similar enough."""
-    return -(-percent * n // 100)
+    return -(-share[0] * n // share[1])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -67,8 +82,8 @@ def node_of(s: np.ndarray, seed: int) -> tuple[int, bytes]:
     return int.from_bytes(digest[:8], "little", signed=True), digest
 
 
-def may_reach(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
-    """False only if 100 * intersection >= percent * union is impossible.
+def may_reach(n: int, x: bytes, m: int, y: bytes, share: Share) -> bool:
+    """False only if the sets cannot be similar enough.
 
     Bits that differ are at most the size of the symmetric difference; the longer bitmap folds onto the shorter.
     """
@@ -79,17 +94,17 @@ def may_reach(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
         b = b[: len(b) // 2] ^ b[len(b) // 2 :]
     apart = int(np.bitwise_count(a ^ b).sum())
     # intersection <= (n + m - apart) / 2 and union >= (n + m + apart) / 2
-    return 100 * (n + m - apart) >= percent * (n + m + apart)
+    return share[1] * (n + m - apart) >= share[0] * (n + m + apart)
 
 
-def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+def reaches(a: np.ndarray, b: np.ndarray, share: Share) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return share[1] * both >= share[0] * (len(a) + len(b) - both)
 
 
 # --- pass A: sets, nodes, token counts -------------------------------------------------------------
 
-_PROFILE = "doc_id long, n int, node long, digest binary, bitmap binary, sketch array<long>, token_range int, tokens binary, counts binary"
+_PROFILE = "doc_id long, row_key long, n int, node long, digest binary, bitmap binary, sketch array<long>, token_range int, tokens binary, counts binary"
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +115,18 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return tokens[first], np.add.reduceat(counts, first)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted parts as one, in up to 128 pieces of rising tokens of `bits` bits, so that little is held twice."""
+    marks = np.arange(1, 128, dtype=_U64) << _U64(bits - 7)
+    cuts = [np.concatenate([[0], np.searchsorted(t, marks), [len(t)]]) for t, _ in parts]
+    for i in range(128):
+        some = [(t[c[i] : c[i + 1]], n[c[i] : c[i + 1]]) for (t, n), c in zip(parts, cuts, strict=True) if c[i] < c[i + 1]]
+        if some:
+            yield _merge(some)
+
+
 def _profile(k: int, seed: int, bits: int, range_bits: int, with_counts: bool) -> Callable:
-    """Rows of two kinds: documents, and at the end of a partition its token counts by range."""
+    """Rows of two kinds: documents, and token counts by range, summed over a bounded number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -110,14 +135,23 @@ def _profile(k: int, seed: int, bits: int, range_bits: int, with_counts: bool) -
         parts: list = []
         held, seen = 0, set()
         names = [f.split()[0] for f in _PROFILE.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for tokens, counts in _merged(parts, bits):
+                ranges = tokens >> _U64(bits - range_bits)
+                cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])).tolist()
+                rows = [(int(ranges[lo]), packed(tokens[lo:hi]), compress(counts[lo:hi].astype("<u4").tobytes())) for lo, hi in zip(cuts, [*cuts[1:], len(tokens)], strict=True)]
+                columns = [pa.nulls(len(rows), t) for t in kinds[:7]] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds[7:], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
             named = [node_of(s, seed) for s in sets]
             digests = [d for _, d in named]
             nodes = [n if len(s) else None for s, (n, _) in zip(sets, named, strict=True)]
             none = [None] * len(sets)
-            columns = [batch.column("doc_id"), [len(s) for s in sets], nodes, digests, [bitmap(s) if len(s) else b"" for s in sets], [sketch(s) for s in sets], none, none, none]
+            columns = [batch.column("doc_id"), batch.column("row_key"), [len(s) for s in sets], nodes, digests, [bitmap(s) if len(s) else b"" for s in sets], [sketch(s) for s in sets], none, none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
             if with_counts:
                 new = []
@@ -127,49 +161,42 @@ def _profile(k: int, seed: int, bits: int, range_bits: int, with_counts: bool) -
                         new.append(s)
                 if new:
                     t, c = np.unique(np.concatenate(new) >> _U64(64 - bits), return_counts=True)
-                    parts.append((t, c))
+                    parts.append((t, c.astype(np.uint32)))
                     held += len(t)
-                    if held > 8_000_000 and len(parts) > 8:
-                        parts = [_merge(parts)]
-                        held = 0
+                if held > MOST_HELD:
+                    yield from counted()
+                    parts.clear()
+                    seen.clear()  # a set met again counts again, which only changes its tokens' places in the order
+                    held = 0
         if parts:
-            tokens, counts = _merge(parts)
-            ranges = (tokens >> _U64(bits - range_bits)).astype(np.int64)
-            cuts = np.searchsorted(ranges, np.arange((1 << range_bits) + 1))
-            for r in range(1 << range_bits):
-                lo, hi = int(cuts[r]), int(cuts[r + 1])
-                if lo < hi:
-                    steps = np.diff(tokens[lo:hi], prepend=_U64(0)).astype("<u8")
-                    # Byte planes compress well: the upper ones of small steps are zero.
-                    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
-                    row = [None, None, None, None, None, None, r, compress(planes), compress(counts[lo:hi].astype("<u4").tobytes())]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+            yield from counted()
 
     return run
 
 
-def _count_range(least: int) -> Callable:
+def _count_range(least: int, bits: int, range_bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for tokens, counts in zip(batch.column("tokens").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+        for whole in batches:
+            for i in range(whole.num_rows):
+                batch = whole.slice(i, 1)
+                base, inner = _U64(batch.column("token_range")[0].as_py() << (bits - range_bits)), bits - range_bits
                 parts = []
-                for t, c in zip(tokens, counts, strict=True):
-                    planes = np.frombuffer(expand(t), np.uint8).reshape(8, -1)
-                    parts.append((np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=_U64), np.frombuffer(expand(c), "<u4").astype(np.int64)))
-                u, n = _merge(parts)
-                keep = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(u[keep].astype(np.int64)), pa.array(n[keep])], names=["token", "df"])
+                for t, c in zip(batch.column("tokens")[0], batch.column("counts")[0], strict=True):
+                    parts.append((unpacked(t.as_py()) - base, np.frombuffer(expand(c.as_py()), "<u4")))
+                for u, n in _merged(parts, inner):
+                    keep = n >= least
+                    yield pa.RecordBatch.from_arrays([pa.array((u[keep] + base).astype(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "df"])
 
     return run
 
 
-def frequent_tokens(profile: DataFrame, least: int = LEAST_FREQUENT, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(profile: DataFrame, bits: int, range_bits: int, least: int = LEAST_FREQUENT, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(truncated tokens, classes) of at most `most` tokens: those in at least `least` documents, or in more."""
     blobs = profile.where("token_range is not null").groupBy("token_range").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
-    table = materialise(blobs.mapInArrow(frugal(_count_range(least)), "token long, df long"), "token-counts")
+    table = materialise(blobs.mapInArrow(frugal(_count_range(least, bits, range_bits)), "token long, df long"), "token-counts")
     sizes = table.groupBy(F.floor(F.log2("df") * 2).alias("class")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("class")).collect()  # under 130 rows
     total, lowest = 0, None
     for row in sizes:
@@ -178,7 +205,7 @@ def frequent_tokens(profile: DataFrame, least: int = LEAST_FREQUENT, most: int =
         total, lowest = total + row["n"], row["class"]
     if lowest is None:
         return np.zeros(0, _U64), np.zeros(0, np.uint8)
-    rows = table.where(F.floor(F.log2("df") * 2) >= lowest).toPandas()
+    rows = table.where(F.floor(F.log2("df") * 2) >= lowest).toPandas()  # at most `most` rows
     tokens = rows["token"].to_numpy(np.int64).astype(_U64)
     order = np.argsort(tokens)
     return tokens[order], np.floor(np.log2(rows["df"].to_numpy(np.float64)[order]) * 2).astype(np.uint8)
@@ -192,13 +219,13 @@ class PREFIX_COMBINATIONS:  # noqa: N801  a scheme of candidate keys
 
     counts = True
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, share: Share):
+        self.share = share
 
     def keys(self, s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, bits: int) -> tuple[int, int, np.ndarray]:
         """(rare tokens of the set, how many keys are single tokens, keys)."""
         n = len(s)
-        length = min(n, n - needed(n, self.percent) + 2)
+        length = min(n, n - needed(n, self.share) + 2)
         if len(frequent):
             cut = s >> _U64(64 - bits)
             at = np.minimum(np.searchsorted(frequent, cut), len(frequent) - 1)
@@ -209,6 +236,8 @@ class PREFIX_COMBINATIONS:  # noqa: N801  a scheme of candidate keys
         n_rare = len(rare)
         rare = rare[:length]
         left = length - len(rare)
+        if needed(n, self.share) == 1:  # one token may be all that it shares with its like, a frequent one too
+            rare = s
         if left < 2:
             return n_rare, len(rare), rare
         tokens, kinds = s[often], classes[at[often]]
@@ -249,6 +278,8 @@ def _index(scheme, k: int, seed: int, bits: int, frequent) -> Callable:
                 node = node_of(s, seed)[0]
                 if node in seen:
                     continue
+                if len(seen) > MOST_HELD:
+                    seen.clear()
                 seen.add(node)
                 rare, singles, keys = scheme.keys(s, tokens, classes, bits)
                 for column, value in zip(out, (node, len(s), rare, singles, keys.view(np.int64)), strict=True):
@@ -273,7 +304,7 @@ def _filter_pairs(test: Callable) -> Callable:
 
 
 def _node_sets(k: int, seed: int) -> Callable:
-    """Sets of nodes; a row that only shares the id of a node's first row, not its set, is passed over."""
+    """Sets of nodes; a row that only shares the key of a node's row, not its set, is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -284,16 +315,16 @@ def _node_sets(k: int, seed: int) -> Callable:
     return run
 
 
-def _similar(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed: int, percent: int) -> DataFrame:
+def _similar(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed: int, share: Share) -> DataFrame:
     """Of candidate pairs (a, b), a < b: those that reach the threshold."""
     maps = nodes.select("node", "n", "bitmap")
     with_maps = rows.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b")
-    hopeful = materialise(with_maps.select("a", "b", "n", "x", "m", "y").mapInArrow(frugal(_filter_pairs(lambda n, x, m, y: may_reach(n, x, m, y, percent))), "a long, b long"), "hopeful-pairs")
-    used = materialise(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct().join(nodes.select("node", "first_doc"), "node"), "hopeful-nodes")
-    texts = docs.join(used.withColumnRenamed("first_doc", "doc_id"), "doc_id")
-    sets = materialise(texts.select("node", "text").mapInArrow(frugal(_node_sets(k, seed)), "node long, set binary"), "hopeful-sets")
+    hopeful = materialise(with_maps.select("a", "b", "n", "x", "m", "y").mapInArrow(frugal(_filter_pairs(lambda n, x, m, y: may_reach(n, x, m, y, share))), "a long, b long"), "hopeful-pairs")
+    used = materialise(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct().join(nodes.select("node", "row_key"), "node"), "hopeful-nodes")
+    texts = seen_ids(docs, "row_key", used.select("row_key")).join(used, "row_key")
+    sets = materialise(texts.select("node", "text").mapInArrow(frugal(_node_sets(k, seed)), "node long, set binary").dropDuplicates(["node"]), "hopeful-sets")
     both = hopeful.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.lit(0).alias("n"), "x", F.lit(0).alias("m"), "y")
-    test = lambda n, x, m, y: reaches(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent)
+    test = lambda n, x, m, y: reaches(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), share)
     links = materialise(both.mapInArrow(frugal(_filter_pairs(test)), "a long, b long").distinct(), "links")
     for done in (sets, used, hopeful):
         discard(done)
@@ -330,18 +361,15 @@ def components(edges: DataFrame) -> DataFrame:
 # --- the operator ----------------------------------------------------------------------------------
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: float = 0.85, scheme=None) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row.
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, scheme) -> DataFrame:
+    """doc_id, row_key, n_shingles, label (the class; null without words), component_id for each row.
 
-    Null text is empty; a text without words links with nothing and is its own class, and so is any row
-    without a partner. component_id is the least id in the class. Rows alike are one node. Rows that
-    share an id and differ in text are nodes of their own. A text that stands under null ids alone
-    joins rows with its own set only, with a null component_id. An empty table gives no rows.
+    row_key is a hash of the row's id and text.
     """
     spark = docs.sparkSession
-    percent = round(threshold * 100)
-    scheme = scheme or PREFIX_COMBINATIONS(percent)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    share = share_of(threshold)
+    scheme = scheme or PREFIX_COMBINATIONS(share)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(docs, id_col, text_col).alias("row_key"), text_of(docs, text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     range_bits = max(LEAST_RANGE_BITS, int(size // RANGE_BYTES).bit_length())
     # Truncated tokens: at most one in some thousands meets another by chance, which only changes its class.
@@ -350,21 +378,52 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         profile = materialise(rows.mapInArrow(frugal(_profile(k, seed, bits, range_bits, scheme.counts)), _PROFILE), "profile")
         owned = profile.where("token_range is null and n > 0")
-        nodes = materialise(owned.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), *[F.first(F.col("sketch")[i]).alias(c) for i, c in enumerate(SKETCH)], F.min("doc_id").alias("first_doc"), F.min("digest").alias("d0"), F.max("digest").alias("d1")), "nodes")
+        nodes = materialise(owned.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), *[F.first(F.col("sketch")[i]).alias(c) for i, c in enumerate(SKETCH)], F.min("doc_id").alias("first_doc"), F.min("row_key").alias("row_key"), F.min("digest").alias("d0"), F.max("digest").alias("d1")), "nodes")
         if nodes.where("d0 <> d1").isEmpty():
             break
         seed += 1  # two sets met in 64 bits of their digests
-    frequent = spark.sparkContext.broadcast(frequent_tokens(profile) if scheme.counts else (np.zeros(0, _U64), np.zeros(0, np.uint8)))
+    frequent = spark.sparkContext.broadcast(frequent_tokens(profile, bits, range_bits) if scheme.counts else (np.zeros(0, _U64), np.zeros(0, np.uint8)))
     index = materialise(rows.mapInArrow(frugal(_index(scheme, k, seed, bits, frequent)), "node long, n int, rare int, singles int, keys array<long>").dropDuplicates(["node"]), "index")
-    links = _links(index, nodes, rows, k, seed, percent)
+    frequent.unpersist()
+    links = _links(index, nodes, rows, k, seed, share)
     labels = components(links)
+    discard(links)
     firsts = labels.join(nodes.select("node", "first_doc"), "node").groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    named = materialise(nodes.select("node", "first_doc").join(labels, "node", "left").join(firsts, "label", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
-    documents = profile.where("token_range is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
-    return documents.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialise(nodes.select("node", "first_doc").join(labels, "node", "left").join(firsts, "label", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
+    discard(nodes)
+    documents = profile.where("token_range is null").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "node")
+    return documents.join(named, "node", "left").select("doc_id", "row_key", "n_shingles", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(docs[id_col].cast("long"), text_of(docs, text_col))
+
+
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: float = 0.85, scheme=None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row.
+
+    Null text is empty; a text without words links with nothing and is its own class, and so is any row
+    without a partner. component_id is the least id in the class, null if all ids there are null. Rows
+    alike are one node. Rows that share an id and differ in text are nodes of their own, and so are rows
+    without an id. The threshold is a decimal fraction above 0, at most 1, taken as written. An empty table gives no rows.
+    """
+    return _classes(docs, id_col, text_col, k, threshold, scheme).select("doc_id", "n_shingles", "component_id")
+
+
+def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, scheme=None) -> DataFrame:
+    """Of each class of near duplicates the row with the least id (null last; of one id the one with the least hash). Same columns as docs.
+
+    Rows without words all stay, and rows alike in id and text stay or go together.
+    """
+    classes = _classes(docs, id_col, text_col, k, threshold, scheme).where("label is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    best = classes.groupBy("label").agg(F.min(rank).alias("best"), F.max(rank).alias("last")).where("best <> last").drop("last")
+    dropped = materialise(classes.join(best, "label").where(rank != F.col("best")).select("row_key", "doc_id").distinct(), "near-dropped")
+    same = (row_key(docs, id_col, text_col) == dropped["row_key"]) & docs[id_col].cast("long").eqNullSafe(dropped["doc_id"])
+    return docs.join(dropped, same, "left_anti")
 
 
-def _links(index: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, seed: int, percent: int) -> DataFrame:
+def _links(index: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, seed: int, share: Share) -> DataFrame:
     entries = index.select("node", "n", "rare", "singles", F.posexplode("keys").alias("pos", "key")).select("node", "n", "rare", (F.col("pos") < F.col("singles")).alias("single"), "key")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     hits = materialise(entries.join(shared, "key").join(nodes.select("node", *SKETCH), "node"), "hits")
@@ -372,14 +431,15 @@ def _links(index: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, seed: in
     best = F.min(F.struct("rare", "node", "n", *SKETCH)).alias("p")
     theirs = {"node": "other", "n": "m", "rare": "other_rare"} | {c: f"other_{c}" for c in SKETCH}
     pivots = materialise(hits.groupBy("key").agg(best).select("key", *[F.col(f"p.{c}").alias(o) for c, o in theirs.items()]), "pivots")
-    sizes_allow = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    most_apart = (F.col("n") + F.col("m")) * (100 - percent)  # a link's symmetric difference, times 100 + percent
+    low, high = (F.lit(x).cast("long") for x in share)
+    sizes_allow = F.least("n", "m") * high >= F.greatest("n", "m") * low
+    most_apart = (F.col("n") + F.col("m")) * (high - low)  # a link's symmetric difference, times high + low
     by_counts = F.col("rare") + F.col("other_rare") + F.abs((F.col("n") - F.col("rare")) - (F.col("m") - F.col("other_rare")))
     by_sketch = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in SKETCH), F.lit(0))
-    allowed = sizes_allow & (F.col("single") | (by_counts * (100 + percent) <= most_apart)) & (by_sketch * (100 + percent) <= most_apart)
+    allowed = sizes_allow & (F.col("single") | (by_counts * (high + low) <= most_apart)) & (by_sketch * (high + low) <= most_apart)
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     star = hits.join(pivots, "key").where(F.col("node") != F.col("other")).where(allowed).select(*pair).distinct()
-    links = _similar(star, nodes, rows, k, seed, percent)
+    links = _similar(star, nodes, rows, k, seed, share)
     # What the pivots left outside their component meets the rest of its buckets.
     labels = materialise(components(links), "labels")
     marked = hits.join(pivots.select("key", F.col("other").alias("pivot")), "key").where("node <> pivot").join(labels.toDF("node", "label"), "node", "left").join(labels.toDF("pivot", "pivot_label"), "pivot", "left")
@@ -387,7 +447,8 @@ def _links(index: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, seed: in
     outside = marked.where("label <> pivot_label").drop("pivot_label")
     rest = marked.select("key", F.col("label").alias("other_label"), *[F.col(c).alias(o) for c, o in theirs.items()])
     cross = outside.join(rest, "key").where("label <> other_label").where(allowed).select(*pair).distinct()
-    more = _similar(cross, nodes, rows, k, seed, percent)
-    for done in (hits, pivots, labels, marked):
+    more = _similar(cross, nodes, rows, k, seed, share)
+    both = materialise(links.unionByName(more), "all-links")
+    for done in (hits, pivots, labels, marked, links, more):
         discard(done)
-    return links.unionByName(more)
+    return both

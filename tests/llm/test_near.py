@@ -1,10 +1,11 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from quire.llm import jaccard_join as J
 from quire.llm import minhash
@@ -21,8 +22,10 @@ def true_set(text, k):
 
 
 def similar(a, b, percent):
+    """percent: a whole number, or a share of two."""
+    low, high = percent if isinstance(percent, tuple) else (percent, 100)
     both = len(a & b)
-    return bool(a) and bool(b) and 100 * both >= percent * (len(a) + len(b) - both)
+    return bool(a) and bool(b) and high * both >= low * (len(a) + len(b) - both)
 
 
 def brute_classes(rows, k, percent):
@@ -88,6 +91,54 @@ def test_join_of_odd_rows(odd_docs, no_docs):
     assert J.link_classes(no_docs).count() == 0
 
 
+def test_thresholds_are_taken_as_written(spark, monkeypatch):
+    """Low ones, where one shared token is enough, and ones between whole percents."""
+    assert J.share_of(0.855) == (171, 200) and J.share_of(1) == (1, 1)
+    monkeypatch.setattr(J.frequent_tokens, "__defaults__", (2, J.MAX_FREQUENT))
+    rng = random.Random(11)
+    small = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 5))) for _ in range(25)] + ["solo", "solo pair", "pair solo third"]
+    long = [f"x{i}" for i in range(200)]
+    long_rows = [" ".join([*long[: 200 - cut], *[f"e{cut}_{i}" for i in range(cut)]]) for cut in (0, 14, 15, 16, 17, 30)]
+    for texts, k, threshold, share in ((small, 1, 0.5, (1, 2)), (small, 1, 0.3, (3, 10)), (long_rows, 1, 0.855, (171, 200)), (long_rows, 1, 0.86, (43, 50))):
+        rows = list(enumerate(texts))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), k=k, threshold=threshold).collect()}
+        assert got == brute_classes(rows, k, share)
+
+
+def test_rows_without_ids_and_with_one_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda x: " ".join([*base[:-1], x])
+    far = " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, near("a")), (None, near("b")), (7, far), (7, near("c")), (9, far + " more"), (None, "nothing like it at all"), (3, None), (3, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0) for r in J.link_classes(docs, k=4, threshold=0.85).collect())
+    assert got == [(False, 3, 3), (False, 3, 3), (False, 7, 7), (False, 7, 7), (False, 9, 7), (True, 0, 0), (True, 0, 7), (True, 0, 7)]
+    kept = Counter(r["text"] for r in J.remove_near_duplicates(docs, k=4, threshold=0.85).collect())
+    assert kept == Counter([near("c"), far, "nothing like it at all", None, ""])
+    without = J.remove_near_duplicates(docs.where("doc_id is null"), k=4, threshold=0.85).collect()
+    assert len(without) == 2
+
+
+def test_counts_of_a_bounded_number_of_tokens(spark, monkeypatch):
+    rows = near_copies(13, groups=3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for held in (50, J.MOST_HELD):
+        for range_bits in (7, 9):
+            texts = pa.RecordBatch.from_pylist([{"doc_id": i, "row_key": i, "text": t or ""} for i, t in rows])
+            monkeypatch.setattr(J, "MOST_HELD", held)
+            out = [b for b in J._profile(4, 0, 40, range_bits, True)(iter([texts.slice(0, 60), texts.slice(60)])) if b.column("token_range").null_count == 0]
+            found = Counter()
+            for b in out:
+                for r in b.to_pylist():
+                    tokens = J.unpacked(r["tokens"])
+                    assert set((tokens >> np.uint64(40 - range_bits)).tolist()) == {r["token_range"]}
+                    for t, c in zip(tokens.tolist(), np.frombuffer(zstandard.decompress(r["counts"]), "<u4").tolist(), strict=True):
+                        found[t] += c
+            true = Counter(t for s in {frozenset((s >> np.uint64(24)).tolist()) for s in shingle_sets(pa.array([t or "" for _, t in rows]), 4)} for t in s)
+            assert found == true if held > 50 else set(found) == set(true)
+    monkeypatch.setattr(J, "MOST_HELD", 50)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link_classes(docs).collect()} == brute_classes(rows, 4, 85)
+
+
 def test_bounds_are_exact():
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -99,7 +150,7 @@ def test_bounds_are_exact():
         apart = len(a) + len(b) - 2 * both
         assert int(np.bitwise_count((J.sketch(a) ^ J.sketch(b)).view(np.uint64)).sum()) <= apart
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            assert J.may_reach(len(a), J.bitmap(a), len(b), J.bitmap(b), 85)
+            assert J.may_reach(len(a), J.bitmap(a), len(b), J.bitmap(b), (17, 20))
 
 
 @pytest.mark.parametrize("k", [1, 4, 5])
