@@ -28,15 +28,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the row with the least id; rows without an id stay."""
-    classes = jaccard_join.link_classes(docs, k=NEAR_WORDS, threshold=NEAR_SIMILARITY)
-    dropped = materialise(classes.where("doc_id <> component_id").select("doc_id"), "near-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near duplicates the row with the least id."""
+    return jaccard_join.remove_near_duplicates(docs, k=NEAR_WORDS, threshold=NEAR_SIMILARITY)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the target weights of their sources take them, shuffled inside output shards."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, places=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
