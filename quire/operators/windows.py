@@ -88,13 +88,14 @@ def anchor_summary(deduped: DataFrame) -> DataFrame:
     return grouped.select("doc_id", numbers.alias("numbers"), missing.alias("missing"), "uncertain", ok.alias("sequence_ok"), F.when(ok, 0.89).otherwise(0.66).alias("confidence"))
 
 
-def column_bounds(anchors: DataFrame, page_width: int) -> DataFrame:
+def column_bounds(anchors: DataFrame, page_width: int | Column) -> DataFrame:
     """Anchors with column (0 left, 1 right) and its left and right edge on the page."""
+    page_width = F.lit(page_width)
     page = Window.partitionBy("doc_id", "page_no")
     center = (F.col("bbox.x0") + F.col("bbox.x1")) / 2
     spread = F.max(center).over(page) - F.min(center).over(page)
-    single = (F.count(F.lit(1)).over(page) < 2) | (spread < page_width * F.lit(COLUMN_SPREAD))
-    half = page_width // 2
+    single = (F.count(F.lit(1)).over(page) < 2) | (spread < page_width * COLUMN_SPREAD)
+    half = F.floor(page_width / 2).cast("int")
     right = center > half
     rows = anchors.withColumns({"single": single, "column": F.when(right, 1).otherwise(0)})
     left_edge = F.when(F.col("single"), 0).when(F.col("column") == 1, half + GUTTER).otherwise(0)
@@ -108,7 +109,7 @@ def next_in_column(bounded: DataFrame) -> DataFrame:
     return bounded.withColumn("next_y0", F.min("bbox.y0").over(w))
 
 
-def page_ranges(with_next: DataFrame, page_height: int, profile: DataFrame | None = None) -> DataFrame:
+def page_ranges(with_next: DataFrame, page_height: int | Column, profile: DataFrame | None = None) -> DataFrame:
     """Each anchor's region of its page, down to the next anchor in its column or the page's end, clear of the footer."""
     top = F.col("bbox.y0")
     bottom = F.when(F.col("next_y0").isNull(), page_height).otherwise(F.greatest(F.col("bbox.y0") + 10, F.col("next_y0") - 4))
