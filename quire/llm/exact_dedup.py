@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import fresh, materialise, text_of
 
 #: A group is hot from this share of all rows; so there are at most 1 / HOT_SHARE hot groups,
 #: which bounds the table that is broadcast.
@@ -53,20 +53,21 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sized = groups.select("digest", F.when(F.col("group_size") >= F.lit(max(2, HOT_SHARE * total)), True).otherwise(False).alias("hot"), "keep_id", "group_size", F.xxhash64("text", F.lit(7)).alias("text_hash"))
     table = materialise(sized.withColumn("texts", clash), "exact-groups")
 
-    rows = docs.withColumn("_digest", digest(text_of(docs, text_col)))
-    one = table.where("texts = 1").select(F.col("digest").alias("_digest"), "keep_id", "group_size", "hot")
+    key, own = fresh(docs.columns, "_digest"), fresh(docs.columns, "_text")
+    rows = docs.withColumn(key, digest(text_of(docs, text_col)))
+    one = table.where("texts = 1").select(F.col("digest").alias(key), "keep_id", "group_size", "hot")
     hot = F.broadcast(one.where("hot").drop("hot"))  # at most 1 / HOT_SHARE rows
-    # Digests with several texts: none for SHA-256; for a weaker digest they are matched by a second hash.
+    # Digests with several texts: none for SHA-256; for a weaker digest they are matched by the texts themselves.
     several = table.where("texts > 1")
-    parts = [rows.join(hot, "_digest"), rows.join(hot, "_digest", "left_anti").join(one.where("not hot").drop("hot"), "_digest")]
+    parts = [rows.join(hot, key), rows.join(hot, key, "left_anti").join(one.where("not hot").drop("hot"), key)]
     if not several.isEmpty():
-        texts = groups.join(several.select("digest").distinct(), "digest", "left_semi").select(F.col("digest").alias("_digest"), F.col("text").alias("_text"), "keep_id", "group_size")
-        parts.append(rows.withColumn("_text", text_of(rows, text_col)).join(texts, ["_digest", "_text"]).drop("_text"))
+        texts = groups.join(several.select("digest").distinct(), "digest", "left_semi").select(F.col("digest").alias(key), F.col("text").alias(own), "keep_id", "group_size")
+        parts.append(rows.withColumn(own, text_of(rows, text_col)).join(texts, [key, own]).drop(own))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    sha = F.col("_digest") if digest is sha256_hex else sha256_hex(text_of(out, text_col))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).withColumn("text_sha256", sha).drop("_digest")
+    sha = F.col(key) if digest is sha256_hex else sha256_hex(text_of(out, text_col))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).withColumn("text_sha256", sha).drop(key)
 
 
 def _by_digest():

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, slices, text_of
@@ -84,9 +84,10 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at = _tree(F.col("doc_id"), marks, 0)
     rows = rows.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at).cast("int"))
     firsts = rows.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "text")).alias("f"))
-    # One row for each range.
-    w = Window.orderBy("_range")
-    ghosts = firsts.select(F.coalesce(F.lag("_range").over(w), F.max("_range").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_range"), F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), F.lit(True).alias("_ghost"))
+    # The range before each, the last for the first; at most 10,000 numbers. Texts stay out of it.
+    found = sorted(r[0] for r in rows.select("_range").distinct().collect())
+    before = F.broadcast(docs.sparkSession.createDataFrame(list(zip(found, [*found[-1:], *found[:-1]], strict=True)), "_range int, _before int"))
+    ghosts = firsts.join(before, "_range").select(F.col("_before").alias("_range"), F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), F.lit(True).alias("_ghost"))
     both = rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts.select("doc_id", "text", "_range", "_ghost"))
     return both.repartition(max(1, ranges), "_range").sortWithinPartitions("_range", "_ghost", "doc_id", "text")
 

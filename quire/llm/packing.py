@@ -3,7 +3,8 @@
 One pass encodes every document and stages its ids with the place in its source's queue; a small
 table of counts per partition and source gives each queue's start in each partition; a second pass
 over the staged ids asks the closed-form schedule (mixture.py) where each run of tokens goes and
-cuts it there. Token ids never move between executors.
+cuts it there. Token ids stay where they are while the planner finds that table small enough to broadcast;
+beyond that each partition's rows move once, by partition and queue.
 """
 
 from __future__ import annotations

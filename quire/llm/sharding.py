@@ -117,17 +117,22 @@ def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
 def shard_rows(df: DataFrame, n_shards: int, order: list[str], seed: int = 17) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 in its shard); columns of these names are replaced.
 
-    Shard sizes differ by one row at most. Null keys sort first; rows that tie in all of `order`
+    Shard sizes differ by one row at most. The law is `rows`: single rows are permuted, so equal texts may
+    go to different shards. Null keys sort first; rows that tie in all of `order`
     are interchangeable. An empty table gives no rows.
     """
-    numbered = row_numbers(df.drop("shard", "slot"), order)
+    keys = [f"k{i}" for i in range(len(order))]
+    own = df.drop("shard", "slot")
+    packed = df.select(F.struct(*[df[c] for c in own.columns]).alias("row"), *[df[c].alias(k) for c, k in zip(order, keys, strict=True)])
+    numbered = row_numbers(packed, keys)
     n = numbered.count()
     a, b = sides(n)
     out = with_feistel(numbered, "_row_number", "_y", n, seed)
     # At most a*b - n < a numbers lie outside, so a walk is no longer than that; it is only built for rows outside.
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, a * b - n))), F.col("_y"), lambda y, _: F.when(y >= n, feistel_column(y, n, seed)).otherwise(y))
     out = out.withColumn("_y", F.when(F.col("_y") >= n, walk).otherwise(F.col("_y")))
-    return out.withColumn("shard", F.pmod("_y", F.lit(n_shards)).cast("int")).withColumn("slot", ((F.col("_y") - F.pmod("_y", F.lit(n_shards))) / n_shards).cast("long")).drop("_y", "_row_number")
+    shard = F.pmod("_y", F.lit(n_shards))
+    return out.select(*[F.col("row")[c].alias(c) for c in own.columns], shard.cast("int").alias("shard"), ((F.col("_y") - shard) / n_shards).cast("long").alias("slot"))
 
 
 def feistel_sql(x: str, n: str, a: str, b: str, seed: int) -> list[str]:

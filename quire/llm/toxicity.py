@@ -9,6 +9,7 @@ row and whole text once.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,12 +45,13 @@ FEATURES = 18
 
 def _obfuscated(low: str) -> list[str]:
     """White-space separated strings with digits or signs inside a word, or with digits or @ and $ that lead one."""
-    out, done = [], 0
+    out, done, left, since = [], 0, 0, 0
     for m in _JOINT.finditer(low):
         at = m.start()
         if at < done or not (low[at - 1 : at].isalpha() or (m[0][0] in "0123456789@$" and not low[at - 1 : at].strip())):
             continue
-        left = max(low.rfind(" ", 0, at), low.rfind("\n", 0, at), low.rfind("\t", 0, at)) + 1
+        left = max(left, max(low.rfind(blank, since, at) for blank in " \n\t") + 1)  # no stretch is searched twice
+        since = at
         right = next((i for i in range(m.end(), len(low)) if low[i].isspace()), len(low))
         out.append(low[left:right])
         done = right
@@ -100,7 +102,8 @@ def features(texts: list[str], lexicon: dict[str, float]) -> np.ndarray:
         begun = [w for w in begun if w > 0]
         masked = [lexicon[w] for w in hidden if w in lexicon]
         people = [j for j, w in enumerate(words) if w in SECOND_PERSON]
-        near = sum(any(abs(j - p) <= NEAR for p in people) for j in at) if people and at else 0
+        following = [bisect_left(people, j - NEAR) for j in at]  # the first that is not too far before
+        near = sum(k < len(people) and people[k] <= j + NEAR for j, k in zip(at, following, strict=True))
         capitals = _capitals(text, low)
         marks = len(_MARKS.findall(text))
         out[i] = (
@@ -166,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(y) < 10 or y.min() == y.max():
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
     x = np.array(rows["x"].tolist())
-    # Every fourth row, in hash order, calibrates trees grown on the others; then trees grow on all.
+    # Every fourth row, in random order, calibrates trees grown on the others. The lexicon has seen both.
     order = np.random.default_rng(3).permutation(len(y))
     held = np.zeros(len(y), bool)
     held[order[::4]] = True
