@@ -73,10 +73,10 @@ def materialise(df: DataFrame, name: str, path: str | None = None, by: str | Non
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing lazily reads it any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete what materialise() wrote, or a part of it, once nothing lazily reads it any more."""
     path, sc = df._quire_path, df.sparkSession.sparkContext  # type: ignore[attr-defined]
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 

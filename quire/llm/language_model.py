@@ -38,7 +38,7 @@ PAD = 255
 #: Entries of a shard; one more pair of middle symbols may come on top (at most SYMBOLS**4 entries at order 6).
 SHARD_ROWS = 500_000
 #: Text whose n-grams are asked for together, and chunks that one copy of a shard answers.
-CHUNK_BYTES, CHUNKS_A_COPY = 8 << 20, 2048
+CHUNK_BYTES, CHUNKS_A_COPY = 32 << 20, 2048
 #: Distinct n-grams counted in a worker before it hands them on.
 MOST_HELD = 1_000_000
 #: Log probabilities travel in steps of 1 / STEPS, as 16 bits; none is below -32.
@@ -266,12 +266,12 @@ def train(counts: DataFrame, order: int = 4) -> Model:
         d = _counts_of_counts(g[o])
         left = contexts(g[o], d)
         by = g[o].withColumns({"context": context, "low": F.col("gram").bitwiseAND((1 << 8 * (o - 1)) - 1)}).join(left, "context").join(lower, "low")
-        p[o] = materialise(by.select("gram", F.log((F.col("c") - _discount(d) + F.col("freed") * F.col("low_p")) / F.col("total")).alias("value")), f"p{o}")
+        p[o] = materialise(by.select("gram", F.log((F.col("c") - _discount(d) + F.col("freed") * F.col("low_p")) / F.col("total")).cast("float").alias("value")), f"p{o}")
         lower = p[o].select(F.col("gram").alias("low"), F.exp("value").alias("low_p"))
         if o == 3:
             two_back = left.toPandas()  # at most 65,536 rows
         else:
-            back[o - 1] = materialise(left.select(F.col("context").alias("gram"), F.log(F.col("freed") / F.col("total")).alias("value")), f"back{o - 1}")
+            back[o - 1] = materialise(left.select(F.col("context").alias("gram"), F.log(F.col("freed") / F.col("total")).cast("float").alias("value")), f"back{o - 1}")
     back2 = np.zeros(SYMBOLS * SYMBOLS, np.float32)
     back2[two_back["context"].to_numpy(np.int64)] = np.log(two_back["freed"] / two_back["total"])
     for df in g.values():
@@ -279,17 +279,29 @@ def train(counts: DataFrame, order: int = 4) -> Model:
     return Model(order, p, back, back2, np.log(p2).astype(np.float32).ravel())
 
 
-def _chunk_grams(texts: list[pa.Array], bins: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, its sorted n-grams) of all distinct n-grams of a chunk, by shard."""
-    parts = []
-    for t in texts:
-        codes, at = symbols(t, order)
-        g = grams(codes, order)
-        parts.append(np.unique(g[inside(at, len(g), order)], sorted=False))
-    every = np.unique(np.concatenate(parts))
-    shard = bins[every >> 8 & _PAIR]
-    for i in np.unique(shard).tolist():
-        yield i, every[shard == i]
+class Grams:
+    """The distinct n-grams of a chunk whose texts come in slices; no more than some slices' are held twice."""
+
+    def __init__(self, order: int):
+        self.order, self.every, self.parts, self.held = order, np.zeros(0, np.int64), [], 0
+
+    def add(self, texts: pa.Array) -> None:
+        codes, at = symbols(texts, self.order)
+        g = grams(codes, self.order)
+        self.parts.append(np.unique(g[inside(at, len(g), self.order)], sorted=False))
+        self.held += len(self.parts[-1])
+        if self.held > max(MOST_HELD, len(self.every)):
+            self.merge()
+
+    def merge(self) -> None:
+        self.every, self.parts, self.held = np.unique(np.concatenate([self.every, *self.parts])), [], 0
+
+    def by_shard(self, bins: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, its n-grams in order) for each shard that has some."""
+        self.merge()
+        shard = bins[self.every >> 8 & _PAIR]
+        for i in np.unique(shard).tolist():
+            yield i, self.every[shard == i]
 
 
 _CHUNKS = "chunk long, kind int, place int, content binary"
@@ -301,26 +313,27 @@ def _ask(bins: np.ndarray, order: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        compress = zstandard.ZstdCompressor(level=3).compress
+        compress = zstandard.ZstdCompressor(level=6).compress  # texts lie in the shared folder and move once
 
         def row(kind: int, place: int, content: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([place], pa.int32()), pa.array([content], pa.binary())], names=["chunk", "kind", "place", "content"])
 
-        chunk, texts, size = partition_id() << 32, [], 0
+        chunk, found, place, size = partition_id() << 32, Grams(order), 0, 0
         for batch in slices(batches, column):
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
-            yield row(_ROWS, len(texts), compress(sink.getvalue()))
-            texts.append(_strings(batch.column(column)))
-            size += texts[-1].nbytes
+            yield row(_ROWS, place, compress(sink.getvalue()))
+            texts = _strings(batch.column(column))
+            found.add(texts)
+            place, size = place + 1, size + texts.nbytes
             if size >= CHUNK_BYTES:
-                for i, found in _chunk_grams(texts, bins, order):
-                    yield row(_ASKED, i, packed(found))
-                chunk, texts, size = chunk + 1, [], 0
-        if texts:
-            for i, found in _chunk_grams(texts, bins, order):
-                yield row(_ASKED, i, packed(found))
+                for i, keys in found.by_shard(bins):
+                    yield row(_ASKED, i, packed(keys))
+                chunk, found, place, size = chunk + 1, Grams(order), 0, 0
+        if place:
+            for i, keys in found.by_shard(bins):
+                yield row(_ASKED, i, packed(keys))
 
     return run
 
@@ -373,16 +386,18 @@ def _sum(bins: np.ndarray, order: int, column: str, names: list[str]):
         expand = zstandard.ZstdDecompressor().decompress
 
         def summed(replies: dict[int, bytes], rows: list[bytes]) -> Iterator[pa.RecordBatch]:
-            held = [b for content in rows for b in pa.ipc.open_stream(expand(content))]
-            keys, values = [], []
-            for i, found in _chunk_grams([_strings(b.column(column)) for b in held], bins, order):
+            opened = lambda: (b for content in rows for b in pa.ipc.open_stream(expand(content)))  # noqa: E731  read twice, not held
+            found, keys, values = Grams(order), [], []
+            for b in opened():
+                found.add(_strings(b.column(column)))
+            for i, some in found.by_shard(bins):
                 reply = np.frombuffer(expand(replies[i]), np.uint8).reshape(2, -1).T
-                if len(reply) != len(found):
+                if len(reply) != len(some):
                     raise ValueError("a shard's answer does not fit its question")
-                keys.append(found)
+                keys.append(some)
                 values.append(np.ascontiguousarray(reply).view("<u2").ravel())
             table = HashTable.make(np.concatenate(keys), np.concatenate(values) / np.float32(-STEPS)) if keys else None
-            for batch in held:
+            for batch in opened():
                 codes, at = symbols(_strings(batch.column(column)), order)
                 g = grams(codes, order)
                 ok = inside(at, len(g), order)
@@ -412,6 +427,11 @@ def _sum(bins: np.ndarray, order: int, column: str, names: list[str]):
 
 def add_log_probability(docs: DataFrame, model: Model, text_col: str = "text", to: str = "_lm") -> DataFrame:
     """docs with `to` (summed log probability of the text's bytes) added; null counts as empty, 0."""
+    return _scored(docs, model, text_col, to)[0]
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str, to: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The scored rows and the staged tables that they are read from."""
     order, bins = model.order, model.bins
     asked = materialise(docs.mapInArrow(frugal(_ask(bins, order, text_col)), _CHUNKS), "lm-chunks", by="kind")
     questions = asked.where(F.col("kind") == _ASKED)
@@ -420,10 +440,11 @@ def add_log_probability(docs: DataFrame, model: Model, text_col: str = "text", t
     asks = questions.select(F.col("place").alias("shard"), "kind", F.lit(0).cast("long").alias("gram"), F.lit(0).cast("float").alias("value"), F.pmod(F.hash("chunk"), F.lit(copies)).alias("copy"), "chunk", "content")
     stream = tables.unionByName(asks).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     answers = materialise(stream.mapInArrow(frugal(_answer(order, model.back2, model.p2)), _CHUNKS), "lm-answers")
+    discard(asked, f"kind={_ASKED}")
     rows = asked.where(F.col("kind") == _ROWS).select("chunk", F.lit(1).alias("kind"), "place", "content")
     both = answers.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", "kind", "place")
     kinds = StructType(docs.schema.fields.copy()).add(to, DoubleType())
-    return both.mapInArrow(frugal(_sum(bins, order, text_col, [*docs.columns, to])), kinds)
+    return both.mapInArrow(frugal(_sum(bins, order, text_col, [*docs.columns, to])), kinds), [asked, answers]
 
 
 def calibration_row(id_col: Column) -> Column:
@@ -454,9 +475,10 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     if counts.isEmpty():
         return Classifier(None, None, 0.0, float("inf"))
     model = train(counts, order)
-    held = add_log_probability(gathered.where("gram is null").select("lang", "text"), model)
+    held, staged = _scored(gathered.where("gram is null").select("lang", "text"), model, "text", "_lm")
     held = materialise(held.select(_key(F.col("lang")).alias("lang_key"), (-F.col("_lm")).alias("cost"), F.octet_length("text").alias("n")), "lm-calibration")
-    discard(gathered)
+    for done in (gathered, *staged):
+        discard(done)
     total = held.agg(F.sum("cost") / F.sum("n")).first()[0]
     if total is None:
         return Classifier(model, None, 0.0, float("inf"))
