@@ -91,15 +91,18 @@ def anchor_score(s: Column, confidence: Column) -> Column:
 
 def page_evidence(lines: DataFrame, keywords=ANSWER_KEYWORDS) -> DataFrame:
     """doc_id, page_no, top_lines (first five), keyword_hits (sorted), question_anchors, answer_anchors (counts), question_style, answer_style."""
-    item = F.struct("ord", "text")
-    pages = lines.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    texts = F.transform("items", lambda i: i["text"])
-    hits = F.sort_array(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.exists(texts, lambda t: F.contains(t, k))))
-    numbered = F.size(F.filter(texts, lambda t: T.strip(t).rlike(r"^\d+\.")))
-    answers = F.size(F.filter(texts, lambda t: T.any_in(t, keywords)))
+    t = F.col("text")
+    k = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("ord"))
+    # Texts of the first five lines alone are gathered; of the others flags and counts.
+    pages = lines.withColumn("_k", k).groupBy("doc_id", "page_no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_k") <= 5, F.struct("ord", "text")))).alias("_top"),
+        F.array(*[F.when(F.bool_or(F.contains(t, F.lit(w))), F.lit(w)) for w in keywords]).alias("_hits"),
+        F.count_if(T.strip(t).rlike(r"^\d+\.")).alias("_numbered"), F.count_if(T.any_in(t, keywords)).alias("_answers"),
+    )
     return pages.select(
-        "doc_id", "page_no", F.slice(texts, 1, 5).alias("top_lines"), hits.alias("keyword_hits"), numbered.alias("question_anchors"), answers.alias("answer_anchors"),
-        F.when(numbered > 0, 0.9).otherwise(0.1).alias("question_style"), F.when(answers > 0, 0.95).otherwise(0.05).alias("answer_style"),
+        "doc_id", "page_no", F.transform("_top", lambda i: i["text"]).alias("top_lines"), F.sort_array(F.filter("_hits", lambda w: w.isNotNull())).alias("keyword_hits"),
+        F.col("_numbered").cast("int").alias("question_anchors"), F.col("_answers").cast("int").alias("answer_anchors"),
+        F.when(F.col("_numbered") > 0, 0.9).otherwise(0.1).alias("question_style"), F.when(F.col("_answers") > 0, 0.95).otherwise(0.05).alias("answer_style"),
     )
 
 

@@ -93,8 +93,9 @@ def pdf(questions: list[list[tuple[str, str]]], picture: np.ndarray | None = Non
 def thumbnail(gray: np.ndarray, most: int = THUMBNAIL) -> np.ndarray:
     """A picture no larger than most x most: means of the pixels that fall together."""
     step = max(1, -(-max(gray.shape) // most))
-    high, wide = (s // step * step for s in gray.shape)
-    return gray[:high, :wide].reshape(high // step, step, wide // step, step).mean(axis=(1, 3)).round().astype(np.uint8)
+    whole = np.pad(gray, [(0, max(0, step - s)) for s in gray.shape], mode="edge")  # a side narrower than a step becomes one
+    high, wide = (s // step * step for s in whole.shape)
+    return whole[:high, :wide].reshape(high // step, step, wide // step, step).mean(axis=(1, 3)).round().astype(np.uint8)
 
 
 def pdf_previews(rows: DataFrame) -> DataFrame:
