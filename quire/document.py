@@ -398,17 +398,18 @@ def results(files: DataFrame, questions: DataFrame, split: DataFrame, issues: Da
 DECISIONS = ("template", "noise", "evidence", "meta", "sections", "anchors", "packages", "blocks", "alignment", "notes", "layout_plan", "triage")
 
 
-def write(files: DataFrame, out: dict[str, DataFrame], path: str) -> DataFrame:
+def write(files: DataFrame, out: dict[str, DataFrame], path: str, media: DataFrame | None = None) -> DataFrame:
     """Store what analyse() gave under `path`, and return a row for each document: paths, verification, counts.
 
     Decisions are JSON lines; packages and previews are tables of files (doc_id, name, content), written
-    in parallel; a checklist is there for a document with findings about questions only.
+    in parallel, with the pictures in `media` (doc_id, media_id, content); a checklist is there for a
+    document with findings about questions only.
     """
     for name in DECISIONS:
         sinks.write_json(out[name], f"{path}/decisions/{name}")
     stems = files.select("doc_id", "stem")
     named = lambda rows, suffix: rows.join(stems, "doc_id").withColumn("name", F.concat("stem", F.lit(suffix))).drop("stem")
-    named(sinks.hwpx_packages(out["section_rows"]), ".hwpx").write.mode("overwrite").parquet(f"{path}/packages")
+    named(sinks.hwpx_packages(out["section_rows"], media), ".hwpx").write.mode("overwrite").parquet(f"{path}/packages")
     named(preview.pdf_previews(out["section_rows"]), ".pdf").write.mode("overwrite").parquet(f"{path}/previews")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("question_no", "category", "message", "asset"))
     rows = out["issues"].where("question_no is not null").withColumn("ord", order)

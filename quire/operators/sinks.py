@@ -155,7 +155,9 @@ def package(title: str, rows: list[dict], read_media: Callable[[str], bytes] | N
     n = sum(r["kind"] == "image" for r in rows)
     media = [(f"image{i}", f"BinData/image{i}.png") for i in range(1, n + 1)]
     preview = "\r\n".join(r["text"] or "" for r in rows)
-    parts = fixed_parts() | {"Contents/content.hpf": manifest(title, media), "Contents/section0.xml": section(rows), "Preview/PrvText.txt": preview.encode(), "Preview/PrvImage.png": png(320, 240)}
+    parts = fixed_parts() | {"Contents/content.hpf": manifest(title, media), "Contents/section0.xml": section(rows), "Preview/PrvText.txt": preview.encode()}
+    # The document's first picture stands for it.
+    parts["Preview/PrvImage.png"] = read_media(media[0][0]) if media and read_media else png(320, 240)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
         archive.writestr(zipfile.ZipInfo("mimetype"), "application/hwp+zip", zipfile.ZIP_STORED)
@@ -172,16 +174,29 @@ def by_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
 
 
-def hwpx_packages(rows: DataFrame) -> DataFrame:
-    """Section rows -> doc_id, names (array of part names), content (the file)."""
+def hwpx_packages(rows: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """Section rows -> doc_id, names (array of part names), content (the file).
+
+    media (doc_id, media_id, content: PNG bytes) are the pictures, numbered as render.media_entries()
+    does; one that is not given is a blank.
+    """
+    grouped = by_document(rows)
+    if media is None:
+        grouped = grouped.withColumn("media", F.array().cast("array<struct<media_id:string,content:binary>>"))
+    else:
+        pictures = media.groupBy("doc_id").agg(F.collect_list(F.struct("media_id", "content")).alias("media"))
+        grouped = grouped.join(pictures, "doc_id", "left")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            files = [package(str(doc), list(r)) for doc, r in zip(batch["doc_id"], batch["rows"], strict=True)]
+            files = []
+            for doc, some, given in zip(batch["doc_id"], batch["rows"], batch["media"], strict=True):
+                found = {m["media_id"]: bytes(m["content"]) for m in (given if given is not None else [])}
+                files.append(package(str(doc), list(some), lambda i, found=found: found.get(i) or png(8, 8)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "names": [zipfile.ZipFile(io.BytesIO(f)).namelist() for f in files], "content": files})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return by_document(rows).mapInPandas(build, f"doc_id {kind}, names array<string>, content binary")
+    return grouped.mapInPandas(build, f"doc_id {kind}, names array<string>, content binary")
 
 
 def section_parts(rows: DataFrame) -> DataFrame:
