@@ -54,6 +54,7 @@ class Settings:
 
 def wire(config: dict) -> Settings:
     """Settings of a nested configuration; the template's keys stand over those of its service."""
+    # Names of the configuration's keys, and defaults (fixed values).
     analysis, service, agents = config.get("analysis", {}), config.get("ocr", {}).get("clova", {}), config.get("agents", {})
     form = {k: v for k, v in service.items() if k != "template"} | service.get("template", {})
     return Settings(
