@@ -112,6 +112,21 @@ def seen_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return out.where(hit).select(*names)
 
 
+#: A key is hot from this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with a table of one row a key that says in `count` how many rows each key has.
+
+    Hot keys meet by a broadcast, which HOT_SHARE bounds, so no task gets all rows of one.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= F.lit(max(2, HOT_SHARE * total))
+    few = F.broadcast(table.where(hot).drop(count))  # at most 1 / HOT_SHARE rows
+    return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(table.where(~hot).drop(count), key))
+
+
 def null_safe(c: Column) -> Column:
     """A string key that tells null from every string."""
     return F.when(c.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), c.cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_store, exact_dedup, jaccard_join, language_model, line_dedup, minhash, mixing, packing, sharding, toxicity
+from . import clustering, content_store, covering, exact_dedup, jaccard_join, language_model, line_dedup, minhash, mixing, packing, prefix_trie, sharding, toxicity
 from .common import new_path, text_of
 
 SHARDS, SHARD_SEED = 8, 17
@@ -76,4 +76,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), shards.alias("shards"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op5_quality_classifier": op5_quality_classifier, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering.simhash_classes(table(spark, sf_dir, "documents"), k=4, radius=4, seed=42)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), group=20, most=4)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dimensions=64, scale=1024, seed=3)
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_content_store": op2_content_store, "op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op5_quality_classifier": op5_quality_classifier, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_minhash": op8_minhash, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing, "op11_simhash_near_dedup": op11_simhash_near_dedup, "op12_prefix_trie": op12_prefix_trie, "op13_centroid_clustering": op13_centroid_clustering}

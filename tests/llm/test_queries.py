@@ -130,3 +130,15 @@ def test_op10_targets(spark, documents):
         longest[r["source"]] = max(longest[r["source"]], size[i])
     # Sources of ten documents: whole ones come no nearer than half the longest.
     assert all(abs(taken[s] - target[s]) <= max(0.01 * float(target[s]), longest[s] / 2) for s in names)
+
+
+def test_op11_components(spark, documents):
+    from test_clusters_and_tries import brute_links, plain_print, signed
+
+    rows = QUERIES["op11_simhash_near_dedup"](spark, SF).collect()
+    prints = {i: signed(plain_print(r["text"])) for i, r in documents.items()}
+    of = brute_links(list(prints.values()), 4)
+    least = {}
+    for i in sorted(documents):
+        least.setdefault(of[prints[i]], i)
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{p & (1 << 64) - 1:016x}", least[of[p]]) for i, p in prints.items()}
