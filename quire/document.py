@@ -6,13 +6,11 @@ is read. analyse() wires them in order; write() stores what they give.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -28,6 +26,7 @@ from .operators import validate as VA
 from .operators import windows as W
 from .sources import config as C
 from .sources import layout, ocr, template
+from .staging import staged, work_dir
 
 PAGE = ["doc_id", "page_no"]
 FOLDERS = ("pages", "thumbs", "ocr", "evidence", "decisions", "questions", "crops", "layout")
@@ -310,24 +309,6 @@ def answer_blocks(lines: DataFrame, split: DataFrame) -> DataFrame:
 # --- the whole -------------------------------------------------------------------------------------
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share (spark.checkpoint.dir); a temporary one only on a local master without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='quire-')).rstrip('/')}/document-{uuid.uuid4().hex}"
-
-
-def staged(path: str):
-    """A keeper for analyse(): each shared stage is written under `path` and read again, so that lineage ends there."""
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
-
-    return keep
-
-
 def analyse(data: Inputs, config: dict | None = None, keep=None) -> dict[str, DataFrame]:
     """Every stage's output by name. What several stages read goes through `keep` and is worked out once; other frames are lazy.
 

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.geometry import contains, expand, intersects
 from ..functions.text import is_chart_label
 from .decisions import block_type, classify_text
+from .spatial import PAGE, join_corners, join_meeting
 
 WORD_MARGIN, TABLE_MARGIN, LAYOUT_MARGIN, IMAGE_MARGIN, LABEL_MARGIN = 8, 16, 6, 24, 140
-PAGE = ["doc_id", "page_no"]
 
 
 def in_ranges(items: DataFrame, ranges: DataFrame, margin: int) -> DataFrame:
-    """Items (with bbox) inside page regions (question_no, range): an equi-join on the page with a residual box test."""
-    return items.join(ranges.select(*PAGE, "question_no", "range"), PAGE).where(contains(F.col("range"), F.col("bbox"), margin))
+    """Items (with bbox) inside page regions (question_no, range), over the cells of the page's grid."""
+    return join_corners(items, ranges.select(*PAGE, "question_no", "range"), "range", contains(F.col("range"), F.col("bbox"), margin), margin)
 
 
 def outside_boxes(items: DataFrame, boxes: DataFrame) -> DataFrame:
     """Items that no excluded box of their page (column box) meets."""
-    right = boxes.select(*[F.col(c).alias(f"_{c}") for c in PAGE], F.col("box").alias("_box"))
-    return items.join(right, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no")) & intersects(items["bbox"], F.col("_box")), "left_anti")
+    return join_meeting(items, boxes.select(*PAGE, F.col("box").alias("_box")), "_box", intersects(F.col("bbox"), F.col("_box")), "left_anti")
 
 
 def lines_without_words(lines: DataFrame, words: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -32,7 +31,8 @@ def lines_without_words(lines: DataFrame, words: DataFrame, ranges: DataFrame) -
 
 def layout_text(elements: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, question_no, text: contents of elements inside or across a region, in reading order."""
-    met = elements.where(F.trim("content") != "").join(ranges.select(*PAGE, "question_no", "range"), PAGE).where(contains(F.col("range"), F.col("bbox"), LAYOUT_MARGIN) | intersects(F.col("range"), F.col("bbox")))
+    meets = contains(F.col("range"), F.col("bbox"), LAYOUT_MARGIN) | intersects(F.col("range"), F.col("bbox"))
+    met = join_meeting(elements.where(F.trim("content") != ""), ranges.select(*PAGE, "question_no", "range"), "range", meets, "inner", LAYOUT_MARGIN)
     texts = met.groupBy("doc_id", "question_no").agg(F.array_sort(F.collect_list(F.struct("page_no", "order_index", F.trim("content").alias("t")))).alias("i"))
     return texts.select("doc_id", "question_no", F.array_join(F.transform("i", lambda x: x["t"]), "\n").alias("text"))
 
@@ -46,9 +46,8 @@ def merge_candidates(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def near_images(labels: DataFrame, images: DataFrame) -> DataFrame:
     """Chart labels within LABEL_MARGIN of an image of their page (column box)."""
-    right = images.select(*[F.col(c).alias(f"_{c}") for c in PAGE], F.col("box").alias("_box"))
-    rows = labels.where(is_chart_label(F.col("text")))
-    return rows.join(right, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no")) & intersects(expand(rows["bbox"], LABEL_MARGIN), F.col("_box")), "left_semi")
+    near = intersects(expand(F.col("bbox"), LABEL_MARGIN), F.col("_box"))
+    return join_meeting(labels.where(is_chart_label(F.col("text"))), images.select(*PAGE, F.col("box").alias("_box")), "_box", near, "left_semi", LABEL_MARGIN)
 
 
 def number_blocks(blocks: DataFrame) -> DataFrame:

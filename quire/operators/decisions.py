@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scan import scan
 
+#: Blocks of a document that are scanned as one band, as a power of two.
+SCAN_BAND = 14
 # Fixed values.
 ANSWER_KEYWORDS = ("정답", "정답 및 풀이", "해설", "풀이", "- 끝 -")
 CHEMISTRY_CONTEXT = ("반응식", "화학식", "화학 반응", "다음 식")
@@ -199,5 +202,4 @@ def nonempty_or(overridden: Column, rule: Column) -> Column:
 def last_question_lines(blocks: DataFrame) -> DataFrame:
     """blocks with current_no: the number of the last note header at or before each block of its document."""
     number = F.expr(r"try_cast(nullif(regexp_extract(text, '^\\s*([0-9]+)[.)]', 1), '') as bigint)")
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("own_no", number).withColumn("current_no", F.last("own_no", ignorenulls=True).over(w))
+    return scan(blocks.withColumn("own_no", number), ["doc_id"], F.shiftright(F.col("ord").cast("long"), SCAN_BAND), ["ord"], {"current_no": ("last", F.col("own_no"))})

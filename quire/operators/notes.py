@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scan
+
+#: Blocks of a document that are scanned as one band, as a power of two.
+BAND_BITS = 14
 ANCHOR = r"^\\s*\\(?([0-9]+)\\)?[.)]?\\s*(.*)$"
 
 
 def note_anchors(blocks: DataFrame) -> DataFrame:
     """Blocks that begin with a number: doc_id, question_no, start_ord, end_ord (the block before the next anchor of any number)."""
     number = F.expr(f"try_cast(nullif(regexp_extract(text, '{ANCHOR}', 1), '') as bigint)")
-    last = F.max("ord").over(Window.partitionBy("doc_id"))
-    heads = blocks.withColumns({"question_no": number, "_last": last}).where("question_no is not null")
-    following = F.lead("ord").over(Window.partitionBy("doc_id").orderBy("ord"))
-    return heads.withColumn("end_ord", F.coalesce(following - 1, F.col("_last"))).select("doc_id", "question_no", F.col("ord").alias("start_ord"), "end_ord")
+    numbered = blocks.select("doc_id", "ord", number.alias("question_no"))
+    # From the end backwards: the anchor last seen is the one that follows.
+    following = {"_next": ("last", F.when(F.col("question_no").isNotNull(), F.col("ord")))}
+    heads = scan(numbered, ["doc_id"], -band(), [-F.col("ord")], {}, following, {"_last": ("max", F.col("ord"))}).where("question_no is not null")
+    return heads.select("doc_id", "question_no", F.col("ord").alias("start_ord"), F.coalesce(F.col("_next") - 1, F.col("_last")).alias("end_ord"))
+
+
+def band():
+    return F.shiftright(F.col("ord").cast("long"), BAND_BITS)
 
 
 def note_spans(blocks: DataFrame, expected: DataFrame) -> DataFrame:
@@ -42,8 +51,7 @@ def span_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """
     span = F.struct("question_no", "start_ord", "end_ord")
     heads = blocks.join(spans.select("doc_id", F.col("start_ord").alias("ord"), span.alias("_span")), ["doc_id", "ord"], "left")
-    back = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    inside = heads.withColumn("_span", F.last("_span", ignorenulls=True).over(back)).where(F.col("ord") <= F.col("_span.end_ord"))
+    inside = scan(heads, ["doc_id"], band(), ["ord"], {"_now": ("last", F.col("_span"))}).drop("_span").withColumnRenamed("_now", "_span").where(F.col("ord") <= F.col("_span.end_ord"))
     return inside.select(*[F.col(c) for c in blocks.columns], "_span.question_no", "_span.start_ord", "_span.end_ord")
 
 
@@ -55,8 +63,7 @@ def build_notes(blocks: DataFrame, expected: DataFrame) -> DataFrame:
     spans = note_spans(blocks, expected)
     inside = span_blocks(blocks, spans)
     own = F.expr(r"try_cast(nullif(regexp_extract(text, '^\\s*([0-9]+)[.)]', 1), '') as bigint)")
-    upto = Window.partitionBy("doc_id", "question_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = inside.withColumn("_own", own).withColumn("_now", F.last("_own", ignorenulls=True).over(upto)).where("_now = question_no")
+    rows = scan(inside.withColumn("_own", own), ["doc_id", "question_no"], band(), ["ord"], {"_now": ("last", F.col("_own"))}).where("_now = question_no")
     said = F.when(F.col("_own").isNull(), F.col("text")).otherwise(F.trim(F.regexp_extract("text", r"^\s*\d+[.)]\s*(.*)", 1)))
     texts = rows.withColumn("_t", said).where("_t <> ''").groupBy("doc_id", "question_no").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("_t").alias("t")))).alias("_items"))
     out = expected.withColumn("question_no", F.col("question_no").cast("long")).join(texts, ["doc_id", "question_no"], "left").join(spans.select("doc_id", "question_no", "start_ord"), ["doc_id", "question_no"], "left")

@@ -25,7 +25,7 @@ def scan(rows: DataFrame, keys: list[str], band: Column, order: list[str | Colum
     """rows with columns added for each value: `running` includes the row itself, `before` stops at the row
     before it, `whole` is the group's total. A value is ("sum", "max", "xor" or "last", column); "last" passes nulls over.
 
-    band must not fall as `order` rises within a group (null comes first), and order must have no ties that matter.
+    band must not fall as `order` rises within a group (null comes first); order ascends (negate a number to go backwards) and must have no ties that matter.
     Null keys are a group like any other. A value of nothing but nulls, or of no row, is null. An empty table gives no rows.
     """
     before, whole = before or {}, whole or {}

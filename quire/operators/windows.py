@@ -7,26 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, union_box
 from ..functions.text import strip
+from .scan import scan
+from .spatial import join_corners
 
 ROW_GAP, SNIPPET_WIDTH, SNIPPET_GAP, SNIPPET_WORDS, SNIPPET_CHARS = 28, 900, 180, 10, 80
 COLUMN_SPREAD, GUTTER = 0.2, 8
 
 
+#: Heights and widths, as powers of two, of the bands that rows of a page and words of a row are scanned in.
+PAGE_BAND, ROW_BAND = 13, 16
+
+
 def cluster_rows(words: DataFrame) -> DataFrame:
-    """words with row_no: in (y0, x0) order a new row begins where y0 moves by more than ROW_GAP from the word before."""
-    w = Window.partitionBy("doc_id", "page_no").orderBy("bbox.y0", "bbox.x0", "line_no", "word_no")
-    step = F.abs(F.col("bbox.y0") - F.lag("bbox.y0").over(w)) > ROW_GAP
-    return words.withColumn("_new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("row_no", F.sum("_new").over(w).cast("int")).drop("_new")
+    """words with row_no: in (y0, x0) order a new row begins where y0 moves by more than ROW_GAP from the word before.
+
+    Within a band the word before is a lag; only the first word of a band has to know the last y0 of the bands above, and rows are
+    counted on from there, so a page of any height is many tasks.
+    """
+    order = ["bbox.y0", "bbox.x0", "line_no", "word_no"]
+    band = F.shiftright("bbox.y0", PAGE_BAND)
+    last = scan(words, ["doc_id", "page_no"], band, order, {}, {"_last": ("last", F.col("bbox.y0"))})
+    step = F.abs(F.col("bbox.y0") - F.col("_last")) > ROW_GAP
+    rows = scan(last.withColumn("_new", F.coalesce(step, F.lit(True)).cast("int")), ["doc_id", "page_no"], band, [*order, -F.col("_new")], {"row_no": ("sum", F.col("_new"))})  # of rows alike the new one stays first
+    return rows.withColumn("row_no", F.col("row_no").cast("int")).drop("_new", "_last")
 
 
 def split_segments(rows: DataFrame) -> DataFrame:
     """Words of rows with segment_no: a new one where the gap to the word on the left reaches a threshold of the row."""
-    whole = Window.partitionBy("doc_id", "page_no", "row_no")
-    w = whole.orderBy("bbox.x0", "bbox.y0", "line_no", "word_no")
-    height = F.avg(F.greatest(F.lit(1), F.col("bbox.y1") - F.col("bbox.y0"))).over(whole)
-    limit = F.greatest(F.lit(64), (height * 1.6).cast("int"))
-    fresh = F.coalesce(F.col("bbox.x0") - F.lag("bbox.x1").over(w) >= limit, F.lit(True))
-    return rows.withColumn("_new", fresh.cast("int")).withColumn("segment_no", F.sum("_new").over(w).cast("int")).drop("_new")
+    key, order = ["doc_id", "page_no", "row_no"], ["bbox.x0", "bbox.y0", "line_no", "word_no"]
+    band = F.shiftright("bbox.x0", ROW_BAND)
+    tall = F.greatest(F.lit(1), F.col("bbox.y1") - F.col("bbox.y0")).cast("long")
+    seen = scan(rows, key, band, order, {}, {"_left": ("last", F.col("bbox.x1"))}, {"_tall": ("sum", tall), "_many": ("sum", F.lit(1).cast("long"))})
+    limit = F.greatest(F.lit(64), (F.col("_tall") / F.col("_many") * 1.6).cast("int"))
+    fresh = F.coalesce(F.col("bbox.x0") - F.col("_left") >= limit, F.lit(True)).cast("int")
+    out = scan(seen.withColumn("_new", fresh), key, band, [*order, -F.col("_new")], {"segment_no": ("sum", F.col("_new"))})
+    return out.withColumn("segment_no", F.col("segment_no").cast("int")).drop("_new", "_left", "_tall", "_many")
 
 
 def synthetic_lines(segments: DataFrame) -> DataFrame:
@@ -44,9 +59,9 @@ def anchor_snippets(words: DataFrame, pattern: str = r"^\d+\.($|\D)") -> DataFra
     """Words that match `pattern`, each with the text that follows on its row up to a gap or a length."""
     key = F.struct("line_no", "word_no")
     heads = words.where(strip(F.col("text")).rlike(pattern)).select("doc_id", "page_no", key.alias("anchor"), F.col("bbox").alias("head"), F.col("confidence").alias("head_confidence"))
-    near = heads.join(words, ["doc_id", "page_no"]).where(
-        (F.abs(F.col("bbox.y0") - F.col("head.y0")) <= ROW_GAP) & (F.abs(F.col("bbox.y1") - F.col("head.y1")) <= ROW_GAP) & F.col("bbox.x0").between(F.col("head.x0"), F.col("head.x0") + SNIPPET_WIDTH)
-    )
+    reach = box(F.col("head.x0"), F.col("head.y0") - ROW_GAP, F.col("head.x0") + SNIPPET_WIDTH, F.col("head.y0") + ROW_GAP)
+    level = (F.abs(F.col("bbox.y0") - F.col("head.y0")) <= ROW_GAP) & (F.abs(F.col("bbox.y1") - F.col("head.y1")) <= ROW_GAP)
+    near = join_corners(words, heads.withColumn("_reach", reach), "_reach", level & F.col("bbox.x0").between(F.col("head.x0"), F.col("head.x0") + SNIPPET_WIDTH)).drop("_reach")
     w = Window.partitionBy("doc_id", "page_no", "anchor").orderBy("bbox.x0", "line_no", "word_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     far = F.coalesce(F.col("bbox.x0") - F.lag("bbox.x1").over(w) > SNIPPET_GAP, F.lit(False))
@@ -134,13 +149,65 @@ def layout_slots(questions: DataFrame, first_page: int = 1) -> DataFrame:
     return questions.withColumn("_i", i).select("*", (first_page + F.floor(F.col("_i") / 2)).cast("int").alias("start_page"), F.when(F.col("_i") % 2 == 0, "left").otherwise("right").alias("start_column")).drop("_i")
 
 
-def greedy_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:
-    """Of each key's boxes in (y0, x0) order those that overlap none kept before; a fold, as each depends on the last."""
-    ordered = boxes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("bbox.y0").alias("y0"), F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"), F.col("bbox.y1").alias("y1")))).alias("all"))
+def box_clusters(boxes: DataFrame, key: list[str]) -> DataFrame:
+    """boxes with cluster: in y0 order a new one begins where no box before reaches further down, so boxes of two clusters never meet."""
+    order = ["bbox.y0", "bbox.x0", "bbox.x1", "bbox.y1"]
+    band = F.shiftright("bbox.y0", PAGE_BAND)
+    reach = scan(boxes, key, band, order, {}, {"_reach": ("max", F.col("bbox.y1"))})
+    new = F.coalesce(F.col("bbox.y0") >= F.col("_reach"), F.lit(True)).cast("long")
+    return scan(reach.withColumn("_new", new), key, band, [*order, -F.col("_new")], {"cluster": ("sum", F.col("_new"))}).drop("_new", "_reach")
+
+
+def _swept(names: list[str]):
+    """Rows sorted by key, cluster and (y0, x0, x1, y1) -> the boxes that greedy suppression keeps.
+
+    Kept boxes that the sweep line crosses lie side by side, so they stand in a list ordered by x: a new box is held against its
+    two neighbours there, and boxes that ended above leave by a heap.
+    """
+    import heapq
+    from bisect import bisect_left
+
+    import pyarrow as pa
+
+    def run(batches):
+        key, xs, active, ends = None, [], {}, []
+        for batch in batches:
+            keep = []
+            columns = [batch.column(c).to_pylist() for c in names]
+            x0s, y0s, x1s, y1s = (batch.column(c).to_pylist() for c in ("_x0", "_y0", "_x1", "_y1"))
+            for i, now in enumerate(zip(*columns, strict=True)):
+                x0, y0, x1, y1 = x0s[i], y0s[i], x1s[i], y1s[i]
+                if now != key:
+                    key, xs, active, ends = now, [], {}, []
+                while ends and ends[0][0] <= y0:
+                    gone = heapq.heappop(ends)[1]
+                    xs.pop(bisect_left(xs, gone))
+                    del active[gone]
+                if None in (x0, y0, x1, y1) or x0 >= x1 or y0 >= y1:  # meets nothing
+                    keep.append(i)
+                    continue
+                at = bisect_left(xs, x1)  # the last that begins before x1 is the only one that can end after x0
+                if at and active[xs[at - 1]] > x0:
+                    continue
+                keep.append(i)
+                xs.insert(at, x0)
+                active[x0] = x1
+                heapq.heappush(ends, (y1, x0))
+            yield batch.take(pa.array(keep, pa.int64())).select([*names, "_x0", "_y0", "_x1", "_y1"])
+
+    return run
 
-    def meets(a: Column, b: Column) -> Column:
-        return (F.greatest(a["x0"], b["x0"]) < F.least(a["x1"], b["x1"])) & (F.greatest(a["y0"], b["y0"]) < F.least(a["y1"], b["y1"]))
 
-    none = F.filter("all", lambda _: F.lit(False))
-    kept = F.aggregate("all", none, lambda acc, b: F.when(F.exists(acc, lambda k: meets(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    return ordered.select(*key, F.explode(kept).alias("k")).select(*key, box(F.col("k.x0"), F.col("k.y0"), F.col("k.x1"), F.col("k.y1")).alias("bbox"))
+def greedy_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key's boxes in (y0, x0, x1, y1) order those that overlap none kept before.
+
+    Clusters apart in y are swept apart; a sweep holds only the kept boxes that it crosses, so a page of any size is
+    linear but for a logarithm. Boxes without area overlap nothing and are all kept. Null boxes likewise.
+    """
+    names = [f"_k{i}" for i in range(len(key))]
+    sides = {f"_{s}": F.col("bbox")[s] for s in ("x0", "y0", "x1", "y1")}
+    rows = box_clusters(boxes, key).select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], "cluster", *[c.alias(n) for n, c in sides.items()])
+    group = [*names, "cluster"]
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in [*group, *sides])
+    kept = rows.repartition(*group).sortWithinPartitions(*group, "_y0", "_x0", "_x1", "_y1").mapInArrow(_swept(group), kinds)
+    return kept.select(*[F.col(n).alias(k) for k, n in zip(key, names, strict=True)], box(*[F.col(n) for n in sides]).alias("bbox"))

@@ -53,4 +53,6 @@ def with_views(sql: str, more: dict[str, str] | None = None) -> str:
     if not heads:
         return sql
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     return f"WITH {heads}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}"

@@ -117,7 +117,14 @@ def helper_layout_plan(spark, d):
     return win_layout_slots(spark, d)
 
 
-@plan("win_greedy_nms")
+_NMS = """WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, x1, y1) AS k FROM v_anchor),
+s AS (SELECT doc_id, page_no, 1::BIGINT AS k, [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS kept FROM b WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.page_no, s.k + 1, CASE WHEN len(list_filter(s.kept, lambda q: greatest(q.x0, b.x0) < least(q.x1, b.x1) AND greatest(q.y0, b.y0) < least(q.y1, b.y1))) > 0 THEN s.kept
+    ELSE list_append(s.kept, {'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}) END FROM s JOIN b ON b.doc_id = s.doc_id AND b.page_no = s.page_no AND b.k = s.k + 1)
+SELECT doc_id, page_no, q.x0 AS x0, q.y0 AS y0, q.x1 AS x1, q.y1 AS y1 FROM (SELECT doc_id, page_no, unnest(kept) AS q FROM (SELECT *, max(k) OVER (PARTITION BY doc_id, page_no) AS top FROM s) WHERE k = top)"""
+
+
+@plan("win_greedy_nms", _NMS)
 def win_greedy_nms(spark, d):
     out = W.greedy_boxes(V.anchor_candidates(spark, d), ["doc_id", "page_no"])
     return out.select("doc_id", "page_no", *[F.col("bbox")[s].alias(s) for s in G.SIDES])

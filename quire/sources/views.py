@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
+from ..operators.scan import scan
 
 PAGE_WIDTH, PAGE_HEIGHT = 2480, 3505
-#: Ranges that a source's documents are numbered in.
-PAGE_RANGES = 256
+#: Ids of a source that are numbered as one band, as a power of two.
+ID_BAND = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,26 +28,13 @@ def lines_of(texts: DataFrame) -> DataFrame:
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source's documents are the pages of one document, in id order.
 
-    Texts are numbered inside ranges of ids, to which the counts of the ranges before are added, so no
-    task gets all of a source.
+    Ids are numbered apart from the texts, in bands of ids, so no task gets all of a source and no text is sorted; repeated
+    rows of an id share a number.
     """
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marks = docs.select(F.percentile_approx("doc_id", [i / PAGE_RANGES for i in range(1, PAGE_RANGES)], 20_000)).first()[0] or []
-    ranged = docs.withColumn("_range", _range_of(F.col("doc_id"), sorted(set(marks)), 0))
-    counts = ranged.groupBy("source", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = F.sum("_n").over(Window.partitionBy("source").orderBy("_range")) - F.col("_n")
-    before = counts.select(F.col("source").alias("_source"), F.col("_range").alias("_at"), ahead.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("source", "_range").orderBy("doc_id"))
-    numbered = ranged.withColumn("_k", inside).join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_at")))
-    return numbered.select(F.col("source").alias("doc_id"), (F.col("_k") + F.col("_before")).cast("int").alias("page_no"), "text")
-
-
-def _range_of(x, marks: list[int], base: int):
-    """How many marks are below x, as a search tree; null below all."""
-    if not marks:
-        return F.lit(base)
-    mid = len(marks) // 2
-    return F.when(x > marks[mid], _range_of(x, marks[mid + 1 :], base + mid + 1)).otherwise(_range_of(x, marks[:mid], base))
+    docs = table(spark, sf_dir, "documents").select(F.struct("source", "doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("_id", "_id.source", "_id.doc_id").distinct()
+    pages = scan(ids, ["source"], F.shiftright("doc_id", ID_BAND), ["doc_id"], {"page_no": ("sum", F.lit(1))})
+    return docs.join(pages, "_id").select(F.col("source").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), "text")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
