@@ -1,18 +1,22 @@
 """Exact Jaccard join of word-shingle sets by token-combination prefixes, and its classes.
 
 Tokens (shingles) stand in one global order: rare ones by hash, then frequent ones by document
-frequency and hash. Two sets that reach the threshold share at least two tokens of their prefixes
-when each prefix is one token longer than plain prefix filtering needs. So either they share a rare
-token there, which is indexed alone, or two frequent tokens, which are indexed as a pair: the
-extended prefix of frequent tokens is indexed by its 2-combinations. Each candidate is verified on
-whole sets, after an exact bound from parity bitmaps has thrown out what cannot reach the threshold.
+frequency and hash. Similar sets share a token of their prefixes. A set whose prefix is all rare is indexed by
+its tokens alone. A set whose prefix reaches into the frequent tokens is indexed by all its rare tokens, and its prefix is
+extended over all its frequent tokens, which are indexed in combinations: tokens fall into classes by hash, and the tokens
+that a set has in a class make one key. Two such sets without a rare token in common differ in all their rare tokens,
+so what their frequent tokens may differ in is bounded; there are more classes than that, so some class
+holds the same tokens in both. The number of classes grows with the sets' size, a set has about as many keys as
+tokens, and how many tokens a combination has (four to six in general) follows from the threshold. Where so many classes of a
+set are empty that only empty ones might agree, its pairs of frequent tokens (short sets) or its empty classes (long ones) are keys too.
+Each candidate is verified on whole sets, after an exact bound from parity bitmaps has thrown out what cannot reach the threshold.
 
 Equal sets are one node. In a bucket every node meets the bucket's pivot (the node with the fewest rare
 tokens); only nodes that this leaves outside the pivot's component then meet the others of
 the bucket. Pairs inside one component are never needed for the classes, so a large group of near
 copies costs its size, not its square, and no link between components is missed.
 
-Whoever is indexed by pairs of frequent tokens has all its rare tokens indexed too. So two such sets
+Whoever is indexed by combinations has all its rare tokens indexed too. So two such sets
 that share no rare token need to meet only if their counts allow a link: they differ in all rare
 tokens of both, and in as many frequent ones as one has more than the other.
 """
@@ -214,8 +218,36 @@ def frequent_tokens(profile: DataFrame, bits: int, range_bits: int, least: int =
 # --- pass B: index keys ----------------------------------------------------------------------------
 
 
+#: Sizes of sets rise by this factor from level to level (a ratio); sets up to SHORT tokens may be indexed by pairs.
+LEVEL_RATIO = 1.1
+SHORT = 80
+
+
+def level_of(n: int) -> int:
+    """The least level whose largest size is at least n."""
+    i = max(0, int(np.log(max(n, 1)) / np.log(LEVEL_RATIO)) - 2)
+    while largest(i) < n:
+        i += 1
+    return i
+
+
+def largest(level: int) -> int:
+    return int(LEVEL_RATIO**level)
+
+
+def classes_of(level: int, share: Share) -> tuple[int, int]:
+    """(classes of tokens, how many of them may be empty) for pairs whose larger set is of this level.
+
+    Such sets differ in at most `apart` tokens; with `spare` classes more than one beyond that, a set with no more than `spare` empty
+    classes has one with tokens in which it agrees with any similar set. No classes: similar sets are equal.
+    """
+    apart = (share[1] - share[0]) * 2 * largest(level) // (share[1] + share[0])
+    spare = 1 + apart // 3
+    return (apart + 1 + spare, spare) if apart else (0, 0)
+
+
 class PREFIX_COMBINATIONS:  # noqa: N801  a scheme of candidate keys
-    """Keys of a set by rare single tokens and pairs of frequent ones."""
+    """Keys of a set by rare single tokens and combinations of frequent ones."""
 
     counts = True
 
@@ -224,26 +256,42 @@ class PREFIX_COMBINATIONS:  # noqa: N801  a scheme of candidate keys
 
     def keys(self, s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, bits: int) -> tuple[int, int, np.ndarray]:
         """(rare tokens of the set, how many keys are single tokens, keys)."""
-        n = len(s)
-        length = min(n, n - needed(n, self.share) + 2)
+        n, t = len(s), needed(len(s), self.share)
         if len(frequent):
             cut = s >> _U64(64 - bits)
             at = np.minimum(np.searchsorted(frequent, cut), len(frequent) - 1)
             often = frequent[at] == cut
         else:
             at, often = np.zeros(n, np.int64), np.zeros(n, bool)
-        rare = s[~often]
-        n_rare = len(rare)
-        rare = rare[:length]
-        left = length - len(rare)
-        if needed(n, self.share) == 1:  # one token may be all that it shares with its like, a frequent one too
-            rare = s
-        if left < 2:
-            return n_rare, len(rare), rare
-        tokens, kinds = s[often], classes[at[often]]
-        tokens = tokens[np.lexsort((tokens, kinds))][:left]
-        i, j = np.triu_indices(len(tokens), 1)
-        return n_rare, len(rare), np.concatenate([rare, splitmix(tokens[i] * _U64(0x9E3779B97F4A7C15) + tokens[j] * _U64(0xC2B2AE3D27D4EB4F))])
+        singles = s[~often]
+        n_rare = len(singles)
+        if n_rare > n - t:  # the prefix is all rare
+            return n_rare, n - t + 1, singles[: n - t + 1]
+        tokens = s[often]
+        out, short_of = [], False
+        for level in range(level_of(n), level_of(n * self.share[1] // self.share[0]) + 1):
+            count, spare = classes_of(level, self.share)
+            if not count:
+                continue
+            kind = (splitmix(tokens + _U64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U64(32)) * _U64(count) >> _U64(32)
+            order = np.argsort(kind, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], kind[order][1:] != kind[order][:-1]]))
+            own = kind[order][starts]
+            name = splitmix(own + _U64(level << 40))
+            out.append(splitmix(np.add.reduceat(splitmix(tokens)[order], starts) * _U64(0xD6E8FEB86659FD93) + name))
+            if count - len(own) > spare + n_rare:
+                short_of = True
+                if n > SHORT:
+                    empty = np.setdiff1d(np.arange(count, dtype=_U64), own, assume_unique=True)
+                    out.append(splitmix(splitmix(empty + _U64(level << 40)) ^ _U64(0xA0761D6478BD642F)))
+        if short_of and n * self.share[0] <= SHORT * self.share[1]:
+            if t == 1:  # one token may be all that it shares with its like, a frequent one too
+                singles = s
+            kinds = classes[at[often]]
+            first = tokens[np.lexsort((tokens, kinds))][: n - t + 2 - n_rare]
+            i, j = np.triu_indices(len(first), 1)
+            out.append(splitmix(first[i] * _U64(0x9E3779B97F4A7C15) + first[j] * _U64(0xC2B2AE3D27D4EB4F)))
+        return n_rare, len(singles), np.concatenate([singles, *out])
 
 
 class SIMILAR_BANDS:  # noqa: N801

@@ -84,6 +84,50 @@ def test_join_with_few_frequent_tokens_allowed(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link_classes(docs, k=5, threshold=0.8).collect()} == brute_classes(rows, 5, 80)
 
 
+@pytest.mark.parametrize("share", [(4, 5), (17, 20), (1, 2), (3, 10)])
+def test_similar_sets_share_a_key(share):
+    """Any mix of rare and frequent tokens, short and long sets."""
+    rng, scheme, met = np.random.default_rng(3), J.PREFIX_COMBINATIONS(share), 0
+    for _ in range(1500):
+        n = int(rng.integers(1, rng.choice([8, 40, 300])))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * 2)
+        lost = int(rng.integers(0, len(a) * (share[1] - share[0]) // share[1] + 2))
+        kept = a[rng.permutation(len(a))[: max(0, len(a) - lost)]]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(rng.integers(0, lost + 2))).astype(np.uint64)]))
+        if not len(b) or np.array_equal(a, b) or not J.reaches(a, b, share):
+            continue
+        both = np.union1d(a, b)
+        often = np.unique(both[rng.random(len(both)) < rng.choice([0.3, 0.8, 0.95, 1, 1])] >> np.uint64(20))
+        kinds = (often % np.uint64(5)).astype(np.uint8)
+        met += 1
+        assert len(np.intersect1d(scheme.keys(a, often, kinds, 44)[2], scheme.keys(b, often, kinds, 44)[2]))
+    assert met > 300
+
+
+def test_keys_grow_with_the_length_only():
+    rng = np.random.default_rng(4)
+    for n in (30, 300, 3_000, 300_000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * 2)
+        often = np.unique(s >> np.uint64(20))
+        for share in ((4, 5), (17, 20)):
+            assert len(J.PREFIX_COMBINATIONS(share).keys(s, often, np.zeros(len(often), np.uint8), 44)[2]) <= 2 * n
+
+
+def test_long_near_copies(spark):
+    """Eighty near copies of a long text, all of whose shingles are frequent."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(6_000)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(20):
+            w[rng.randrange(len(w))] = f"e{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([*rows, (99, " ".join(base[:3_000]))], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in J.link_classes(docs, k=5, threshold=0.8).collect()}
+    assert got == {i: 0 for i in range(80)} | {99: 99}
+
+
 def test_join_of_odd_rows(odd_docs, no_docs):
     got = J.link_classes(odd_docs).collect()
     assert len(got) == odd_docs.count()
