@@ -53,6 +53,18 @@ def test_lines_against_brute_force(spark, odd_docs, min_docs):
     assert Counter((r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got.collect()) == brute_lines([r["text"] for r in docs.collect()], min_docs)
 
 
+def test_texts_of_a_million_lines(spark):
+    """Every step is linear in the lines of one text: distinct lines, repeated ones and dropped ones."""
+    rows = spark.range(1_000_000).select(F.col("id"), F.concat(F.lit("own line "), F.col("id")).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n")
+    one = rows.coalesce(1).agg(text.alias("text")).select(F.lit(1).cast("long").alias("doc_id"), "text")
+    half = rows.where("id % 2 = 0").coalesce(1).agg(text.alias("text")).select(F.lit(2).cast("long").alias("doc_id"), "text")
+    docs = one.unionByName(half)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["sha"]) for r in line_dedup.drop_repeated_lines(docs, min_docs=2).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("sha")).collect()}
+    odd = "\n".join(f"own line {i}" for i in range(1, 1_000_000, 2))
+    assert got == {1: (1_000_000, 500_000, hashlib.sha256(odd.encode()).hexdigest()), 2: (500_000, 500_000, hashlib.sha256(b"").hexdigest())}
+
+
 def test_lines_of_nothing(no_docs):
     assert line_dedup.drop_repeated_lines(no_docs).count() == 0
 
