@@ -70,8 +70,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Every token lies in exactly one piece. Each full window holds the sources in proportion to
     `weights` (by default to their tokens, so that all last to the end), to within a token, rounding
-    carried from window to window. Sources with less than LEAST_TOKENS of a window share one lane as
-    a queue. The rest of the tape after the last full window is cut into powers of two.
+    carried from window to window. A source with a weight has a lane of its own until its queue runs dry, from where the
+    others share by their weights; sources without one follow at the end. Without weights, sources with less than
+    LEAST_TOKENS of a window share one lane as a queue. The rest of the tape after the last full window is cut into powers of two.
     Null text is empty; a null source is a source; rows alike are packed as often as they occur;
     an empty table gives no rows.
     """
@@ -79,8 +80,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     totals = encoded.groupBy("queue").agg(F.sum("n_tokens").alias("n"))
     total = totals.agg(F.sum("n")).first()[0] or 0
     weight_of = {("0" if k is None else f"1{k}"): Fraction(v) for k, v in (weights or {}).items()}
-    # At most width / LEAST_TOKENS queues can hold such a share, which bounds what the driver collects.
-    large = {r[0]: r[1] for r in totals.where(F.col("n") * width >= F.lit(LEAST_TOKENS * total)).collect()}
+    # A source with a weight has a lane of its own, however small it is. Of the others at most width / LEAST_TOKENS can hold
+    # such a share, so what the driver collects is bounded by that and the weights given.
+    own = F.col("n") * width >= F.lit(LEAST_TOKENS * total)
+    weighted = sorted(q for q, w in weight_of.items() if w > 0)
+    large = {r[0]: r[1] for r in totals.where(own | F.col("queue").isin(weighted) if weighted else own).collect()}
     names = sorted(large)
     lanes = docs.sparkSession.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, lane int")
     pooled = total - sum(large.values())

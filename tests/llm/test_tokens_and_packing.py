@@ -81,6 +81,19 @@ def test_weights_hold_until_a_queue_is_dry():
     assert all(lane_at[x] == 1 for x in range(1400, 2000))
 
 
+def test_a_small_source_keeps_its_weight(spark):
+    """A source of less than a token a window, with the weight of a large one, is served at its rate from the start."""
+    docs = spark.createDataFrame([(i, "many words stand in this long source " * 20, "large") for i in range(150)] + [(900 + i, "few words", "small") for i in range(4)] + [(990, "no weight at all", "none")], "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(docs, width=64, weights={"large": 1.0, "small": 1.0}).collect()
+    sizes = Counter()
+    for p in pieces:
+        sizes[p["doc_id"]] += p["length"]
+    small, total = sum(n for d, n in sizes.items() if 900 <= d < 990), sum(sizes.values())
+    assert small * 64 < 2 * total  # below two tokens a window
+    assert max(p["sequence_id"] * 64 + p["offset"] + p["length"] for p in pieces if 900 <= p["doc_id"] < 990) <= 2 * small + 64
+    assert min(p["sequence_id"] for p in pieces if p["doc_id"] == 990) >= total // 64 - 1
+
+
 def test_sequences_need_no_padding():
     total, width = 4 * 64 + 45, 64
     sizes = Counter(sequence_of(x, total, width)[0] for x in range(total))
