@@ -6,9 +6,9 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,28 +62,38 @@ def fixed_parts() -> dict[str, bytes]:
     }
 
 
-def header(font: str = "함초롬바탕") -> bytes:
+def definition(kind: str, number: int | str, center: bool = False) -> str:
+    """A plain definition of a header, by kind and id; the second fill draws lines."""
+    per_language = lambda tag, value: element(f"hh:{tag}", **{lang.lower(): value for lang in FONT_LANGUAGES})
+    if kind == "borderFill":
+        sides = "".join(element(f"hh:{s}Border", type="SOLID" if number == 2 else "NONE", width="0.12 mm", color="#000000") for s in ("left", "right", "top", "bottom"))
+        return element("hh:borderFill", sides, id=number, threeD=0, shadow=0)
+    if kind == "charPr":
+        return element("hh:charPr", per_language("fontRef", 0), per_language("ratio", 95), per_language("spacing", -5), height=1000, id=number, textColor="#000000")
+    if kind == "numbering":
+        return element("hh:numbering", element("hh:paraHead", "^1.", start=1, level=1, align="LEFT", numFormat="DIGIT"), id=number, start=0)
+    if kind == "paraPr":
+        return element("hh:paraPr", element("hh:align", horizontal="CENTER" if center else "JUSTIFY", vertical="BASELINE"), id=number, tabPrIDRef=0)
+    if kind == "style":
+        return element("hh:style", id=number, type="PARA", name=f"style {number}", paraPrIDRef=0, charPrIDRef=0)
+    return element("hh:tabPr", id=number)
+
+
+def header(font: str = "나눔명조") -> bytes:
     """Fonts, border fills, characters, paragraphs and styles that the body refers to."""
     faces = [element("hh:fontface", element("hh:font", id=0, face=font, type="TTF", isEmbedded=0), lang=lang, fontCnt=1) for lang in FONT_LANGUAGES]
-    per_language = lambda tag, value: element(f"hh:{tag}", **{lang.lower(): value for lang in FONT_LANGUAGES})
-    sides = "".join(element(f"hh:{s}Border", type="SOLID", width="0.12 mm", color="#000000") for s in ("left", "right", "top", "bottom"))
-    fills = [element("hh:borderFill", id=1, threeD=0, shadow=0), element("hh:borderFill", sides, id=2, threeD=0, shadow=0)]
-    characters = [element("hh:charPr", per_language("fontRef", 0), per_language("ratio", 95), per_language("spacing", -5), id=i, height=1000, textColor="#000000") for i in range(3)]
-    paragraphs = [element("hh:paraPr", element("hh:align", horizontal=a, vertical="BASELINE"), id=i, tabPrIDRef=0) for i, a in ((0, "JUSTIFY"), (1, "LEFT"), (2, "JUSTIFY"), (99, "CENTER"))]
+    fills = [definition("borderFill", 1), definition("borderFill", 2)]
+    characters = [definition("charPr", i) for i in range(3)]
+    paragraphs = [definition("paraPr", 0), element("hh:paraPr", element("hh:align", horizontal="LEFT", vertical="BASELINE"), id=1, tabPrIDRef=0), definition("paraPr", 2), definition("paraPr", 99, center=True)]
     styles = [element("hh:style", id=i, type="PARA", name=n, paraPrIDRef=p, charPrIDRef=0) for i, n, p in ((0, "바탕글", 0), (1, "미주", 2), (2, "문항", 1), (99, "가운데", 99))]
+    numberings = [definition("numbering", 1)]
     listed = lambda tag, items: element(f"hh:{tag}", *items, itemCnt=len(items))
-    refs = element("hh:refList", listed("fontfaces", faces), listed("borderFills", fills), listed("charProperties", characters), listed("tabProperties", [element("hh:tabPr", id=0)]), listed("paraProperties", paragraphs), listed("styles", styles))
+    refs = element("hh:refList", listed("fontfaces", faces), listed("borderFills", fills), listed("charProperties", characters), listed("tabProperties", [definition("tabPr", 0)]), listed("numberings", numberings), listed("paraProperties", paragraphs), listed("styles", styles))
     return part("hh:head", element("hh:beginNum", page=1, footnote=1, endnote=1, pic=1, tbl=1, equation=1), refs, spaces=("hh", "hc"), version="1.4", secCnt=1)
 
 
-def manifest(title: str, media: list[tuple[str, str]]) -> bytes:
-    items = [("header", "Contents/header.xml", "application/xml"), ("section0", "Contents/section0.xml", "application/xml"), *((m, h, "image/png") for m, h in media)]
-    rows = "".join(f"<opf:item id={quoteattr(i)} href={quoteattr(h)} media-type={quoteattr(t)}/>" for i, h, t in items)
-    spine = element("opf:spine", element("opf:itemref", idref="header"), element("opf:itemref", idref="section0"))
-    return part("opf:package", element("opf:metadata", element("opf:title", escape(title)), element("opf:language", "ko")), element("opf:manifest", rows), spine, spaces=("opf",), version="1.0")
-
-
-def _section_properties() -> str:
+def section_properties() -> str:
+    """Page, notes and columns: the first paragraph of every section."""
     margin = element("hp:margin", header=mm(25), footer=mm(15), gutter=0, left=mm(10), right=mm(10), top=0, bottom=mm(15))
     page = element("hp:pagePr", margin, landscape="WIDELY", width=59528, height=84186, gutterType="LEFT_ONLY")
     number = element("hp:autoNumFormat", type="DIGIT", suffixChar=")", supscript=0)
@@ -93,55 +103,6 @@ def _section_properties() -> str:
     return element("hp:p", element("hp:run", section, columns, charPrIDRef=0), id=0, paraPrIDRef=0, styleIDRef=0)
 
 
-def _size(width: int, height: int) -> str:
-    return element("hp:sz", width=width, widthRelTo="ABSOLUTE", height=height, heightRelTo="ABSOLUTE", protect=0)
-
-
-def _equation(script: str, at: int) -> str:
-    width = min(20500, max(1800, 420 * len(script)))
-    return element("hp:equation", _size(width, 1050), element("hp:pos", treatAsChar=1), element("hp:script", escape(script)), id=at, version="Equation Version 60", baseUnit=1000, font="HancomEQN")
-
-
-def _table(text: str, at: int) -> str:
-    """Rows by line, cells by tab."""
-    rows = [r.split("\t") for r in text.split("\n")]
-    wide = max(map(len, rows))
-    cell = lambda r, c, t: element("hp:tc", element("hp:subList", element("hp:p", element("hp:run", element("hp:t", escape(t)), charPrIDRef=0), id=0, paraPrIDRef=0, styleIDRef=0)), element("hp:cellAddr", colAddr=c, rowAddr=r), element("hp:cellSpan", colSpan=1, rowSpan=1), element("hp:cellSz", width=COLUMN_WIDTH // wide, height=800))
-    body = [element("hp:tr", *[cell(r, c, t) for c, t in enumerate(row)]) for r, row in enumerate(rows)]
-    return element("hp:tbl", _size(COLUMN_WIDTH, max(282, 800 * len(rows))), *body, id=at, rowCnt=len(rows), colCnt=wide, borderFillIDRef=2)
-
-
-def _picture(media_id: str, at: int) -> str:
-    return element("hp:pic", _size(PICTURE_WIDTH, PICTURE_WIDTH // 2), element("hc:img", binaryItemIDRef=media_id), id=at)
-
-
-def _endnote(number: int, at: int) -> str:
-    lead = element("hp:run", element("hp:ctrl", element("hp:autoNum", num=number, numType="ENDNOTE")), element("hp:t", " "), charPrIDRef=1)
-    return element("hp:ctrl", element("hp:endNote", element("hp:subList", element("hp:p", lead, id=0, paraPrIDRef=2, styleIDRef=1)), number=number, instId=at + 9000))
-
-
-def section(rows: list[dict]) -> bytes:
-    """The body from section rows in para_seq order."""
-    out, pictures, asked = [_section_properties()], 0, set()
-    noted = {r["question_no"] for r in rows if r["kind"] == "note"}
-    for at, row in enumerate(rows, start=1):
-        lead, text, kind, number = "", row["text"] or "", row["kind"], row["question_no"]
-        if kind != "note" and number not in asked:
-            asked.add(number)
-            lead = element("hp:t", f"{number}. ") + (_endnote(number, at) if number in noted else "")
-        if kind in ("equation", "chem_equation"):
-            body = _equation(text, at)
-        elif kind == "table":
-            body = _table(text, at)
-        elif kind == "image":
-            pictures += 1
-            body = _picture(f"image{pictures}", at)
-        else:
-            body = element("hp:t", escape(text))
-        out.append(element("hp:p", element("hp:run", lead, body, charPrIDRef=0), id=at, paraPrIDRef=0, styleIDRef=0, pageBreak=int(row["page_break"]), columnBreak=int(row["column_break"]), merged=0))
-    return part("hs:sec", *out, spaces=("hs", "hp", "hc"))
-
-
 @lru_cache(maxsize=8)
 def png(width: int, height: int, gray: int = 255) -> bytes:
     """A plain gray picture."""
@@ -150,66 +111,62 @@ def png(width: int, height: int, gray: int = 255) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + block(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + block(b"IDAT", zlib.compress(pixels)) + block(b"IEND", b"")
 
 
-def package(title: str, rows: list[dict], read_media: Callable[[str], bytes] | None = None) -> bytes:
-    """An HWPX file: mimetype first and stored, then the parts, then media."""
-    n = sum(r["kind"] == "image" for r in rows)
-    media = [(f"image{i}", f"BinData/image{i}.png") for i in range(1, n + 1)]
-    preview = "\r\n".join(r["text"] or "" for r in rows)
-    parts = fixed_parts() | {"Contents/content.hpf": manifest(title, media), "Contents/section0.xml": section(rows), "Preview/PrvText.txt": preview.encode()}
-    # The document's first picture stands for it.
-    parts["Preview/PrvImage.png"] = read_media(media[0][0]) if media and read_media else png(320, 240)
+def zipped(parts: dict[str, bytes], media: dict[str, bytes]) -> bytes:
+    """An HWPX file: mimetype first and stored, then the parts in order, then pictures, stored."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
         archive.writestr(zipfile.ZipInfo("mimetype"), "application/hwp+zip", zipfile.ZIP_STORED)
-        for name in REQUIRED_PARTS[1:]:
+        for name in [*REQUIRED_PARTS[1:], *(n for n in parts if n not in REQUIRED_PARTS)]:
             archive.writestr(name, parts[name])
-        for media_id, href in media:
-            archive.writestr(zipfile.ZipInfo(href), read_media(media_id) if read_media else png(8, 8), zipfile.ZIP_STORED)
+        for media_id, content in media.items():
+            archive.writestr(zipfile.ZipInfo(f"BinData/{media_id}.png"), content, zipfile.ZIP_STORED)
     return out.getvalue()
 
 
-def by_document(rows: DataFrame) -> DataFrame:
-    """doc_id, rows: a document's section rows in order."""
-    fields = ("para_seq", "kind", "question_no", "text", "column_break", "page_break")
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-
-
-def hwpx_packages(rows: DataFrame, media: DataFrame | None = None) -> DataFrame:
+def hwpx_packages(rows: DataFrame, media: DataFrame | None = None, templates: DataFrame | None = None) -> DataFrame:
     """Section rows -> doc_id, names (array of part names), content (the file).
 
     media (doc_id, media_id, content: PNG bytes) are the pictures, numbered as render.media_entries()
-    does; one that is not given is a blank.
+    does; one that is not given is a blank, and the first stands for the document. templates (doc_id, name, content) are
+    parts of given packages: they take the place of the fixed ones, the header as templates.resolve_headers() completes it. Markup is made
+    by Spark expressions; only the archive is written in Python.
     """
-    grouped = by_document(rows)
+    from . import markup, templates as given_parts
+    from .render import preview_text
+
+    made = markup.sections(markup.paragraphs(rows))
+    made = made.join(markup.manifests(made), "doc_id").join(preview_text(rows), "doc_id", "left")
     if media is None:
-        grouped = grouped.withColumn("media", F.array().cast("array<struct<media_id:string,content:binary>>"))
+        made = made.withColumn("pictures", F.lit(None).cast("map<string,binary>"))
     else:
-        pictures = media.groupBy("doc_id").agg(F.collect_list(F.struct("media_id", "content")).alias("media"))
-        grouped = grouped.join(pictures, "doc_id", "left")
+        pictures = media.dropDuplicates(["doc_id", "media_id"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("media_id", "content"))).alias("pictures"))
+        made = made.join(pictures, "doc_id", "left")
+    if templates is None:
+        made = made.withColumn("given", F.lit(None).cast("map<string,string>"))
+    else:
+        chosen = given_parts.with_headers(given_parts.template_parts(templates), made.select("doc_id"), markup.sections(markup.paragraphs(rows)))
+        made = made.join(chosen.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("given")), "doc_id", "left")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            files = []
-            for doc, some, given in zip(batch["doc_id"], batch["rows"], batch["media"], strict=True):
-                found = {m["media_id"]: bytes(m["content"]) for m in (given if given is not None else [])}
-                files.append(package(str(doc), list(some), lambda i, found=found: found.get(i) or png(8, 8)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "names": [zipfile.ZipFile(io.BytesIO(f)).namelist() for f in files], "content": files})
+            names, files = [], []
+            for section, manifest, preview, ids, pictures, given in zip(*(batch[c] for c in ("section", "manifest", "preview", "media", "pictures", "given")), strict=True):
+                found = {k: bytes(v) for k, v in dict(pictures or {}).items()}
+                shown = {i: found.get(i) or png(8, 8) for i in ids}
+                parts = fixed_parts() | {k: v.encode() for k, v in dict(given or {}).items()} | {"Contents/content.hpf": manifest.encode(), "Contents/section0.xml": section.encode(), "Preview/PrvText.txt": (preview or "").encode()}
+                parts["Preview/PrvImage.png"] = next(iter(shown.values()), None) or png(320, 240)
+                names.append(["mimetype", *REQUIRED_PARTS[1:], *(n for n in parts if n not in REQUIRED_PARTS), *(f"BinData/{i}.png" for i in shown)])
+                files.append(zipped(parts, shown))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "names": names, "content": files})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return grouped.mapInPandas(build, f"doc_id {kind}, names array<string>, content binary")
-
+    return made.select("doc_id", "section", "manifest", "preview", "media", "pictures", "given").mapInPandas(build, f"doc_id {kind}, names array<string>, content binary")
 
-def section_parts(rows: DataFrame) -> DataFrame:
-    """Section rows -> doc_id, section (XML), manifest (XML)."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            xml = [section(list(r)).decode() for r in batch["rows"]]
-            media = [[(f"image{i + 1}", f"BinData/image{i + 1}.png") for i in range(sum(x["kind"] == "image" for x in r))] for r in batch["rows"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "section": xml, "manifest": [manifest(str(k), m).decode() for k, m in zip(batch["doc_id"], media, strict=True)]})
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return by_document(rows).mapInPandas(build, f"doc_id {kind}, section string, manifest string")
+def by_document(rows: DataFrame) -> DataFrame:
+    """doc_id, rows: a document's section rows in order, as one value: its file is one."""
+    fields = ("para_seq", "kind", "question_no", "text", "column_break", "page_break")
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
 
 
 def as_json(rows: DataFrame, key: list[str]) -> DataFrame:

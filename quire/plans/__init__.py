@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and their oracles."""
 
-from . import decide, files, output, scalars, sequences, stages  # noqa: F401
+from . import decide, files, output, packages, scalars, sequences, stages  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

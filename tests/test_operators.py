@@ -104,20 +104,73 @@ def test_findings(spark):
     assert {r["message"] for r in validate.consistency_findings(q).collect()} == {"duplicate_question_numbers", "empty_question_items:1"}
 
 
-def test_package_has_its_parts():
-    rows = [dict(para_seq=1, kind="text", question_no=1, text="a < b", column_break=False, page_break=False), dict(para_seq=2, kind="image", question_no=1, text="", column_break=False, page_break=False), dict(para_seq=3, kind="note", question_no=1, text="1. why", column_break=False, page_break=True)]
-    archive = zipfile.ZipFile(io.BytesIO(sinks.package("t", rows)))
-    names = archive.namelist()
-    assert names[0] == "mimetype" and not set(validate.REQUIRED_PARTS) - set(names) and "BinData/image1.png" in names
+SECTION = "doc_id string, para_seq int, kind string, question_no int, text string, column_break boolean, page_break boolean"
+
+
+def test_package_has_its_parts(spark):
+    rows = spark.createDataFrame([("t", 1, "text", 1, "a < b", False, False), ("t", 2, "image", 1, None, False, False), ("t", 3, "note", 1, "1. why", False, True), ("<&\">", 1, "table", 7, "x\ty\nz", True, False)], SECTION)
+    files = {r["doc_id"]: r for r in sinks.hwpx_packages(rows).collect()}
     import xml.etree.ElementTree as ET
 
-    for name in names:
-        if name.endswith((".xml", ".hpf", ".rdf")):
-            ET.fromstring(archive.read(name))
+    for r in files.values():
+        archive = zipfile.ZipFile(io.BytesIO(r["content"]))
+        names = archive.namelist()
+        assert names == list(r["names"]) and names[0] == "mimetype" and not set(validate.REQUIRED_PARTS) - set(names)
+        for name in names:
+            if name.endswith((".xml", ".hpf", ".rdf")):
+                ET.fromstring(archive.read(name))
+    archive = zipfile.ZipFile(io.BytesIO(files["t"]["content"]))
     body = archive.read("Contents/section0.xml").decode()
+    assert "BinData/image1.png" in archive.namelist()
     assert "a &lt; b" in body and "endNote" in body and 'pageBreak="1"' in body
 
 
+def test_markup_of_odd_rows(spark):
+    """Nulls, markup in texts, uneven tables, repeated rows and an empty table."""
+    from quire.operators import markup
+
+    rows = [("d", 1, "text", 1, 'a & "b" <c>', False, False), ("d", 2, "table", 1, "x\ty\n<z>", False, False), ("d", 3, "equation", 2, None, True, False), ("d", 4, "image", 2, "", False, False), ("d", 4, "image", 2, "", False, False), ("d", 5, "note", 2, "2. why", False, True), (None, 1, "text", None, "t", False, False)]
+    df = spark.createDataFrame(rows, SECTION)
+    made = {(r["doc_id"], r["para_seq"], r["picture_no"]): r for r in markup.paragraphs(df).collect()}
+    assert "<hp:t>1. </hp:t><hp:t>a &amp; \"b\" &lt;c&gt;</hp:t>" in made["d", 1, None]["paragraph"]
+    table = made["d", 2, None]["paragraph"]
+    assert 'rowCnt="2" colCnt="2"' in table and 'colAddr="0" rowAddr="1"' in table and "&lt;z&gt;" in table and 'width="12615"' in table
+    assert "endNote number=\"2\"" in made["d", 3, None]["lead"] and "<hp:script></hp:script>" in made["d", 3, None]["paragraph"]
+    parts = {r["doc_id"]: r for r in markup.sections(markup.paragraphs(df)).collect()}
+    assert list(parts["d"]["media"]) == ["image1", "image2"] and parts["d"]["section"].count("<hp:p ") == 1 + 6 + 3 + 1
+    assert markup.manifests(markup.sections(markup.paragraphs(df.limit(0)))).count() == 0
+
+
+def test_headers_of_given_packages(spark):
+    """Good, absent, broken and bare headers: each parses, keeps what it had, and defines all that it and its section refer to."""
+    import re
+    import xml.etree.ElementTree as ET
+
+    from quire.operators import markup, templates
+
+    good = '<hh:head xmlns:hh="u"><hh:refList><hh:fontfaces itemCnt="1"><hh:fontface lang="LATIN" fontCnt="7"><hh:font face="Old" id="3"/><hh:font id="4" face="Other"/></hh:fontface><hh:fontface lang="HANJA" fontCnt="0"/></hh:fontfaces><hh:charProperties itemCnt="9"><hh:charPr id="7" height="900" borderFillIDRef="5"><hh:fontRef latin="3"/></hh:charPr></hh:charProperties><hh:styles itemCnt="0"/></hh:refList><hh:mine/></hh:head>'
+    parts = spark.createDataFrame([("good", templates.HEADER, good), ("broken", templates.HEADER, good[:-20]), ("bare", templates.HEADER, "<hh:head/>"), ("good", "evil.exe", "x"), ("good", "version.xml", "<v/>"), ("good", "settings.xml", None), ("broken", "settings.xml", "<v>"), ("other", "version.xml", "<w/>")], "doc_id string, name string, content string")
+    rows = spark.createDataFrame([(d, k, "table" if k == 2 else "text", 1, "t", False, False) for d in ("good", "broken", "bare", "none") for k in (1, 2)], SECTION)
+    chosen = templates.template_parts(parts)
+    assert {(r["doc_id"], r["name"]) for r in chosen.collect()} == {("good", templates.HEADER), ("broken", templates.HEADER), ("bare", templates.HEADER), ("good", "version.xml"), ("broken", "settings.xml"), ("other", "version.xml")}
+    sections = markup.sections(markup.paragraphs(rows))
+    headers = templates.resolve_headers(rows.select("doc_id"), chosen, sections)
+    found = {r["doc_id"]: r for r in headers.collect()}
+    assert {d: r["given"] for d, r in found.items()} == {"good": True, "broken": False, "bare": False, "none": False}
+    assert templates.dangling(headers, sections).count() == 0
+    assert found["none"]["header"] == found["broken"]["header"] == sinks.fixed_parts()[templates.HEADER].decode()
+    h = found["good"]["header"]
+    ET.fromstring(h)
+    assert "<hh:mine/>" in h and f'<hh:font face="{templates.FACE}" id="0"/><hh:font id="4" face="Other"/>' in h and 'lang="LATIN" fontCnt="2"' in h and 'lang="HANJA" fontCnt="1"' in h
+    for kind, tag in templates.KINDS.items():
+        ids = re.findall(rf'<hh:{kind}\b[^>]*?\sid="(\d+)"', h)
+        assert len(ids) == len(set(ids)) == int(re.search(rf'<hh:{tag}\b[^>]*?itemCnt="(\d+)"', h).group(1))
+        assert set(re.findall(rf'{"[sS]tyle" if kind == "style" else kind}IDRef="(\d+)"', h)) <= set(ids)
+    files = {r["doc_id"]: zipfile.ZipFile(io.BytesIO(r["content"])) for r in sinks.hwpx_packages(rows, templates=parts).collect()}
+    assert files["good"].read(templates.HEADER).decode() == h and files["good"].read("version.xml") == b"<v/>" and files["none"].read("version.xml") != b"<v/>"
+    assert files["broken"].read("settings.xml") == sinks.fixed_parts()["settings.xml"]
+
+
 def test_image_detection():
     page = np.full((700, 700), 255, np.uint8)
     page[100:300, 100:400] = 30
