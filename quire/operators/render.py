@@ -81,3 +81,24 @@ def section_rows(items: DataFrame, notes: DataFrame) -> DataFrame:
 def preview_text(rows: DataFrame) -> DataFrame:
     texts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_seq", "text"))).alias("i"))
     return texts.select("doc_id", F.array_join(F.transform("i", lambda x: x["text"]), "\r\n").alias("preview"))
+
+
+# Measures of a preview (fixed values): columns of a line, of which wide characters take two; room of a picture, a line, and around a question.
+LINE_COLUMNS, WIDE_FROM, PICTURE_ROOM, LINE_ROOM, AROUND = 60, 0x2E7F, 180, 14, 48
+
+
+def wrapped_lines(text: Column) -> Column:
+    """How many lines a text takes when it breaks greedily at LINE_COLUMNS: a fold over its characters."""
+    columns = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c == "\n", -1).when(F.ascii(c) > WIDE_FROM, 2).otherwise(1))
+    zero = F.struct(F.lit(1).alias("lines"), F.lit(0).alias("used"))
+
+    def step(a: Column, n: Column) -> Column:
+        breaks = (n < 0) | (a["used"] + n > LINE_COLUMNS)
+        return F.struct((a["lines"] + breaks.cast("int")).alias("lines"), F.when(n < 0, 0).when(breaks, n).otherwise(a["used"] + n).alias("used"))
+
+    return F.aggregate(columns, zero, step)["lines"]
+
+
+def block_room(kind: Column, text: Column) -> Column:
+    """Height of a block in a preview."""
+    return F.when(kind == "image", PICTURE_ROOM).otherwise(LINE_ROOM * wrapped_lines(F.coalesce(text, F.lit(""))))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import crops
 from ..operators import decisions as D
 from ..operators import render as R
 from ..operators import tables as X
@@ -456,9 +457,30 @@ def join_questions_notes(spark, d):
     return _questions_with_notes(spark, d)
 
 
-@plan("exe_image_refine", "SELECT doc_id, question_no, ord, 'passthrough' AS mode, false AS uncertain FROM v_items WHERE type = 'image'")
+# Pages of 80 x 300 grays drawn from part keys, and two boxes of each, one across strips and one over the page's edge.
+_GRAYS = {
+    "v_gray": "SELECT p_partkey AS doc_id, p_size, unnest([1, 2]) AS k FROM part",
+    "v_box": "SELECT doc_id, k, CASE WHEN k = 1 THEN 5 + p_size ELSE 60 END AS x0, CASE WHEN k = 1 THEN 250 ELSE 10 + p_size END AS y0, CASE WHEN k = 1 THEN 15 + p_size ELSE 80 END AS x1, CASE WHEN k = 1 THEN 262 ELSE 14 + p_size END AS y1 FROM v_gray",
+    "v_cut": "SELECT *, md5(unhex(array_to_string(list_transform(range(0, (y1 - y0) * (x1 - x0)), lambda i: lpad(to_hex((doc_id + (y0 + i // (x1 - x0)) * 7 + x0 + i % (x1 - x0)) % 256), 2, '0')), ''))) AS pixels FROM v_box",
+}
+
+
+def _crops(spark, d):
+    part = V.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page_no"), "p_size")
+    place = F.sequence(F.lit(0), F.lit(80 * 300 - 1))
+    gray = F.transform(place, lambda i: F.lpad(F.hex((F.col("doc_id") + F.floor(i / 80) * 7 + i % 80) % 256), 2, "0"))
+    pages = part.select("doc_id", "page_no", F.lit(80).alias("width"), F.lit(300).alias("height"), F.unhex(F.array_join(gray, "")).alias("pixels"))
+    size = F.col("p_size")
+    two = F.array(F.struct(F.lit(1).alias("k"), G.box(5 + size, 250, 15 + size, 262).alias("bbox")), F.struct(F.lit(2).alias("k"), G.box(F.lit(60), 10 + size, F.lit(95), 14 + size).alias("bbox")))
+    return crops.crop(pages, part.select("doc_id", "page_no", F.explode(two).alias("b")).select("doc_id", "page_no", "b.k", "b.bbox"))
+
+
+@plan("exe_image_refine", "SELECT doc_id, k, pixels, array_to_string([x0, y0, x1, y1], ',') AS crop_bbox, 'nanobanana_passthrough' AS refinement_mode, false AS uncertain FROM v_cut WHERE k = 1 UNION ALL SELECT doc_id, k, pixels, array_to_string([x0, y0, x1, y1], ','), 'nanobanana_pending', true FROM v_cut WHERE k = 2", _GRAYS)
 def exe_image_refine(spark, d):
-    return V.question_items(spark, d).where("type = 'image'").select("doc_id", "question_no", "ord", F.lit("passthrough").alias("mode"), F.lit(False).alias("uncertain"))
+    """Crops as pictures: the first of each page with the service off, the second with it on."""
+    cut = _crops(spark, d)
+    both = crops.refined(cut.where("k = 1")).unionByName(crops.refined(cut.where("k = 2"), enabled=True))
+    return both.select("doc_id", "k", F.md5("pixels").alias("pixels"), F.array_join(F.transform("crop_bbox", lambda x: x.cast("string")), ",").alias("crop_bbox"), "refinement_mode", "uncertain")
 
 
 _MEDIA = {"v_media": "SELECT doc_id, question_no, ord, 'image' || n AS media_id, 'BinData/image' || n || '.png' AS href, 'image/png' AS media_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY question_no, ord) AS n FROM v_items WHERE type = 'image')"}

@@ -8,6 +8,7 @@ from ..operators import markup as M
 from ..operators import templates as T
 from ..operators.sinks import SPACES, definition, fixed_parts, section_properties
 from ..sources import views as V
+from ..staging import staged, work_dir
 from . import decide, output
 from .registry import plan
 
@@ -153,8 +154,8 @@ def _documents(spark, d):
     return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
 
 
-def _resolved(spark, d):
-    return T.resolve_headers(_documents(spark, d), T.template_parts(_parts(spark, d)), _sections(spark, d))
+def _resolved(spark, d, sections=None):
+    return T.resolve_headers(_documents(spark, d), T.template_parts(_parts(spark, d)), _sections(spark, d) if sections is None else sections)
 
 
 @plan("hwpx_template_parts", "SELECT * FROM v_parts", TEMPLATES)
@@ -185,8 +186,9 @@ _COUNTED = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract
 @plan("hwpx_header_parts", _COUNTED, TEMPLATES)
 def hwpx_header_parts(spark, d):
     """Definitions of each kind in each header, and references that have none: never any."""
-    headers = _resolved(spark, d)
-    none = T.dangling(headers, _sections(spark, d)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("dangling"))
+    sections = staged(work_dir(spark, "sections"))(_sections(spark, d), "sections")
+    headers = _resolved(spark, d, sections)
+    none = T.dangling(headers, sections).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("dangling"))
     return T.definitions(headers).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("defined")).join(none, ["doc_id", "kind"], "left").select("doc_id", "kind", "defined", F.coalesce("dangling", F.lit(0)).cast("long").alias("dangling"))
 
 
