@@ -171,12 +171,57 @@ def test_headers_of_given_packages(spark):
     assert files["broken"].read("settings.xml") == sinks.fixed_parts()["settings.xml"]
 
 
-def test_image_detection():
+def plain_detect(page: np.ndarray, region: tuple[int, int, int, int], text_boxes: list, table_boxes: list) -> list[tuple[int, int, int, int]]:
+    """Boxes of dark regions of a gray page that are large enough and no text or table, without overlaps."""
+    x0, y0, x1, y1 = region
+    mask = page[y0:y1, x0:x1] <= images.DARK
+    if not mask.size:
+        return []
+    for b in [*text_boxes, *table_boxes]:
+        if b[0] >= x0 - 8 and b[1] >= y0 - 8 and b[2] <= x1 + 8 and b[3] <= y1 + 8:
+            mask[max(0, b[1] - y0 - images.PAD) : max(0, b[3] - y0 + images.PAD) + 1, max(0, b[0] - x0 - images.PAD) : max(0, b[2] - x0 + images.PAD) + 1] = False
+    least = max(images.LEAST_AREA, int(max(1, (x1 - x0) * (y1 - y0)) * images.LEAST_SHARE))
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+    kept: list = []
+    for a, b, c, e in sorted(images.regions(images.close(mask))[0], key=lambda r: (r[1], r[0])):
+        found = (x0 + a, y0 + b, x0 + c, y0 + e)
+        if c - a < images.LEAST_SIDE or e - b < images.LEAST_SIDE or (c - a) * (e - b) < least:
+            continue
+        if not any(meets(found, t) for t in table_boxes) and not any(meets(found, k) for k in kept):
+            kept.append(found)
+    return kept
+
+
+def drawn(rng, height, width):
+    """A page with pictures, lines of text, specks, and shapes that wind from strip to strip."""
+    page = np.full((height, width), 255, np.uint8)
+    for _ in range(int(rng.integers(1, 9))):
+        y, x, h, w = int(rng.integers(0, height)), int(rng.integers(0, width)), int(rng.integers(1, 400)), int(rng.integers(1, 300))
+        page[y : y + h, x : x + w] = 30
+    page[rng.random(page.shape) < 0.001] = 0
+    for x in range(20, min(width - 20, 400), 40):  # teeth that only meet far below
+        page[30 : height - 60, x : x + 15] = 0
+    page[height - 70 : height - 60, 20 : min(width - 20, 395)] = 0
+    return page
+
+
+def test_image_detection(spark):
     page = np.full((700, 700), 255, np.uint8)
     page[100:300, 100:400] = 30
     page[400:420, 100:600] = 0
-    assert images.detect(page, (0, 0, 700, 700), [(100, 400, 600, 420)], []) == [(100, 100, 400, 300)]
-    assert images.detect(page, (0, 0, 700, 700), [], [(90, 90, 410, 310)]) == []
+    assert plain_detect(page, (0, 0, 700, 700), [(100, 400, 600, 420)], []) == [(100, 100, 400, 300)]
+    rng = np.random.default_rng(6)
+    rows, want = [("d", 1, 700, 700, bytearray(page.tobytes()), [(100, 400, 600, 420)], None)], {("d", 1, 100, 100, 400, 300)}
+    for k in range(6):
+        p = drawn(rng, int(rng.integers(90, 1400)), int(rng.integers(90, 700)))
+        h, w = p.shape
+        texts, tables = [(5, 5, min(w, 90), 25), (-50, 0, w, 30)], [(0, 0, 40, 40)] if k % 2 else []
+        rows.append(("e", k, w, h, bytearray(p.tobytes()), texts, tables))
+        want |= {("e", k, *b) for b in plain_detect(p, (0, 0, w, h), texts, tables)}
+    box = "array<struct<x0:int,y0:int,x1:int,y1:int>>"
+    df = spark.createDataFrame([*rows, ("f", 1, 5, 5, None, None, None)], f"doc_id string, page_no int, width int, height int, pixels binary, texts {box}, tables {box}")
+    assert {tuple(r) for r in images.detect_images(df).collect()} == want
+    assert images.detect_images(df.limit(0)).count() == 0
 
 
 def test_layout_tree(spark):
