@@ -24,6 +24,8 @@ from .common import frugal, materialise, slices, text_of
 
 #: Bound of the sample of labelled rows that the lexicon, the trees and the calibration are fitted on.
 MAX_TRAIN_ROWS = 20_000
+#: Folds of the labelled rows: each is scored by what the others have taught.
+FOLDS = 4
 #: Bound of the lexicon.
 MAX_LEXICON = 20_000
 #: Least likelihood ratio (chi-square, one degree) of a lexicon entry: one chance in some millions.
@@ -155,32 +157,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = marked.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(max_rows)
     texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")).join(F.broadcast(sample), "id")  # at most max_rows rows
-    train = materialise(texts.select("id", "text", "label"), "toxic-train")
-    lexicon = learn_lexicon(train)
+    fold = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int")
+    train = materialise(texts.select("id", "text", "label", fold.alias("fold")), "toxic-train")
+    # A row's features come from a lexicon that has not seen its fold, so neither trees nor calibration are fitted on words that know the answer.
+    lexicons = [learn_lexicon(train.where(F.col("fold") != f).select("text", "label")) for f in range(FOLDS)]
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x = features(batch.column("text").to_pylist(), lexicon)
+            x = np.stack([features([t], lexicons[f])[0] for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), flat], names=["id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("fold"), flat], names=["id", "label", "fold", "x"])
 
-    rows = train.mapInArrow(frugal(featured), "id long, label int, x array<double>").toPandas().sort_values("id", kind="stable")
-    y = rows["label"].to_numpy(np.float64)
+    rows = train.mapInArrow(frugal(featured), "id long, label int, fold int, x array<double>").toPandas().sort_values("id", kind="stable")
+    y, of = rows["label"].to_numpy(np.float64), rows["fold"].to_numpy(np.int64)
+    lexicon = learn_lexicon(train.select("text", "label"))
     if len(y) < 10 or y.min() == y.max():
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
     x = np.array(rows["x"].tolist())
-    # Every fourth row, in random order, calibrates trees grown on the others. The lexicon has seen both.
-    order = np.random.default_rng(3).permutation(len(y))
-    held = np.zeros(len(y), bool)
-    held[order[::4]] = True
-    if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-        held[:] = True
-    trees = Boosted().fit(x[~held] if not held.all() else x, y[~held] if not held.all() else y)
-    return Model(lexicon, trees, Isotonic().fit(trees.margin(x[held]), y[held]), float(y.mean()))
+    trees = Boosted().fit(x, y)
+    return Model(lexicon, trees, Isotonic().fit(out_of_fold_margins(x, y, of), y), float(y.mean()))
+
+
+def out_of_fold_margins(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Each row's margin by trees grown on the other folds; by trees grown on all rows where the others have one label only."""
+    out = np.zeros(len(y))
+    for f in np.unique(fold).tolist():
+        mine, others = fold == f, fold != f
+        if not others.any() or y[others].min() == y[others].max():
+            others = np.ones(len(y), bool)
+        out[mine] = Boosted().fit(x[others], y[others]).margin(x[mine])
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score (double, 0 to 1) added; null text is empty, an empty table gives no rows."""
+    """doc_id and score (double, 0 to 1) of each row; null text is empty, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
 

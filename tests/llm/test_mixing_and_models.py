@@ -182,6 +182,96 @@ def test_trees_and_calibration():
     assert (np.diff(p) >= 0).all() and 0 <= p.min() and p.max() <= 1
 
 
+def plain_lexicon(rows):
+    """Log odds of words and beginnings, kept by the likelihood ratio of their counts in toxic and other texts."""
+    sides, n = (Counter(), Counter()), [0, 0]
+    for text, label in rows:
+        words, hidden = toxicity.words_of(text.lower())
+        tokens = {*words, *hidden}
+        tokens |= {"^" + w[:k] for w in tokens for k in (4, 5, 6) if len(w) > k}
+        sides[label].update(tokens)
+        n[label] += 1
+    out, share = {}, n[1] / sum(n)
+    for t in sides[0].keys() | sides[1].keys():
+        a, b = sides[1][t], sides[0][t]
+        g = 2 * sum(x * np.log(x / e) for x, e in ((a, (a + b) * share), (b, (a + b) * (1 - share))) if x)
+        odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+        if a > 2 and a * n[0] > b * n[1] and g >= toxicity.LEAST_RATIO and odds > 1:
+            out[t] = odds
+    return out
+
+
+def test_lexicon_equals_plain_counts(spark):
+    rng = np.random.default_rng(9)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(60)] + ["stupid", "1d10t", "sc.um"]
+    rows = []
+    for i in range(400):
+        some = list(rng.choice(words[:60], 12)) + (list(rng.choice(words[60:], 2)) if i % 4 == 0 or rng.random() < 0.02 else [])
+        rows.append((" ".join(some), int(i % 4 == 0)))
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int").repartition(3))
+    want = plain_lexicon(rows)
+    assert got.keys() == want.keys() and {"stupid", "idiot", "scum", "^stup"} <= got.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_features_by_hand():
+    lexicon = {"fool": 3.0, "idiot": 2.0, "^fool": 1.5}
+    text = "You FOOL, you 1d10t now!! Foolish ones... heyyy"
+    got = toxicity.features([text, ""], lexicon)
+    # Words: you fool you d t now foolish ones heyyy (digits part words); idiot is read from its disguise.
+    n, chars = 9, len(text)
+    want = [1 / n, np.log1p(1), 3.0, 3.0, 1, 1 / n, np.log1p(1), 1.5, 1.5, 2 / n, 1, (1 + 4 + 1) / chars, 1 / n, 2 / n, 6 / chars, 1 / n, 1, 2 / n]
+    assert got[0] == pytest.approx(want) and not got[1].any()
+
+
+def test_calibration_is_the_least_squares_step():
+    """Pools equal the minimax form of isotonic regression: max over beginnings of the min over ends of means."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        m = np.sort(rng.normal(size=40))
+        y = (rng.random(40) < 1 / (1 + np.exp(-2 * m))).astype(float)
+        best = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+        fitted = Isotonic().fit(m, y)
+        assert np.unique(fitted.value) == pytest.approx(np.unique(np.round(best, 12)), abs=1e-9)
+
+
+def test_trees_are_what_their_arrays_say():
+    """Margins by walking each tree node by node, and the first tree's first split by trying every cut."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((300, 3)), (rng.random(300) < 0.4).astype(float)
+    y[x[:, 1] > 0.7] = 1
+    t = Boosted(trees=5).fit(x, y)
+    for row, margin in zip(x[:40], t.margin(x[:40]), strict=True):
+        total = t.base
+        for feature, cut, value in t.forest:
+            node = 0
+            for level in range(t.depth):
+                at = (1 << level) - 1 + node
+                f = feature[at]
+                node = 2 * node + int(f >= 0 and np.searchsorted(t.edges[f], row[f], side="left") > cut[at])
+            total += value[node]
+        assert total == pytest.approx(margin)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    gains = {}
+    for f in range(3):
+        for k, edge in enumerate(t.edges[f]):
+            left = x[:, f] <= edge
+            if min(h[left].sum(), h[~left].sum()) >= t.least:
+                gains[f, k] = g[left].sum() ** 2 / (h[left].sum() + t.ridge) + g[~left].sum() ** 2 / (h[~left].sum() + t.ridge)
+    best = max(gains.values())
+    assert gains[t.forest[0][0][0], t.forest[0][1][0]] == pytest.approx(best)
+
+
+def test_margins_are_out_of_fold():
+    """A row whose own label alone gives it away does not profit from it."""
+    rng = np.random.default_rng(1)
+    x, y, fold = rng.random((400, 2)), (rng.random(400) < 0.5).astype(float), np.arange(400) % 4
+    margins = toxicity.out_of_fold_margins(x, y, fold)
+    for f in range(4):
+        assert margins[fold == f] == pytest.approx(Boosted().fit(x[fold != f], y[fold != f]).margin(x[fold == f]))
+    assert len(toxicity.out_of_fold_margins(x[:9], np.eye(9)[0], np.arange(9))) == 9
+
+
 def test_toxicity_learns_words_and_disguises(spark, odd_docs, no_docs):
     rng = np.random.default_rng(4)
     plain = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
