@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; run() writes
 each result as Parquet in the shared folder and reads it again. All stages but the last return
-the columns of documents.
+the columns of documents. A null text counts as empty in every stage, a null language or source is one of its own, rows
+without an id stay rows of their own, of repeated rows the exact stage leaves one, and an empty table gives an
+empty result; columns beside those of documents travel along until the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mixture), ("packing", packed)]
 
-#: SQL can express neither the language model nor the tokenizer; tests hold run() against a brute-force version.
+#: SQL can express neither the language model nor the tokenizer; tests hold the stages of run() against plain versions.
 ORACLE_SQL = None
 
 
