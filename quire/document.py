@@ -349,6 +349,7 @@ def analyse(data: Inputs, config: dict | None = None, keep=None) -> dict[str, Da
     notes = out["notes"] = keep(A.build_notes(answers, expected), "notes")
     questions = ranges.select("doc_id", "question_no", F.col("place").alias("ord"))
     out["layout_plan"] = W.layout_slots(questions.select("doc_id", "question_no"), settings.first_page)
+    # Category and message: fixed values.
     missed = _issue(out["alignment"].select("doc_id", F.explode("missing").alias("question_no")), "medium", "answer_alignment", "해설 매핑이 누락되었습니다.", F.concat(F.lit("question_"), F.lpad(F.col("question_no").cast("string"), 3, "0")))
     early = keep(anchor_issues(data.files, out["anchor_summary"]).unionByName(missed), "early_issues")
     out["items"] = keep(R.mark_triaged(render_items(typed, data.cells), D.triage(early)), "items")

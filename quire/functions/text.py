@@ -84,6 +84,9 @@ def superscript(s: Column) -> Column:
     return F.translate(s, PLAIN, RAISED)
 
 
+# --- repairs: the patterns and replacements from here to is_chart_label() are fixed values -----------
+
+
 def repair_ionic(s: Column) -> Column:
     return F.regexp_replace(s, r"\blonic\b", "Ionic")
 
