@@ -21,18 +21,36 @@ _JOIN = {
 _LOCAL = {"sum": F.sum, "max": F.max, "xor": F.bit_xor, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
-def scan(rows: DataFrame, keys: list[str], band: Column, order: list[str | Column], running: dict[str, tuple[str, Column]], before: dict[str, tuple[str, Column]] | None = None, whole: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+Values = dict[str, tuple[str, Column]]
+
+
+def scan(rows: DataFrame, keys: list[str], band: Column, order: list[str | Column], running: Values, before: Values | None = None, whole: Values | None = None) -> DataFrame:
     """rows with columns added for each value: `running` includes the row itself, `before` stops at the row
     before it, `whole` is the group's total. A value is ("sum", "max", "xor" or "last", column); "last" passes nulls over.
 
     band must not fall as `order` rises within a group (null comes first); order ascends (negate a number to go backwards) and must have no ties that matter.
     Null keys are a group like any other. A value of nothing but nulls, or of no row, is null. An empty table gives no rows.
     """
-    before, whole = before or {}, whole or {}
+    return scan_in_turn(rows, keys, band, [(order, running, before or {}, whole or {}, {})])
+
+
+def scan_in_turn(rows: DataFrame, keys: list[str], band: Column, steps: list[tuple[list[str | Column], Values, Values, Values, dict[str, Column]]]) -> DataFrame:
+    """Scans of the same groups and bands one after the other: (order, running, before, whole, columns made from them for the next).
+
+    The rows are dealt out once for all steps.
+    """
+    # Structs are never null, so null keys and bands meet their like in a plain equi-join.
+    out = rows.withColumns({"_key": F.struct(*[F.col(k) for k in keys]), "_band": F.struct(band.alias("at"))})
+    for order, running, before, whole, then in steps:
+        out = _scanned(out, order, running, before, whole).withColumns(then) if then else _scanned(out, order, running, before, whole)
+    return out.drop("_key", "_band")
+
+
+def _scanned(keyed: DataFrame, order: list[str | Column], running: Values, before: Values, whole: Values) -> DataFrame:
     asked = {**running, **before, **whole}
     temp = {name: f"_v_{name}" for name in asked}
-    # Structs are never null, so null keys and bands meet their like in a plain equi-join.
-    keyed = rows.withColumns({"_key": F.struct(*[F.col(k) for k in keys]), "_band": F.struct(band.alias("at")), **{temp[n]: c for n, (_, c) in asked.items()}})
+    names = keyed.columns
+    keyed = keyed.withColumns({temp[n]: c for n, (_, c) in asked.items()})
     place = F.struct(*[F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)])
 
     def total(name: str, kind: str) -> Column:
@@ -48,4 +66,4 @@ def scan(rows: DataFrame, keys: list[str], band: Column, order: list[str | Colum
     local = {f"_l_{n}": _LOCAL[k](F.col(temp[n])).over(upto if n in running else strictly) for n, (k, _) in asked.items() if n not in whole}
     out = keyed.withColumns(local).join(carries, ["_key", "_band"])
     made = {n: F.col(f"_c_{n}") if n in whole else _JOIN[k](F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, (k, _) in asked.items()}
-    return out.withColumns(made).select(*[F.col(f"`{c}`") for c in rows.columns], *[n for n in asked if n not in rows.columns])
+    return out.withColumns(made).select(*[F.col(f"`{c}`") for c in names], *[n for n in asked if n not in names])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, union_box
 from ..functions.text import strip
-from .scan import scan
+from .scan import scan_in_turn
 from .spatial import join_corners
 
 ROW_GAP, SNIPPET_WIDTH, SNIPPET_GAP, SNIPPET_WORDS, SNIPPET_CHARS = 28, 900, 180, 10, 80
@@ -25,22 +25,26 @@ def cluster_rows(words: DataFrame) -> DataFrame:
     counted on from there, so a page of any height is many tasks.
     """
     order = ["bbox.y0", "bbox.x0", "line_no", "word_no"]
-    band = F.shiftright("bbox.y0", PAGE_BAND)
-    last = scan(words, ["doc_id", "page_no"], band, order, {}, {"_last": ("last", F.col("bbox.y0"))})
     step = F.abs(F.col("bbox.y0") - F.col("_last")) > ROW_GAP
-    rows = scan(last.withColumn("_new", F.coalesce(step, F.lit(True)).cast("int")), ["doc_id", "page_no"], band, [*order, -F.col("_new")], {"row_no": ("sum", F.col("_new"))})  # of rows alike the new one stays first
+    steps = [
+        (order, {}, {"_last": ("last", F.col("bbox.y0"))}, {}, {"_new": F.coalesce(step, F.lit(True)).cast("int")}),
+        ([*order, -F.col("_new")], {"row_no": ("sum", F.col("_new"))}, {}, {}, {}),  # of rows alike the new one stays first
+    ]
+    rows = scan_in_turn(words, ["doc_id", "page_no"], F.shiftright("bbox.y0", PAGE_BAND), steps)
     return rows.withColumn("row_no", F.col("row_no").cast("int")).drop("_new", "_last")
 
 
 def split_segments(rows: DataFrame) -> DataFrame:
     """Words of rows with segment_no: a new one where the gap to the word on the left reaches a threshold of the row."""
     key, order = ["doc_id", "page_no", "row_no"], ["bbox.x0", "bbox.y0", "line_no", "word_no"]
-    band = F.shiftright("bbox.x0", ROW_BAND)
     tall = F.greatest(F.lit(1), F.col("bbox.y1") - F.col("bbox.y0")).cast("long")
-    seen = scan(rows, key, band, order, {}, {"_left": ("last", F.col("bbox.x1"))}, {"_tall": ("sum", tall), "_many": ("sum", F.lit(1).cast("long"))})
     limit = F.greatest(F.lit(64), (F.col("_tall") / F.col("_many") * 1.6).cast("int"))
     fresh = F.coalesce(F.col("bbox.x0") - F.col("_left") >= limit, F.lit(True)).cast("int")
-    out = scan(seen.withColumn("_new", fresh), key, band, [*order, -F.col("_new")], {"segment_no": ("sum", F.col("_new"))})
+    steps = [
+        (order, {}, {"_left": ("last", F.col("bbox.x1"))}, {"_tall": ("sum", tall), "_many": ("sum", F.lit(1).cast("long"))}, {"_new": fresh}),
+        ([*order, -F.col("_new")], {"segment_no": ("sum", F.col("_new"))}, {}, {}, {}),
+    ]
+    out = scan_in_turn(rows, key, F.shiftright("bbox.x0", ROW_BAND), steps)
     return out.withColumn("segment_no", F.col("segment_no").cast("int")).drop("_new", "_left", "_tall", "_many")
 
 
@@ -152,10 +156,9 @@ def layout_slots(questions: DataFrame, first_page: int = 1) -> DataFrame:
 def box_clusters(boxes: DataFrame, key: list[str]) -> DataFrame:
     """boxes with cluster: in y0 order a new one begins where no box before reaches further down, so boxes of two clusters never meet."""
     order = ["bbox.y0", "bbox.x0", "bbox.x1", "bbox.y1"]
-    band = F.shiftright("bbox.y0", PAGE_BAND)
-    reach = scan(boxes, key, band, order, {}, {"_reach": ("max", F.col("bbox.y1"))})
     new = F.coalesce(F.col("bbox.y0") >= F.col("_reach"), F.lit(True)).cast("long")
-    return scan(reach.withColumn("_new", new), key, band, [*order, -F.col("_new")], {"cluster": ("sum", F.col("_new"))}).drop("_new", "_reach")
+    steps = [(order, {}, {"_reach": ("max", F.col("bbox.y1"))}, {}, {"_new": new}), ([*order, -F.col("_new")], {"cluster": ("sum", F.col("_new"))}, {}, {}, {})]
+    return scan_in_turn(boxes, key, F.shiftright("bbox.y0", PAGE_BAND), steps).drop("_new", "_reach")
 
 
 def _swept(names: list[str]):
