@@ -31,3 +31,8 @@ def staged(path: str) -> Callable[[DataFrame, str], DataFrame]:
         return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
     return keep
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written to a folder of its own and read again: for rows that several branches of a plan start from, so that none makes them anew."""
+    return staged(work_dir(df.sparkSession, name))(df, "rows")
