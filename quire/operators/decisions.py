@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..staging import stage
-from .scan import scan
+from .scan import scan_groups
 
 #: Blocks of a document that are scanned as one band, as a power of two.
 SCAN_BAND = 14
@@ -203,4 +202,4 @@ def nonempty_or(overridden: Column, rule: Column) -> Column:
 def last_question_lines(blocks: DataFrame) -> DataFrame:
     """blocks with current_no: the number of the last note header at or before each block of its document."""
     number = F.expr(r"try_cast(nullif(regexp_extract(text, '^\\s*([0-9]+)[.)]', 1), '') as bigint)")
-    return scan(stage(blocks.withColumn("own_no", number), "numbered-blocks"), ["doc_id"], F.shiftright(F.col("ord").cast("long"), SCAN_BAND), ["ord"], {"current_no": ("last", F.col("own_no"))})
+    return scan_groups(blocks.withColumn("own_no", number), ["doc_id"], F.shiftright(F.col("ord").cast("long"), SCAN_BAND), [(["ord"], {"current_no": ("last", F.col("own_no"))}, {}, {}, {})])

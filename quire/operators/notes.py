@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import stage
-from .scan import scan
+from .scan import scan_groups
 
 #: Blocks of a document that are scanned as one band, as a power of two.
 BAND_BITS = 14
@@ -19,7 +18,7 @@ def note_anchors(blocks: DataFrame) -> DataFrame:
     numbered = blocks.select("doc_id", "ord", number.alias("question_no"))
     # From the end backwards: the anchor last seen is the one that follows.
     following = {"_next": ("last", F.when(F.col("question_no").isNotNull(), F.col("ord")))}
-    heads = scan(stage(numbered, "note-numbers"), ["doc_id"], -band(), [-F.col("ord")], {}, following, {"_last": ("max", F.col("ord"))}).where("question_no is not null")
+    heads = scan_groups(numbered, ["doc_id"], -band(), [([-F.col("ord")], {}, following, {"_last": ("max", F.col("ord"))}, {})]).where("question_no is not null")
     return heads.select("doc_id", "question_no", F.col("ord").alias("start_ord"), F.coalesce(F.col("_next") - 1, F.col("_last")).alias("end_ord"))
 
 
@@ -52,7 +51,7 @@ def span_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """
     span = F.struct("question_no", "start_ord", "end_ord")
     heads = blocks.join(spans.select("doc_id", F.col("start_ord").alias("ord"), span.alias("_span")), ["doc_id", "ord"], "left")
-    inside = scan(stage(heads, "note-heads"), ["doc_id"], band(), ["ord"], {"_now": ("last", F.col("_span"))}).drop("_span").withColumnRenamed("_now", "_span").where(F.col("ord") <= F.col("_span.end_ord"))
+    inside = scan_groups(heads, ["doc_id"], band(), [(["ord"], {"_now": ("last", F.col("_span"))}, {}, {}, {})], blocks).drop("_span").withColumnRenamed("_now", "_span").where(F.col("ord") <= F.col("_span.end_ord"))
     return inside.select(*[F.col(c) for c in blocks.columns], "_span.question_no", "_span.start_ord", "_span.end_ord")
 
 
@@ -64,7 +63,8 @@ def build_notes(blocks: DataFrame, expected: DataFrame) -> DataFrame:
     spans = note_spans(blocks, expected)
     inside = span_blocks(blocks, spans)
     own = F.expr(r"try_cast(nullif(regexp_extract(text, '^\\s*([0-9]+)[.)]', 1), '') as bigint)")
-    rows = scan(stage(inside.withColumn("_own", own), "note-blocks"), ["doc_id", "question_no"], band(), ["ord"], {"_now": ("last", F.col("_own"))}).where("_now = question_no")
+    steps = [(["ord"], {"_now": ("last", F.col("_own"))}, {}, {}, {})]
+    rows = scan_groups(inside.withColumn("_own", own), ["doc_id", "question_no"], band(), steps, blocks.withColumn("question_no", F.lit(0))).where("_now = question_no")
     said = F.when(F.col("_own").isNull(), F.col("text")).otherwise(F.trim(F.regexp_extract("text", r"^\s*\d+[.)]\s*(.*)", 1)))
     texts = rows.withColumn("_t", said).where("_t <> ''").groupBy("doc_id", "question_no").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("_t").alias("t")))).alias("_items"))
     out = expected.withColumn("question_no", F.col("question_no").cast("long")).join(texts, ["doc_id", "question_no"], "left").join(spans.select("doc_id", "question_no", "start_ord"), ["doc_id", "question_no"], "left")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 #: What a running value may be, and how a carry and a local value make one.
 _JOIN = {
     "sum": lambda carry, own: F.coalesce(carry + own, own, carry),
@@ -21,6 +23,8 @@ _JOIN = {
 _LOCAL = {"sum": F.sum, "max": F.max, "xor": F.bit_xor, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
+#: Rows of a group up to which one task scans it at once: some hundred megabytes, which a window can spill.
+MOST_ROWS = 2_000_000
 Values = dict[str, tuple[str, Column]]
 
 
@@ -46,6 +50,24 @@ def scan_in_turn(rows: DataFrame, keys: list[str], band: Column, steps: list[tup
     return out.drop("_key", "_band")
 
 
+def scan_groups(rows: DataFrame, keys: list[str], band: Column, steps: list[tuple[list[str | Column], Values, Values, Values, dict[str, Column]]], sized: DataFrame | None = None) -> DataFrame:
+    """scan_in_turn(), cut into bands only if some group has more than MOST_ROWS rows; else by plain windows, with the same result.
+
+    The rows of the groups are counted first, in `sized` if it is given (rows no fewer in each group, cheaper to make).
+    """
+    counted = (rows if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if (counted.agg(F.max("n")).first()[0] or 0) > MOST_ROWS:
+        return scan_in_turn(stage(rows, "scanned"), keys, band, steps)
+    group = Window.partitionBy(*keys)
+    for order, running, before, whole, then in steps:
+        inside = group.orderBy(*order)
+        upto, strictly = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+        frames = {**dict.fromkeys(running, upto), **dict.fromkeys(before, strictly), **dict.fromkeys(whole, group)}
+        rows = rows.withColumns({n: _LOCAL[k](c).over(frames[n]) for n, (k, c) in {**running, **before, **whole}.items()})
+        rows = rows.withColumns(then) if then else rows
+    return rows
+
+
 def _scanned(keyed: DataFrame, order: list[str | Column], running: Values, before: Values, whole: Values) -> DataFrame:
     asked = {**running, **before, **whole}
     temp = {name: f"_v_{name}" for name in asked}

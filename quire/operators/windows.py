@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, union_box
 from ..functions.text import strip
-from ..staging import stage
-from .scan import scan_in_turn
+from .scan import scan_groups
 from .spatial import join_corners
 
 ROW_GAP, SNIPPET_WIDTH, SNIPPET_GAP, SNIPPET_WORDS, SNIPPET_CHARS = 28, 900, 180, 10, 80
@@ -31,7 +30,7 @@ def cluster_rows(words: DataFrame) -> DataFrame:
         (order, {}, {"_last": ("last", F.col("bbox.y0"))}, {}, {"_new": F.coalesce(step, F.lit(True)).cast("int")}),
         ([*order, -F.col("_new")], {"row_no": ("sum", F.col("_new"))}, {}, {}, {}),  # of rows alike the new one stays first
     ]
-    rows = scan_in_turn(stage(words, "words"), ["doc_id", "page_no"], F.shiftright("bbox.y0", PAGE_BAND), steps)
+    rows = scan_groups(words, ["doc_id", "page_no"], F.shiftright("bbox.y0", PAGE_BAND), steps)
     return rows.withColumn("row_no", F.col("row_no").cast("int")).drop("_new", "_last")
 
 
@@ -45,7 +44,7 @@ def split_segments(rows: DataFrame) -> DataFrame:
         (order, {}, {"_left": ("last", F.col("bbox.x1"))}, {"_tall": ("sum", tall), "_many": ("sum", F.lit(1).cast("long"))}, {"_new": fresh}),
         ([*order, -F.col("_new")], {"segment_no": ("sum", F.col("_new"))}, {}, {}, {}),
     ]
-    out = scan_in_turn(stage(rows, "word-rows"), key, F.shiftright("bbox.x0", ROW_BAND), steps)
+    out = scan_groups(rows, key, F.shiftright("bbox.x0", ROW_BAND), steps, rows.withColumn("row_no", F.lit(0)))  # a page has no fewer words than its rows
     return out.withColumn("segment_no", F.col("segment_no").cast("int")).drop("_new", "_left", "_tall", "_many")
 
 
@@ -159,7 +158,7 @@ def box_clusters(boxes: DataFrame, key: list[str]) -> DataFrame:
     order = ["bbox.y0", "bbox.x0", "bbox.x1", "bbox.y1"]
     new = F.coalesce(F.col("bbox.y0") >= F.col("_reach"), F.lit(True)).cast("long")
     steps = [(order, {}, {"_reach": ("max", F.col("bbox.y1"))}, {}, {"_new": new}), ([*order, -F.col("_new")], {"cluster": ("sum", F.col("_new"))}, {}, {}, {})]
-    return scan_in_turn(stage(boxes.select(*key, "bbox"), "boxes"), key, F.shiftright("bbox.y0", PAGE_BAND), steps).drop("_new", "_reach")
+    return scan_groups(boxes.select(*key, "bbox"), key, F.shiftright("bbox.y0", PAGE_BAND), steps).drop("_new", "_reach")
 
 
 def _swept(names: list[str]):

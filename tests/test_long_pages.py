@@ -3,11 +3,13 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import box, contains, intersects
 from quire.operators import blocks as B
 from quire.operators import notes as A
+from quire.operators import scan as scans
 from quire.operators import windows as W
 from quire.operators.spatial import PAGE, join_meeting
 from quire.sources.layout import walk_tree
@@ -59,7 +61,9 @@ def plain_nms(rows):
     return kept
 
 
-def test_sweep_equals_all_pairs(spark):
+@pytest.mark.parametrize("most", [1, 10**9])
+def test_sweep_equals_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(scans, "MOST_ROWS", most)
     rng = random.Random(7)
     rows = []
     for doc in ("a", "b", None):
@@ -92,11 +96,12 @@ def test_rows_and_segments_over_bands(spark, monkeypatch):
             rows.append((doc, 1, n, 0, "w", (x, y, x + rng.randrange(1, 300), y + rng.randrange(1, 40))))
     df = spark.createDataFrame(rows + rows[::7], f"doc_id string, page_no int, line_no int, word_no int, text string, bbox {BOX}").repartition(3)
     seen = []
-    for page, row in ((4, 5), (30, 30)):
+    for most, page, row in ((10**9, 13, 16), (1, 4, 5), (1, 30, 30)):
+        monkeypatch.setattr(scans, "MOST_ROWS", most)
         monkeypatch.setattr(W, "PAGE_BAND", page)
         monkeypatch.setattr(W, "ROW_BAND", row)
         seen.append(sorted(W.split_segments(W.cluster_rows(df)).select("doc_id", "line_no", "row_no", "segment_no").collect(), key=repr))
-    assert seen[0] == seen[1] and max(r["row_no"] for r in seen[0]) > 50
+    assert seen[0] == seen[1] == seen[2] and max(r["row_no"] for r in seen[0]) > 50
 
 
 def test_notes_over_bands(spark, monkeypatch):
@@ -105,10 +110,11 @@ def test_notes_over_bands(spark, monkeypatch):
     blocks = spark.createDataFrame(rows, "doc_id string, ord int, text string").repartition(3)
     expected = spark.range(1, 25).select(F.lit("a").alias("doc_id"), F.col("id").cast("int").alias("question_no"))
     seen = []
-    for bits in (2, 20):
+    for most, bits in ((10**9, 14), (1, 2), (1, 20)):
+        monkeypatch.setattr(scans, "MOST_ROWS", most)
         monkeypatch.setattr(A, "BAND_BITS", bits)
         seen.append((sorted(A.note_anchors(blocks).collect()), sorted(A.build_notes(blocks, expected).collect())))
-    assert seen[0] == seen[1]
+    assert seen[0] == seen[1] == seen[2]
 
 
 NODE = "doc_id int, node_id string, parent_id string, ord int, type string, page_no int, bbox_pdf struct<left:double,bottom:double,right:double,top:double>, content string"
