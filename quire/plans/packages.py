@@ -189,7 +189,7 @@ def hwpx_header_parts(spark, d):
     sections = staged(work_dir(spark, "sections"))(_sections(spark, d), "sections")
     headers = _resolved(spark, d, sections)
     none = T.dangling(headers, sections).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("dangling"))
-    return T.definitions(headers).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("defined")).join(none, ["doc_id", "kind"], "left").select("doc_id", "kind", "defined", F.coalesce("dangling", F.lit(0)).cast("long").alias("dangling"))
+    return T.definitions(headers).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("defined")).join(T.merged(none), ["doc_id", "kind"], "left").select("doc_id", "kind", "defined", F.coalesce("dangling", F.lit(0)).cast("long").alias("dangling"))
 
 
 _FIXED = {n: c for n, c in fixed_parts().items() if n != T.HEADER}

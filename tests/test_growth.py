@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import box
-from quire.operators import crops, images, preview
+from quire.operators import crops, images, preview, templates
 from quire.plans import files, output
 from quire.sources import views
 
@@ -52,3 +52,23 @@ def test_closing_and_runs_on_any_shape():
             framed = np.pad(mask, r + size)
             want = np.array([[framed[y + size : y + 2 * size, x + size : x + 2 * size].any() for x in range(shape[1])] for y in range(shape[0])])
             assert (images._spread(mask, size) == want).all()
+
+
+def test_headers_never_pass_through_the_driver(spark):
+    """A header of one make packs to next to nothing on disk, so by sizes of files its table would be broadcast."""
+    documents = spark.range(50).withColumnRenamed("id", "doc_id")
+    header = '<hh:head><hh:refList><hh:fontfaces><hh:fontface lang="LATIN" fontCnt="0"/></hh:fontfaces><hh:styles itemCnt="0"/></hh:refList></hh:head>'
+    parts = documents.where("doc_id % 2 = 0").select("doc_id", F.lit(templates.HEADER).alias("name"), F.lit(header).alias("content"))
+    sections = documents.select("doc_id", F.lit('<hp:p paraPrIDRef="7" styleIDRef="3"/>').alias("section"))
+    plans = []
+
+    def keep(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.cache()
+
+    done = templates.resolve_headers(documents, parts, sections, keep)
+    assert {(r["doc_id"], r["given"]) for r in done.collect()} == {(i, i % 2 == 0) for i in range(50)}
+    assert templates.dangling(done, sections).count() == 0
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+    given = done.where("given").first()["header"]
+    assert given.count('<hh:font ') == 1 and 'fontCnt="1"' in given and '<hh:style id="3"' in given
