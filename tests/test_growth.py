@@ -1,11 +1,14 @@
 """What queries cost as their tables grow: tasks, plans and bounds, with the same results."""
 
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import box
-from quire.operators import crops, images, preview, templates
-from quire.plans import files, output
+from quire.operators import crops, images, notes, preview, scan, templates
+from quire.plans import files, output, sequences
 from quire.sources import views
 
 
@@ -72,3 +75,25 @@ def test_headers_never_pass_through_the_driver(spark):
     assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
     given = done.where("given").first()["header"]
     assert given.count('<hh:font ') == 1 and 'fontCnt="1"' in given and '<hh:style id="3"' in given
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_texts_are_dealt_out_before_they_are_split_into_words(spark):
+    plan = sequences.win_segment_split(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    words = plan[: plan.index("posexplode")]  # a plan is printed from its end: what stands before comes after the split
+    assert "Window" in words and "Exchange" not in words
+    assert views.words(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_notes_count_their_blocks_once(spark, monkeypatch):
+    counted, plain = [], scan.largest_group
+    for module in (scan, notes):
+        monkeypatch.setattr(module, "largest_group", lambda rows, keys: counted.append(keys) or plain(rows, keys))
+    blocks = spark.createDataFrame([("a", 1, "1. x"), ("a", 2, "y"), ("a", 3, "2. z"), ("b", 1, "no")], "doc_id string, ord int, text string")
+    expected = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "doc_id string, question_no long")
+    got = {tuple(r)[:4] for r in notes.build_notes(blocks, expected).collect()}
+    assert got == {("a", 1, True, "x\ny"), ("a", 2, True, "z"), ("a", 3, False, ""), ("b", 1, False, "")}
+    assert counted == [["doc_id"]]
