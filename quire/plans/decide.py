@@ -11,6 +11,7 @@ from ..operators import decisions as D
 from ..operators import notes as A
 from ..operators import windows as W
 from ..sources import views as V
+from ..staging import stage
 from . import sequences as S
 from .registry import plan
 from .scalars import TEXTS
@@ -213,7 +214,7 @@ def win_note_current(spark, d):
 
 
 def _notes(spark, d):
-    return A.build_notes(V.answer_blocks(spark, d), V.expected_questions(spark, d))
+    return A.build_notes(stage(V.answer_blocks(spark, d), "answers"), V.expected_questions(spark, d))
 
 
 @plan("agg_notes", "SELECT * FROM v_notes", NOTES)
