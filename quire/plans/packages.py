@@ -8,7 +8,6 @@ from ..operators import markup as M
 from ..operators import templates as T
 from ..operators.sinks import SPACES, definition, fixed_parts, section_properties
 from ..sources import views as V
-from ..staging import staged, work_dir
 from . import decide, output
 from .registry import plan
 
@@ -154,8 +153,14 @@ def _documents(spark, d):
     return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
 
 
-def _resolved(spark, d, sections=None):
-    return T.resolve_headers(_documents(spark, d), T.template_parts(_parts(spark, d)), _sections(spark, d) if sections is None else sections)
+def _header_cases(spark, d):
+    return T.header_cases(_documents(spark, d), _parts(spark, d), _sections(spark, d))
+
+
+def _told(spark, d, *shown):
+    """doc_id and what is shown of its header, worked out once for each case."""
+    mine, cases = _header_cases(spark, d)
+    return mine.join(cases.select("case", "given", *shown), "case")
 
 
 @plan("hwpx_template_parts", "SELECT * FROM v_parts", TEMPLATES)
@@ -171,13 +176,13 @@ def hwpx_font_profile(spark, d):
 
 @plan("hwpx_header_resolve", "SELECT doc_id, given, md5(header) AS header FROM v_resolved", TEMPLATES)
 def hwpx_header_resolve(spark, d):
-    return _resolved(spark, d).select("doc_id", "given", F.md5(F.col("header").cast("binary")).alias("header"))
+    return _told(spark, d, F.md5(F.col("header").cast("binary")).alias("header")).select("doc_id", "given", "header")
 
 
 @plan("hwpx_header", "SELECT doc_id, length(header)::INTEGER AS chars, md5(header) AS header FROM v_resolved WHERE NOT given", TEMPLATES)
 def hwpx_header(spark, d):
     """Headers of documents without a usable template."""
-    return _resolved(spark, d).where("not given").select("doc_id", F.length("header").alias("chars"), F.md5(F.col("header").cast("binary")).alias("header"))
+    return _told(spark, d, F.length("header").alias("chars"), F.md5(F.col("header").cast("binary")).alias("header")).where("not given").select("doc_id", "chars", "header")
 
 
 _COUNTED = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(header, '<hh:{k}\\b'))::BIGINT AS defined, 0::BIGINT AS dangling FROM v_resolved" for k in T.KINDS)
@@ -186,10 +191,11 @@ _COUNTED = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract
 @plan("hwpx_header_parts", _COUNTED, TEMPLATES)
 def hwpx_header_parts(spark, d):
     """Definitions of each kind in each header, and references that have none: never any."""
-    sections = staged(work_dir(spark, "sections"))(_sections(spark, d), "sections")
-    headers = _resolved(spark, d, sections)
-    none = T.dangling(headers, sections).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("dangling"))
-    return T.definitions(headers).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("defined")).join(T.merged(none), ["doc_id", "kind"], "left").select("doc_id", "kind", "defined", F.coalesce("dangling", F.lit(0)).cast("long").alias("dangling"))
+    mine, cases = _header_cases(spark, d)
+    headers = cases.select(F.col("case").alias("doc_id"), "header", F.col("said").alias("section"))
+    none = T.dangling(headers, headers).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("dangling"))
+    counts = T.definitions(headers).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("defined")).join(T.merged(none), ["doc_id", "kind"], "left")
+    return mine.join(counts.withColumnRenamed("doc_id", "case"), "case").select("doc_id", "kind", "defined", F.coalesce("dangling", F.lit(0)).cast("long").alias("dangling"))
 
 
 _FIXED = {n: c for n, c in fixed_parts().items() if n != T.HEADER}

@@ -97,3 +97,18 @@ def test_notes_count_their_blocks_once(spark, monkeypatch):
     got = {tuple(r)[:4] for r in notes.build_notes(blocks, expected).collect()}
     assert got == {("a", 1, True, "x\ny"), ("a", 2, True, "z"), ("a", 3, False, ""), ("b", 1, False, "")}
     assert counted == [["doc_id"]]
+
+
+def test_documents_alike_in_template_and_references_are_one_case(spark):
+    text = '<hh:head><hh:refList><hh:charProperties itemCnt="0"/></hh:refList></hh:head>'
+    ids = spark.range(200).select(F.col("id").alias("doc_id"))
+    given = F.when(F.col("doc_id") % 2 == 0, F.lit(text)).otherwise(F.lit("<broken"))
+    parts = ids.where("doc_id < 150").select("doc_id", F.lit(templates.HEADER).alias("name"), given.alias("content"))
+    twice = parts.unionByName(parts.where("doc_id = 1").withColumn("content", F.lit(text)))  # of two texts the larger counts
+    sections = ids.where("doc_id % 50 = 0").select("doc_id", F.lit('<p charPrIDRef="7" styleIDRef="4"/><p charPrIDRef="7"/>').alias("section"))
+    mine, cases = templates.header_cases(ids, twice, sections)
+    assert mine.count() == 200 and cases.count() == 4  # fixed or given, with the section's references or none
+    got = {r["doc_id"]: r for r in templates.resolve_headers(ids, twice, sections).collect()}
+    assert len(got) == 200 and all(got[i]["given"] == (i < 150 and i % 2 == 0) for i in got if i != 1)
+    assert got[1]["given"] == (max(text, "<broken") == text)
+    assert all(('<hh:charPr' in r["header"]) and (('id="7"' in r["header"]) == (i % 50 == 0)) for i, r in got.items())
