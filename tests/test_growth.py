@@ -112,3 +112,9 @@ def test_documents_alike_in_template_and_references_are_one_case(spark):
     assert len(got) == 200 and all(got[i]["given"] == (i < 150 and i % 2 == 0) for i in got if i != 1)
     assert got[1]["given"] == (max(text, "<broken") == text)
     assert all(('<hh:charPr' in r["header"]) and (('id="7"' in r["header"]) == (i % 50 == 0)) for i, r in got.items())
+
+
+def test_strips_of_pages_are_not_sent_through_the_driver(spark):
+    plan = output._crops(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "strip" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
