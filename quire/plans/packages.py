@@ -47,6 +47,11 @@ def _sections(spark, d):
     return M.sections(_paragraphs(spark, d))
 
 
+def _pictures(spark, d):
+    """Pictures of each document. Notes are text and made from lines of orders that have items, so they add neither pictures nor documents."""
+    return M.pictures(V.question_items(spark, d).select("doc_id", F.col("type").alias("kind")))
+
+
 @plan("hwpx_section", "SELECT doc_id, md5(section) AS section, length(section)::INTEGER AS chars FROM v_body", VIEWS)
 def hwpx_section(spark, d):
     return _sections(spark, d).select("doc_id", F.md5(F.col("section").cast("binary")).alias("section"), F.length("section").alias("chars"))
@@ -85,13 +90,13 @@ _MANIFEST = f"""SELECT doc_id, {_q(M.DECLARATION + f'<opf:package version="1.0"
 @plan("hwpx_package_manifest", f"SELECT doc_id, body AS manifest FROM ({_MANIFEST})", VIEWS)
 def hwpx_package_manifest(spark, d):
     """What follows the package's own tag, whose attributes have no fixed order in XML."""
-    return M.manifests(_sections(spark, d)).select("doc_id", F.regexp_extract("manifest", "(?s)<opf:metadata>.*$", 0).alias("manifest"))
+    return M.manifests(_pictures(spark, d)).select("doc_id", F.regexp_extract("manifest", "(?s)<opf:metadata>.*$", 0).alias("manifest"))
 
 
 @plan("hwpx_preview_image", "SELECT doc_id, coalesce(list_extract(media, 1), '') AS media_id FROM v_body", VIEWS)
 def hwpx_preview_image(spark, d):
     """The picture that stands for each document, its first; none where there is none."""
-    return _sections(spark, d).select("doc_id", F.coalesce(F.get("media", F.lit(0)), F.lit("")).alias("media_id"))
+    return _pictures(spark, d).select("doc_id", F.coalesce(F.get("media", F.lit(0)), F.lit("")).alias("media_id"))
 
 
 # --- templates -------------------------------------------------------------------------------------

@@ -118,3 +118,17 @@ def test_strips_of_pages_are_not_sent_through_the_driver(spark):
     plan = output._crops(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "strip" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_manifests_and_preview_pictures_need_no_markup_and_no_notes(spark):
+    from quire.operators import markup
+    from quire.plans import packages
+
+    rows = spark.createDataFrame([(1, 1, "image"), (1, 2, "text"), (1, 3, "image"), (2, 1, "note")], "doc_id long, para_seq int, kind string").selectExpr("*", "1 AS question_no", "'t' AS text", "false AS column_break", "false AS page_break")
+    media = lambda df: {r["doc_id"]: r["media"] for r in df.collect()}
+    assert media(markup.pictures(rows)) == media(markup.sections(markup.paragraphs(rows))) == {1: ["image1", "image2"], 2: []}
+    for query in (packages.hwpx_preview_image, packages.hwpx_package_manifest):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Window" not in plan
+    plan = files.sink_hwpx(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 3  # one pass over the section's rows
