@@ -63,20 +63,25 @@ def canonicalize(s: Column) -> Column:
     return F.regexp_replace(collapse(s), r"\d+", "#")
 
 
-def is_prose(s: Column) -> Column:
-    t = collapse(s)
+def _prose(t: Column) -> Column:
     letters, spaces = count_matching(t, r"\p{L}"), count_of(t, " ")
     sentence = (spaces >= 2) & (letters >= F.greatest(F.lit(10), (F.length(t) * F.lit(0.35)).cast("int")))
     return (t != "") & ~any_in(t, REACTION) & ~any_in(t, OPERATORS) & (sentence | (any_in(t, PROSE_HINTS) & (spaces >= 1)))
 
 
+def is_prose(s: Column) -> Column:
+    return let(collapse(s), _prose)
+
+
 def is_equation(s: Column) -> Column:
-    t = collapse(s)
-    operators = reduce(lambda a, b: a + b, [count_of(t, o) for o in OPERATORS])
-    symbols, digits, letters = (count_matching(t, p) for p in (r"[=^√∫Σ/±()\[\]{}]", r"\p{Nd}", r"\p{L}"))
-    formula = (operators >= 1) & (F.length(t) < 180) & (symbols + digits >= F.greatest(F.lit(3), F.floor(letters / 2)))
-    plain = t.rlike(r"^[A-Za-z0-9\[\]()+\-.\s]+$") & (digits >= 2) & (count_of(t, "+") + count_of(t, "-") >= 2)
-    return F.when((t == "") | is_prose(s), False).when(any_in(t, REACTION), has_upper(t)).otherwise(formula | plain)
+    def test(t: Column) -> Column:
+        operators = reduce(lambda a, b: a + b, [count_of(t, o) for o in OPERATORS])
+        symbols, digits, letters = (count_matching(t, p) for p in (r"[=^√∫Σ/±()\[\]{}]", r"\p{Nd}", r"\p{L}"))
+        formula = (operators >= 1) & (F.length(t) < 180) & (symbols + digits >= F.greatest(F.lit(3), F.floor(letters / 2)))
+        plain = t.rlike(r"^[A-Za-z0-9\[\]()+\-.\s]+$") & (digits >= 2) & (count_of(t, "+") + count_of(t, "-") >= 2)
+        return F.when((t == "") | _prose(t), False).when(any_in(t, REACTION), has_upper(t)).otherwise(formula | plain)
+
+    return let(collapse(s), test)
 
 
 def rewrite_matches(s: Column, pattern: str, f) -> Column:
@@ -186,19 +191,18 @@ def chem_segments(s: Column) -> Column:
 
 
 def inlines_equation(s: Column) -> Column:
-    t = collapse(s)
-    return any_in(t, REACTION) & (count_matching(t, "[가-힣]") >= 4) & (count_of(t, " ") >= 2)
+    return let(collapse(s), lambda t: any_in(t, REACTION) & (count_matching(t, "[가-힣]") >= 4) & (count_of(t, " ") >= 2))
 
 
 def norm_formula(s: Column) -> Column:
     """struct<text,valid>"""
-    t = F.regexp_replace(F.replace(F.replace(strip(s), F.lit("**"), F.lit("^")), F.lit("sqrt"), F.lit("√")), r"(?U)\s+", " ")
-    return F.struct(t.alias("text"), any_in(t, ("=", "^", "/", "√", "→", "->", "⇌", "+", "-")).alias("valid"))
+    text = F.regexp_replace(F.replace(F.replace(strip(s), F.lit("**"), F.lit("^")), F.lit("sqrt"), F.lit("√")), r"(?U)\s+", " ")
+    return let(text, lambda t: F.struct(t.alias("text"), any_in(t, ("=", "^", "/", "√", "→", "->", "⇌", "+", "-")).alias("valid")))
 
 
 def norm_chem_equation(s: Column) -> Column:
-    t = F.regexp_replace(F.replace(F.replace(strip(s), F.lit("→"), F.lit("->")), F.lit("⇌"), F.lit("<=>")), r"(?U)\s+", " ")
-    return F.struct(t.alias("text"), (any_in(t, ("->", "<=>")) & t.rlike("[A-Z]")).alias("valid"))
+    text = F.regexp_replace(F.replace(F.replace(strip(s), F.lit("→"), F.lit("->")), F.lit("⇌"), F.lit("<=>")), r"(?U)\s+", " ")
+    return let(text, lambda t: F.struct(t.alias("text"), (any_in(t, ("->", "<=>")) & t.rlike("[A-Z]")).alias("valid")))
 
 
 def is_chart_label(s: Column) -> Column:

@@ -26,7 +26,10 @@ def _typed(*pairs: tuple[str, float]) -> Column:
 
 def classify_text(s: Column) -> Column:
     """array<struct<type,score>>, best first."""
-    t = T.strip(s)
+    return T.let(T.strip(s), _classified)
+
+
+def _classified(t: Column) -> Column:
     chem = T.any_in(t, T.REACTION) & T.has_upper(t)
     return (
         F.when(t == "", _typed(("unknown", 0.0)))
@@ -73,7 +76,10 @@ def block_type(s: Column, candidates: Column, around: Column, table_lines: Colum
 
 def formula_repair(kind: Column, s: Column) -> Column:
     """struct<kind,normalized,target,confidence,flags,needs_review>"""
-    chem, math = T.norm_chem_equation(s), T.norm_formula(s)
+    return T.let(F.struct(T.norm_chem_equation(s).alias("chem"), T.norm_formula(s).alias("math")), lambda n: _repaired(kind, n["chem"], n["math"]))
+
+
+def _repaired(kind: Column, chem: Column, math: Column) -> Column:
     is_chem = kind == "chem_equation"
     target = F.replace(F.regexp_replace(chem["text"], rf"({T.ELEMENT})(\d+)", r"$1_{$2}"), F.lit("->"), F.lit(" rightarrow "))
     flags = F.when(is_chem & (target != chem["text"]), F.array(F.lit("subscript_inferred"))).otherwise(F.array().cast("array<string>"))

@@ -55,3 +55,9 @@ def test_chart_label(spark, s, label):
 def test_canonical_and_note_lead(spark):
     assert value(spark, T.canonicalize, "  page 12  of 30 ") == "page # of #"
     assert value(spark, lambda s: T.strip_note_lead(s, F.lit(3)), "3. answer") == "answer"
+
+
+def test_texts_are_collapsed_once_for_all_tests(spark):
+    for test in (T.is_prose, T.is_equation, T.norm_formula, T.norm_chem_equation):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(test(F.col("s")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"(?U)\s+, ") == 1, test
