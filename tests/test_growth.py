@@ -132,3 +132,19 @@ def test_manifests_and_preview_pictures_need_no_markup_and_no_notes(spark):
         assert "collect_list" not in plan and "Window" not in plan
     plan = files.sink_hwpx(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") <= 3  # one pass over the section's rows
+
+
+def test_text_sink_gives_back_what_its_files_hold(spark, tmp_path):
+    from quire.operators import sinks
+
+    texts = {1: "a\r\nb\n\nc", 2: "", 3: None, 4: "\u001e\n다음\u001e", 5: '{"doc_id":9}\n'}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, preview string")
+    got = {r["doc_id"]: r["preview"] for r in sinks.write_texts(rows, "preview", str(tmp_path / "t")).collect()}
+    assert got == {k: v or "" for k, v in texts.items()}
+    files_of = lambda: {p for p in os.listdir(root) if p.startswith("texts-")}
+    root = os.path.dirname(files.work_dir(spark))
+    os.makedirs(root, exist_ok=True)
+    before = files_of()
+    chars = {r["doc_id"]: r["chars"] for r in files.sink_text(spark, SF).collect()}
+    assert len(files_of() - before) == 1
+    assert chars == {r["doc_id"]: len(r["preview"]) for r in output.agg_preview_text(spark, SF).collect()}
