@@ -148,3 +148,9 @@ def test_text_sink_gives_back_what_its_files_hold(spark, tmp_path):
     chars = {r["doc_id"]: r["chars"] for r in files.sink_text(spark, SF).collect()}
     assert len(files_of() - before) == 1
     assert chars == {r["doc_id"]: len(r["preview"]) for r in output.agg_preview_text(spark, SF).collect()}
+
+
+def test_sizes_of_pages_are_not_held_by_every_executor(spark):
+    plan = files.exe_detect_images(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
